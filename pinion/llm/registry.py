@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pinion.llm import op02_ngram_jaccard
+from pinion.llm import op02_ngram_jaccard, op05_language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op02_ngram_jaccard.op2_ngram_jaccard,
+    "op5_language_id": op05_language_id.op5_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
