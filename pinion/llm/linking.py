@@ -1,9 +1,10 @@
 """From signatures to the components of all verified links, for sets of hashed shingles.
 
-Sets that share a signature form a bucket. Per bucket every member is verified against the bucket's least id (linear
-in the bucket); Jaccard distance is a metric, so the distances to that centre rule out most other pairs of the bucket,
-and pairs that are already in one component need no test. What remains is verified pair by pair. No pair that shares
-a bucket is lost, and a group of m copies costs m tests, not m * m.
+Sets that share a signature form a bucket. Per bucket every member is verified against the bucket's least id and,
+where that left several components, against its member with the most links (both linear in the bucket). Pairs that
+are already in one component need no test. What remains are a component's bucket mates outside it: these are counted
+against all its bucket mates over postings, in blocks of bounded size, and only links leave a block. No pair that shares a
+bucket is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BLOB = "r int, ids binary, keys binary, at binary, sigs binary"
 STAR = "bucket long, center long, member long"
 #: Bits of the filter that thins out texts before they are joined with candidates; 2 MB, whatever the input.
 THIN_BITS = 1 << 24
+#: Texts of one side of a block.
+BLOCK = 1024
 
 
 def slices(texts: list, most_chars: int) -> Iterator[slice]:
@@ -129,6 +132,40 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.nd
     return rows.mapInArrow(measure, "center long, member long, inter long, union long")
 
 
+def block_links(pdf: pd.DataFrame, shingles: Callable[[str], np.ndarray], percent: int) -> pd.DataFrame:
+    """Links between the left and the right rows of one block, by counting common shingles over postings."""
+    left, right = pdf[pdf["left"]], pdf[~pdf["left"]]
+    sets = [shingles(t) for t in right["text"]]
+    size, ids = np.array([len(x) for x in sets], np.int64), right["id"].to_numpy(np.int64)
+    flat = np.concatenate(sets) if sets else np.empty(0, U64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out: list[tuple[int, int]] = []
+    for me, text in zip(left["id"], left["text"], strict=True):
+        x = shingles(text)
+        a, b = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+        n = b - a
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        inter = np.bincount(owner[at], minlength=len(sets))
+        for i in np.flatnonzero((100 * inter >= percent * (len(x) + size - inter)) & (ids != me)):
+            out.append((min(me, int(ids[i])), max(me, int(ids[i]))))
+    # a spanning forest says as much as all links of the block
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.get(v, v) != v:
+            root[v] = v = root.get(root[v], root[v])
+        return v
+
+    kept = []
+    for u, v in out:
+        if (a := find(u)) != (b := find(v)):
+            root[max(a, b)] = min(a, b)
+            kept.append((u, v))
+    return pd.DataFrame({"center": np.array([u for u, _ in kept], np.int64), "member": np.array([v for _, v in kept], np.int64)})
+
+
 def linked_components(
     blobs: DataFrame, fetch: Callable[[Callable[[np.ndarray], np.ndarray]], DataFrame], shingles: Callable[[str], np.ndarray], percent: int
 ) -> DataFrame:
@@ -141,18 +178,44 @@ def linked_components(
     ids = stars.select(F.col("center").alias("id")).union(stars.select("member")).distinct()
     thin: Bloom = fill(ids, Bloom(THIN_BITS, 3))
     texts = cut(fetch(lambda x: thin.contains(x.astype(U64))).join(ids, "id", "left_semi"))
-    far = 1 - percent / 100
-    measured = cut(verified(pairs, texts, shingles).withColumns({"linked": F.expr(f"100 * inter >= {percent} * union"), "d": F.expr("1D - inter / union")}))
-    links = measured.where("linked").select(F.col("member").alias("src"), F.col("center").alias("dst"))
-    labels = components(links)
-    at = stars.join(measured.select("center", "member", "linked", "d"), ["center", "member"])
-    at = at.join(labels.withColumnRenamed("id", "member"), "member", "left").withColumn("label", F.coalesce("component", "member"))
-    x = at.where("NOT linked").select("bucket", F.col("member").alias("x"), F.col("d").alias("dx"), F.col("label").alias("lx"))
-    y = at.where(f"d <= {2 * far + 1e-9} OR NOT linked").select("bucket", F.col("member").alias("y"), F.col("d").alias("dy"), F.col("label").alias("ly"), F.col("linked").alias("near"))
-    more = x.join(y, "bucket").where(f"x <> y AND lx <> ly AND abs(dx - dy) <= {far + 1e-9} AND (near OR x < y)")
-    more = more.select(F.least("x", "y").alias("center"), F.greatest("x", "y").alias("member")).distinct()
-    more = more.join(measured.select("center", "member"), ["center", "member"], "left_anti")
-    extra = cut(verified(more, texts, shingles).where(f"100 * inter >= {percent} * union").select(F.col("member").alias("src"), F.col("center").alias("dst")))
-    if extra.isEmpty():
-        return labels
-    return components(extra.union(labels.select(F.col("id").alias("src"), F.col("component").alias("dst"))))
+    is_link = f"100 * inter >= {percent} * union"
+
+    def test(pairs: DataFrame) -> DataFrame:
+        return cut(verified(pairs, texts, shingles).select("center", "member", F.expr(is_link).alias("linked")))
+
+    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+        found = links.where("linked").select(F.col("member").alias("src"), F.col("center").alias("dst"))
+        return labels if found.isEmpty() else components(found.union(labels.select(F.col("id").alias("src"), F.col("component").alias("dst"))))
+
+    first = test(pairs)
+    labels = components(first.where("linked").select(F.col("member").alias("src"), F.col("center").alias("dst")))
+    # members of the buckets that hold more than one component, with their distances to the centre
+    every = stars.select("bucket", "center", F.col("member").alias("id")).union(stars.select("bucket", "center", F.col("center").alias("id")).distinct())
+
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+
+    mixed = labelled(every, labels).groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
+    open_ = every.join(mixed, "bucket")
+    # a second star around the member with the most links so far: the source of a group of copies links them all
+    linked = first.where("linked")
+    degree = linked.select(F.col("member").alias("id")).union(linked.select("center")).groupBy("id").agg(F.count("*").alias("degree"))
+    open_ = labelled(open_.join(degree, "id", "left"), labels)
+    hub = open_.groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("id")).alias("less"), "label")).alias("m"))
+    hub = hub.select("bucket", (-F.col("m.less")).alias("hub"), F.col("m.label").alias("hub_label"))
+    open_ = cut(open_.drop("degree").join(hub, "bucket"))
+    key = [F.least("id", "hub").alias("center"), F.greatest("id", "hub").alias("member")]
+    second = test(open_.where("label <> hub_label").select(*key).distinct().join(first.select("center", "member"), ["center", "member"], "left_anti"))
+    labels = merged(labels, second)
+    # what is left: per component, the members of its open buckets that lie outside it, against all members, in blocks
+    at = labelled(open_.select("bucket", "id", "hub"), labels)
+    of_hub = labels.select(F.col("id").alias("hub"), F.col("component").alias("of_hub"))
+    at = at.join(of_hub, "hub", "left").select(F.coalesce("of_hub", "hub").alias("key"), "id", (F.col("label") != F.coalesce("of_hub", "hub")).alias("outside")).distinct()
+    sizes = at.groupBy("key").agg(F.count_if("outside").alias("out"), F.count("*").alias("all")).where("out > 0")
+    sizes = sizes.select("key", F.ceil(F.col("out") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("cols"))
+    at = cut(at.join(sizes, "key").withColumn("h", F.xxhash64("id")))
+    left = at.where("outside").select("key", "id", F.lit(True).alias("left"), F.expr("pmod(h, rows)").alias("row"), F.explode(F.expr("sequence(0L, cols - 1L)")).alias("col"))
+    right = at.select("key", "id", F.lit(False).alias("left"), F.explode(F.expr("sequence(0L, rows - 1L)")).alias("row"), F.expr("pmod(h, cols)").alias("col"))
+    blocks = left.union(right).join(texts, "id").groupBy("key", "row", "col")
+    found = cut(blocks.applyInPandas(lambda pdf: block_links(pdf, shingles, percent), "center long, member long"))
+    return merged(labels, found.withColumn("linked", F.lit(True)))

@@ -12,7 +12,7 @@ from bisect import bisect_left, bisect_right, insort
 
 Filling = tuple[int, ...]
 #: Decisions of the search over whole packings, and nodes and results of one enumeration of fillings.
-NODES, FILL_NODES, FILLINGS = 600, 4000, 3
+NODES, FILL_NODES, FILLINGS = 400, 2000, 3
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
@@ -90,7 +90,7 @@ def fillings(counts: dict[int, int], lengths: list[int], first: int, capacity: i
                 grow((*chosen, k), room - k, k)
                 tried += 1
             at -= 1
-            if tried >= 24:
+            if tried >= 16:
                 break
         if not fits or tried == 0:
             if chosen not in seen:
@@ -144,7 +144,7 @@ def pack(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
                 best, best_bins = [(g, m) for g, m, _ in done], used
                 stack.append([])
             else:
-                rest = best_fit(left, capacity) if budget % 50 == 0 else None
+                rest = best_fit(left, capacity) if len(done) % 64 == 0 else None
                 if rest and used + sum(m for _, m in rest) < best_bins:
                     best, best_bins = [(g, m) for g, m, _ in done] + rest, used + sum(m for _, m in rest)
                 stack.append(options())
