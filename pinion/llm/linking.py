@@ -23,7 +23,7 @@ from pinion.llm.common import U64, cut, mix
 from pinion.llm.components import components
 
 #: texts -> (per signature the place of its text, signatures, per text the 64-bit key of its set)
-Signer = Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Signer = Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
 BLOB = "r int, ids binary, keys binary, at binary, sigs binary"
 STAR = "bucket long, center long, member long"
 #: Bits of the filter that thins out texts before they are joined with candidates; 2 MB, whatever the input.
@@ -45,14 +45,19 @@ def slices(texts: list, most_chars: int) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def signature_blobs(docs: DataFrame, sign: Signer, parts: int, most_chars: int = 4_000_000) -> DataFrame:
-    """(id, text) -> packed arrays of signatures, dealt into `parts` by the signature's leading bits."""
+def signature_blobs(docs: DataFrame, sign: Signer, parts: int, most_chars: int = 4_000_000, split: Callable | None = None) -> DataFrame:
+    """(id, text) -> packed arrays of signatures, dealt into `parts` by the signature's leading bits.
+
+    split(ids, texts) may turn rows into others before they are signed. A signer without keys says that ids name the sets.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_ids, all_texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for s in slices(all_texts, most_chars):
                 ids, texts = all_ids[s], all_texts[s]
+                if split:
+                    ids, texts = split(ids, texts)
                 order = np.argsort(ids, kind="stable")
                 ids = ids[order]
                 at, sig, key = sign([texts[i] for i in order])
@@ -64,7 +69,7 @@ def signature_blobs(docs: DataFrame, sign: Signer, parts: int, most_chars: int =
                     if (a := ends[r]) < (b := ends[r + 1]):
                         used, local = np.unique(at[a:b], return_inverse=True)
                         small = np.uint16 if len(used) <= 65536 else np.uint32
-                        for col, x in zip(rows, (r, ids[used].astype(np.int64).tobytes(), key[used].tobytes(), small(0).dtype.char.encode() + local.astype(small).tobytes(), sig[a:b].tobytes()), strict=True):
+                        for col, x in zip(rows, (r, ids[used].astype(np.int64).tobytes(), b"" if key is None else key[used].tobytes(), small(0).dtype.char.encode() + local.astype(small).tobytes(), sig[a:b].tobytes()), strict=True):
                             col.append(x)
                 if rows[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["r", "ids", "keys", "at", "sigs"])
@@ -77,7 +82,7 @@ def stars_of(pdf: pd.DataFrame) -> pd.DataFrame:
     ids, keys, at, sigs, base = [], [], [], [], 0
     for i, k, a, s in zip(pdf["ids"], pdf["keys"], pdf["at"], pdf["sigs"], strict=True):
         ids.append(np.frombuffer(i, np.int64))
-        keys.append(np.frombuffer(k, U64))
+        keys.append(np.frombuffer(k or i, U64))
         at.append(np.frombuffer(a, a[:1].decode(), offset=1).astype(np.int64) + base)
         sigs.append(np.frombuffer(s, U64))
         base += len(ids[-1])
