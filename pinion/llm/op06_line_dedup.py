@@ -51,9 +51,7 @@ def minima(lines: list[str]) -> np.ndarray:
     """(lines, BANDS * ROWS) minima of the lines' shingles by one permutation."""
     bins, n = BANDS * ROWS, np.array([max(len(x), WIDTH) for x in lines], np.int64)
     c = np.frombuffer("".join([x.ljust(WIDTH) for x in lines]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
-    b1 = U64(0x9E3779B97F4A7C15)
-    b2 = b1 * b1
-    b4 = b2 * b2
+    b1, b2, b4 = (U64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4))
     h2 = c[:-1] * b1 + c[1:]
     h4 = h2[:-2] * b2 + h2[2:]
     h8 = h4[:-4] * b4 + h4[4:]
