@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from pinion.errors import INTERNAL, StatusError
+
 
 class Files:
     def __init__(self, spark: SparkSession, root: str):
@@ -25,11 +28,14 @@ class Files:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(name))) if self.exists(name) else []
 
     def read(self, name: str) -> str:
-        stream = self.fs.open(self.path(name))
         try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+            stream = self.fs.open(self.path(name))
+            try:
+                return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+        except Py4JJavaError as e:  # a failed checksum, for one
+            raise StatusError(INTERNAL, f"{name} cannot be read: {e.java_exception.getMessage()}") from None
 
     def write(self, name: str, text: str) -> None:
         """All or nothing: a temporary file is renamed into place."""
