@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +56,13 @@ def local_copy(name: str) -> str:
     return os.path.join(SparkFiles.getRootDirectory(), name)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of so many rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, max(1, len(batch)), rows):
+            yield batch.slice(at, rows)
+
+
 def parts_for(spark: SparkSession, items: int, per_part: int, least: int = 16) -> int:
     """Partitions so that each holds about per_part items, whatever the size of the input."""
     return max(least, -(-int(items) // per_part))

@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinion.llm.bloom import Bloom, fill
-from pinion.llm.common import U64, cut, mix
+from pinion.llm.common import U64, cut, mix, small
 from pinion.llm.components import components
 
-#: texts -> (per signature the place of its text, signatures, per text the 64-bit key of its set)
-Signer = Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
-BLOB = "r int, ids binary, keys binary, at binary, sigs binary"
-STAR = "bucket long, center long, member long"
+#: texts -> (per signature the place of its text, signatures, per text the 64-bit key of its set, per text its band and the
+#: least numbers of matches with a linked partner, in that band and with the band below); the last two may be None
+Signer = Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]]
+BLOB = "r int, ids binary, keys binary, needs binary, at binary, sigs binary"
+STAR = "bucket long, center long, member long, times long, need int"
 #: Bits of the filter that thins out texts before they are joined with candidates; 2 MB, whatever the input.
 THIN_BITS = 1 << 24
 #: Texts of one side of a block.
@@ -45,14 +46,14 @@ def slices(texts: list, most_chars: int) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def signature_blobs(docs: DataFrame, sign: Signer, parts: int, most_chars: int = 4_000_000, split: Callable | None = None) -> DataFrame:
+def signature_blobs(docs: DataFrame, sign: Signer, parts: int, most_chars: int = 2_000_000, split: Callable | None = None) -> DataFrame:
     """(id, text) -> packed arrays of signatures, dealt into `parts` by the signature's leading bits.
 
     split(ids, texts) may turn rows into others before they are signed. A signer without keys says that ids name the sets.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             all_ids, all_texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for s in slices(all_texts, most_chars):
                 ids, texts = all_ids[s], all_texts[s]
@@ -60,34 +61,36 @@ def signature_blobs(docs: DataFrame, sign: Signer, parts: int, most_chars: int =
                     ids, texts = split(ids, texts)
                 order = np.argsort(ids, kind="stable")
                 ids = ids[order]
-                at, sig, key = sign([texts[i] for i in order])
+                at, sig, key, needs = sign([texts[i] for i in order])
                 part = ((sig >> U64(32)) * U64(parts)) >> U64(32)
                 by = np.argsort(part, kind="stable")
                 at, sig, ends = at[by], sig[by], np.searchsorted(part[by], np.arange(parts + 1, dtype=U64))
-                rows: list[list] = [[], [], [], [], []]
+                rows: list[list] = [[] for _ in range(6)]
                 for r in range(parts):
                     if (a := ends[r]) < (b := ends[r + 1]):
                         used, local = np.unique(at[a:b], return_inverse=True)
-                        small = np.uint16 if len(used) <= 65536 else np.uint32
-                        for col, x in zip(rows, (r, ids[used].astype(np.int64).tobytes(), b"" if key is None else key[used].tobytes(), small(0).dtype.char.encode() + local.astype(small).tobytes(), sig[a:b].tobytes()), strict=True):
+                        width = np.uint16 if len(used) <= 65536 else np.uint32
+                        for col, x in zip(rows, (r, ids[used].astype(np.int64).tobytes(), b"" if key is None else key[used].tobytes(), b"" if needs is None else needs[used].tobytes(), width(0).dtype.char.encode() + local.astype(width).tobytes(), sig[a:b].tobytes()), strict=True):
                             col.append(x)
                 if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["r", "ids", "keys", "at", "sigs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["r", "ids", "keys", "needs", "at", "sigs"])
 
     return docs.mapInArrow(emit, BLOB)
 
 
 def stars_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The buckets of one part: (bucket, center, member), one row per member beside the centre, each list of members once."""
-    ids, keys, at, sigs, base = [], [], [], [], 0
-    for i, k, a, s in zip(pdf["ids"], pdf["keys"], pdf["at"], pdf["sigs"], strict=True):
+    """The buckets of one part: (bucket, center, member, times, need), one row per member beside the centre. Each list of
+    members comes once, with the number of its buckets, and with how many a pair must share to be linked."""
+    ids, keys, needs, at, sigs, base = [], [], [], [], [], 0
+    for i, k, m, a, s in zip(pdf["ids"], pdf["keys"], pdf["needs"], pdf["at"], pdf["sigs"], strict=True):
         ids.append(np.frombuffer(i, np.int64))
         keys.append(np.frombuffer(k or i, U64))
+        needs.append(np.frombuffer(m, np.int16).reshape(-1, 3) if m else np.ones((len(ids[-1]), 3), np.int16))
         at.append(np.frombuffer(a, a[:1].decode(), offset=1).astype(np.int64) + base)
         sigs.append(np.frombuffer(s, U64))
         base += len(ids[-1])
-    ids, keys, at, sigs = map(np.concatenate, (ids, keys, at, sigs))
-    none = pd.DataFrame({c: np.empty(0, np.int64) for c in ("bucket", "center", "member")})
+    ids, keys, needs, at, sigs = map(np.concatenate, (ids, keys, needs, at, sigs))
+    none = pd.DataFrame({c: np.empty(0, np.int64) for c in ("bucket", "center", "member", "times", "need")})
     order = np.argsort(sigs, kind="stable")
     s = sigs[order]
     same = s[1:] == s[:-1]
@@ -98,15 +101,15 @@ def stars_of(pdf: pd.DataFrame) -> pd.DataFrame:
     b = np.cumsum(np.concatenate([[True], s[1:] != s[:-1]])) - 1
     i, k = ids[own], keys[own]
     order = np.lexsort((i, k, b))
-    b, i, k = b[order], i[order], k[order]
+    b, i, k, own = b[order], i[order], k[order], own[order]
     first = np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])])  # copies of a set count once, by their least id
-    b, i = b[first], i[first]
+    b, i, own = b[first], i[first], own[first]
     order = np.lexsort((i, b))
-    b, i = b[order], i[order]
+    b, i, own = b[order], i[order], own[order]
     start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
     size = np.diff(np.append(start, len(b)))
     name = mix(np.add.reduceat(mix(i.astype(U64)), start) + size.astype(U64))
-    _, once = np.unique(name, return_index=True)
+    _, once, of, times = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
     chosen = np.zeros(len(start), bool)
     chosen[once] = True
     chosen &= size > 1
@@ -114,7 +117,11 @@ def stars_of(pdf: pd.DataFrame) -> pd.DataFrame:
         return none
     member = np.repeat(chosen, size)
     member[start] = False
-    return pd.DataFrame({"bucket": np.repeat(name, size)[member].astype(np.int64), "center": np.repeat(i[start], size)[member], "member": i[member]})
+    x, c = needs[own[member]], needs[own[np.repeat(start, size)[member]]]
+    low = np.minimum(x[:, 0], c[:, 0])
+    need = np.maximum(np.where(x[:, 0] == low, x[:, 1], x[:, 2]), np.where(c[:, 0] == low, c[:, 1], c[:, 2]))
+    wide = lambda v: np.repeat(v, size)[member]
+    return pd.DataFrame({"bucket": wide(name).astype(np.int64), "center": wide(i[start]), "member": i[member], "times": wide(times[of]), "need": need.astype(np.int32)})
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray]) -> DataFrame:
@@ -122,7 +129,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.nd
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lru_cache(256)(shingles)
-        for batch in batches:
+        for batch in small(batches, 256):
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             inter, union = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
             for n, (x, y) in enumerate(zip(a, b, strict=True)):
@@ -140,7 +147,8 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.nd
 def block_links(pdf: pd.DataFrame, shingles: Callable[[str], np.ndarray], percent: int) -> pd.DataFrame:
     """Links between the left and the right rows of one block, by counting common shingles over postings."""
     left, right = pdf[pdf["left"]], pdf[~pdf["left"]]
-    sets = [shingles(t) for t in right["text"]]
+    known = {i: shingles(t) for i, t in zip(right["id"], right["text"], strict=True)}
+    sets = list(known[i] for i in right["id"])
     size, ids = np.array([len(x) for x in sets], np.int64), right["id"].to_numpy(np.int64)
     flat = np.concatenate(sets) if sets else np.empty(0, U64)
     owner = np.repeat(np.arange(len(sets)), size)
@@ -148,7 +156,7 @@ def block_links(pdf: pd.DataFrame, shingles: Callable[[str], np.ndarray], percen
     flat, owner = flat[order], owner[order]
     out: list[tuple[int, int]] = []
     for me, text in zip(left["id"], left["text"], strict=True):
-        x = shingles(text)
+        x = known[me] if me in known else shingles(text)
         a, b = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
         n = b - a
         at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -178,8 +186,10 @@ def linked_components(
 
     fetch(may_be) returns (id, text) of at least the ids for which may_be(ids) is true, one row per id.
     """
-    stars = cut(blobs.groupBy("r").applyInPandas(stars_of, STAR).dropDuplicates(["bucket", "member"]))
-    pairs = stars.select("center", "member").distinct()
+    stars = blobs.groupBy("r").applyInPandas(stars_of, STAR).groupBy("bucket", "member")
+    stars = cut(stars.agg(F.first("center").alias("center"), F.sum("times").alias("times"), F.first("need").alias("need")))
+    pairs = stars.groupBy("center", "member").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
+    pairs = pairs.where("times >= need").select("center", "member")
     ids = stars.select(F.col("center").alias("id")).union(stars.select("member")).distinct()
     thin: Bloom = fill(ids, Bloom(THIN_BITS, 3))
     texts = cut(fetch(lambda x: thin.contains(x.astype(U64))).join(ids, "id", "left_semi"))
@@ -200,7 +210,8 @@ def linked_components(
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
         return rows.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
 
-    mixed = labelled(every, labels).groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
+    mixed = labelled(every, labels).groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n"))
+    mixed = mixed.where("a <> b AND n > 2").select("bucket")  # two members have been tested, or cannot be linked
     open_ = every.join(mixed, "bucket")
     # a second star around the member with the most links so far: the source of a group of copies links them all
     linked = first.where("linked")
@@ -213,9 +224,11 @@ def linked_components(
     second = test(open_.where("label <> hub_label").select(*key).distinct().join(first.select("center", "member"), ["center", "member"], "left_anti"))
     labels = merged(labels, second)
     # what is left: per component, the members of its open buckets that lie outside it, against all members, in blocks
-    at = labelled(open_.select("bucket", "id", "hub"), labels)
+    at = cut(labelled(open_.where("id <> center AND id <> hub").select("bucket", "id", "hub"), labels))  # those two are tested with all
+    mixed = at.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
     of_hub = labels.select(F.col("id").alias("hub"), F.col("component").alias("of_hub"))
-    at = at.join(of_hub, "hub", "left").select(F.coalesce("of_hub", "hub").alias("key"), "id", (F.col("label") != F.coalesce("of_hub", "hub")).alias("outside")).distinct()
+    at = at.join(mixed, "bucket").join(of_hub, "hub", "left")
+    at = at.select(F.coalesce("of_hub", "hub").alias("key"), "id", (F.col("label") != F.coalesce("of_hub", "hub")).alias("outside")).distinct()
     sizes = at.groupBy("key").agg(F.count_if("outside").alias("out"), F.count("*").alias("all")).where("out > 0")
     sizes = sizes.select("key", F.ceil(F.col("out") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("cols"))
     at = cut(at.join(sizes, "key").withColumn("h", F.xxhash64("id")))

@@ -4,7 +4,8 @@ Documents become sets of distinct 5-word shingles. Sizes fall into bands [l, flo
 same or the next band. Within two such bands, linked sets differ in at most k elements. The feature domain is split into
 n1 partitions of three parts each; by the pigeonhole principle some partition holds at most one of the k differences, so
 two of its three parts agree: every subset of two parts is a signature. Signatures of empty subsets are only needed by
-sets with so many of them that all agreeing subsets could be empty, and only such sets emit them.
+sets with so many of them that all agreeing subsets could be empty, and only such sets emit them. There are k / 16 more
+partitions than that needs, so that linked sets agree in several: pairs that agree in fewer are never verified.
 
 Cost: about 0.9 signatures of 10 bytes per shingle, one shuffle of packed arrays; candidates are verified exactly.
 """
@@ -19,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinion.llm.common import U64, cut, mix, parts_for, set_key, shingle_set, table
+from pinion.llm.common import U64, cut, mix, parts_for, set_key, shingle_set, small, table
 from pinion.llm.linking import linked_components, signature_blobs
 
 WIDTH, PERCENT = 5, 80
 #: Bytes of signatures that one task joins.
-PART_BYTES = 24_000_000
+PART_BYTES = 12_000_000
 
 
 class Bands:
@@ -45,15 +46,18 @@ class Bands:
         return np.searchsorted(self.first, sizes, side="right") - 1
 
 
-def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Per signature the place of its set, and the signature. Sets are sorted distinct hashes; empty ones have none."""
+def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per signature the place of its set, and the signature; per set (band, least matches there, least matches in the band
+    below): a linked partner agrees in at least so many partitions. Sets are sorted distinct hashes; empty ones have none."""
     sizes = np.array([len(s) for s in sets], np.int64)
+    needs = np.ones((len(sets), 3), np.int16)
     if not sizes.sum():
-        return np.empty(0, np.int64), np.empty(0, U64)
+        return np.empty(0, np.int64), np.empty(0, U64), needs
     bands = Bands(percent, int(sizes.max()))
     h = np.concatenate(sets)
     content, high, low = mix(h), h >> U64(32), ((h & U64(0xFFFFFFFF)) * U64(3)) >> U64(32)
     place, sig = [], []
+    needs[:, 0] = bands.of(np.maximum(sizes, 1))
     for upper in (0, 1):
         inst = bands.of(np.maximum(sizes, 1)) - upper
         ok = (sizes > 0) & (inst >= 0)
@@ -73,31 +77,34 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
         left, kept = c.sum(1, keepdims=True) - c, total.sum(1, keepdims=True, dtype=U64) - total  # without one part of three
         who = np.repeat(np.arange(len(sets)), n1)
         hollow = np.bincount(who, (left == 0).any(1), len(sets))
-        poor = (n1 - bands.k[np.maximum(inst, 0)] // 2 <= hollow)[who]
+        sure = n1 - bands.k[np.maximum(inst, 0)] // 2 - hollow
+        needs[:, 1 + upper] = np.where(ok, sure, 1)
+        poor = (sure <= 0)[who]
         name = (inst[who].astype(U64) << U64(40)) + (np.arange(len(who)) - base[who]).astype(U64) * U64(4)
         name = mix(name[:, None] + np.arange(3, dtype=U64)[None, :])
         full = mix(mix(kept + left.astype(U64)) + name)
         keep = (left > 0) | poor[:, None]
         place.append(np.broadcast_to(who[:, None], keep.shape)[keep])
         sig.append(full[keep])
-    return (np.concatenate(place), np.concatenate(sig)) if sig else (np.empty(0, np.int64), np.empty(0, U64))
+    return (np.concatenate(place), np.concatenate(sig), needs) if sig else (np.empty(0, np.int64), np.empty(0, U64), needs)
 
 
-def sign(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sign(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     sets = [shingle_set(t, WIDTH) for t in texts]
     keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], U64)
     _, first = np.unique(keys, return_index=True)
     once = np.zeros(len(sets), bool)
     once[first] = True
     none = np.empty(0, U64)
-    return *signatures([s if once[i] else none for i, s in enumerate(sets)]), keys
+    at, sig, needs = signatures([s if once[i] else none for i, s in enumerate(sets)])
+    return at, sig, keys, needs
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
     """(id, text) -> (id, n, set): the number of shingles and 128 bits that name the set."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n, names = [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t, WIDTH)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinion.llm.common import table
+from pinion.llm.common import small, table
 
 WINDOW = 64
 HIDDEN = 8
@@ -258,7 +258,7 @@ def language_id(docs: DataFrame, net: Network, text_col: str = "text") -> DataFr
     at = rest.index(text_col)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             pred, score = predict(broadcast.value, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 

@@ -15,15 +15,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from pinion.llm.common import U64, char_shingle_set, cut, mix, parts_for, table
+from pinion.llm.common import U64, char_shingle_set, cut, mix, parts_for, small, table
 from pinion.llm.linking import linked_components, signature_blobs
 
 #: 14 bands of 4: a pair of similarity 0.8 is missed with probability 0.0006.
 WIDTH, PERCENT, BANDS, ROWS = 10, 80, 14, 4
 #: Shorter lines, or lines of fewer words, recur by chance and stay as they are.
 MIN_CHARS, MIN_WORDS = 16, 3
-PART_BYTES = 24_000_000
+PART_BYTES = 12_000_000
 
 
 def normal(line: str) -> str:
@@ -70,21 +71,21 @@ def minima(lines: list[str]) -> np.ndarray:
     return np.take_along_axis(out, ahead % bins, 1) + ((ahead - np.arange(bins)) * 0x85EBCA6B).astype(np.uint32)
 
 
-def sign(lines: list[str]) -> tuple[np.ndarray, np.ndarray, None]:
+def sign(lines: list[str]) -> tuple[np.ndarray, np.ndarray, None, None]:
     if not lines:
-        return np.empty(0, np.int64), np.empty(0, U64), None
+        return np.empty(0, np.int64), np.empty(0, U64), None, None
     m = minima(lines).reshape(-1, BANDS, ROWS).astype(U64)
     sig = np.arange(BANDS, dtype=U64) + U64(1)
     for r in range(ROWS):
         sig = mix(sig * U64(0x9E3779B97F4A7C15) + m[:, :, r])
-    return np.repeat(np.arange(len(lines)), BANDS), sig.ravel(), None
+    return np.repeat(np.arange(len(lines)), BANDS), sig.ravel(), None, None
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """(id, text) -> (id, pos, line) of every line that is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, pos, line = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for p, x in enumerate(t.split("\n") if t else ()):
@@ -101,7 +102,7 @@ def candidate_lines(docs: DataFrame, may_be) -> DataFrame:
     """(id, text) of the distinct lines that may_be lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, lines = lines_of(None, batch.column(1).to_pylist())
             at = np.flatnonzero(may_be(ids)) if len(ids) else []
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]) if len(at) else pa.array([], pa.int64()), pa.array([lines[i] for i in at], pa.string())], names=["id", "text"])
@@ -139,7 +140,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     at = rest.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, n = batch.column(at).to_pylist(), []
             for i, drop in enumerate(batch.column(len(rest)).to_pylist()):
                 n.append(len(drop or ()))
@@ -149,7 +150,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(rest)])]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32())], names=[*rest, "n_dropped"])
 
-    return rows.mapInArrow(run, docs.select(*rest).schema.add("n_dropped", "int"))
+    return rows.mapInArrow(run, docs.select(*rest).schema.add("n_dropped", IntegerType()))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pinion.llm.bpe import Vocabulary
-from pinion.llm.common import cut, table
+from pinion.llm.common import cut, small, table
 from pinion.llm.op09_bpe import default_vocabulary
 from pinion.llm.packing import pack
 
@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = word_ids(vocabulary), array("I", [END_ID]).tobytes()
-        for batch in batches:
+        for batch in small(batches):
             who, rows = [], [array("q") for _ in range(4)]
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a in range(0, len(texts), 512):

@@ -15,9 +15,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from pinion.llm.bpe import Encoder, Lexicon, Vocabulary, compile_lexicon
-from pinion.llm.common import local_copy, publish, table
+from pinion.llm.common import local_copy, publish, small, table
 
 LEXICON_WORDS, MIN_COUNT = 60_000, 3
 #: Words that a worker counts before it passes the counts on.
@@ -54,7 +55,7 @@ def word_counts(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Dat
             seen.clear()
             return out
 
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 for part, special in v.segments(text) if text else ():
                     if special is None:
@@ -84,12 +85,12 @@ def encode_column(docs: DataFrame, vocabulary: str, lexicon: str | None, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder_for(vocabulary, lexicon)
-        for batch in batches:
+        for batch in small(batches):
             done = [e.encode(t) for t in batch.column(len(rest)).to_pylist()]
             ids = pa.array([memoryview(b).cast("I").tolist() for b, _ in done], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], ids, pa.array([t for _, t in done], pa.string())], names=[*rest, "ids", "decoded"])
 
-    return docs.select(*rest, text_col).mapInArrow(run, docs.select(*rest).schema.add("ids", "array<int>").add("decoded", "string"))
+    return docs.select(*rest, text_col).mapInArrow(run, docs.select(*rest).schema.add("ids", ArrayType(IntegerType())).add("decoded", "string"))
 
 
 def decode_column(docs: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
@@ -111,7 +112,7 @@ def digests(docs: DataFrame, vocabulary: str, lexicon: str | None, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder_for(vocabulary, lexicon)
-        for batch in batches:
+        for batch in small(batches):
             n, a, b = array("q"), [], []
             for text in batch.column(1).to_pylist():
                 ids, decoded = e.encode(text)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinion.llm.common import table
+from pinion.llm.common import small, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
@@ -77,7 +77,7 @@ def blocks_of(html: str) -> list[Block]:
     stack: list[tuple[str, int, bool]] = []  # tag, number, beside
     out: list[Block] = []
     now: Block | None = None
-    number = links = 0
+    number = links = articles = 0
 
     def text(raw: str) -> None:
         nonlocal now
@@ -93,9 +93,10 @@ def blocks_of(html: str) -> list[Block]:
             now.links += len(raw)
 
     def close(to: int) -> None:
-        nonlocal links, now
+        nonlocal links, now, articles
         for tag, _, beside in stack[to:]:
             links -= tag == "a"
+            articles -= tag in ("article", "main")
             if tag not in INLINE or beside and not (stack[to - 1][2] if to else False):
                 now = None
         del stack[to:]
@@ -140,19 +141,19 @@ def blocks_of(html: str) -> list[Block]:
                     break
                 i -= 1
         beside = bool(stack) and stack[-1][2]
-        inside = any(s[0] in ("article", "main") for s in stack)
+        inside = articles > 0
         if tag in GONE or tag == "header" and not inside or named_beside(tag, m[3]):
             beside = True
         if tag == "header" and inside and not beside:
             beside = True
-        if tag in HEADINGS and beside and stack and stack[-1][0] == "header" and inside and not any(s[2] for s in stack[:-1]):
+        if tag in HEADINGS and beside and stack and stack[-1][0] == "header" and inside and not (len(stack) > 1 and stack[-2][2]):
             beside = False  # an article's own heading
         if tag not in INLINE or beside and not (stack and stack[-1][2]):
             now = None
         links += tag == "a"
         number += 1
-        if not m[3].rstrip().endswith("/") or tag not in ("path", "use", "rect"):
-            stack.append((tag, number, beside))
+        articles += tag in ("article", "main")
+        stack.append((tag, number, beside))
     text(html[at:])
     kept = []
     for b in out:
@@ -219,7 +220,7 @@ def html_extraction(pages: DataFrame, html_col: str = "html") -> DataFrame:
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [extract(h) for h in batch.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*rest, "text", "n_chars"])
 
