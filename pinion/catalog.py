@@ -324,3 +324,28 @@ def hnsw_full_ef(spark: SparkSession, d: str) -> DataFrame:
 def replay_log(spark: SparkSession, d: str) -> DataFrame:
     """Events as an operation log: the last operation of a user decides, and a refund deletes."""
     return latest(table(spark, d, "events"), "user_id", "event_id", ["event_type", "value"]).where("event_type <> 'refund'").select("user_id", "event_id", "value")
+
+
+@query("collection_lifecycle", f"SELECT vec_id, {DUCK[COSINE]} AS score FROM {DOCS_SQL} WHERE lang <> 'de' AND n_chars >= 100 ORDER BY score DESC, vec_id::varchar LIMIT {K}")
+def collection_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Through the collection API: bulk load, delete by filter, column added and renamed, compaction, filtered query."""
+    import uuid
+
+    from pinion.collection import Database
+    from pinion.plans.planner import VectorQuery
+    from pinion.schema import BOOL, Options
+
+    root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_collections/{uuid.uuid4().hex}"
+    rows = emb_docs(spark, d).select(
+        F.col("vec_id").cast("string").alias("id"), F.col("vec_id").cast("string").alias("f_pk"), F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), F.col("n_chars").alias("f_n_chars"),
+        F.col("label").alias("f_label"), F.lit(None).cast("long").alias("f_quality"), F.col("embedding").alias("vector"), F.array(F.lit("quality")).alias("_missing"), F.lit(None).cast("string").alias("_extra"),
+    )
+    vector = asked(spark, d).head()["qv"]
+    with Database(spark, root).create_collection(DOCS, Options(segment_max_docs=128)) as c:
+        c.append_frame(rows)
+        c.delete_by_filter("lang = 'de'")
+        c.add_column(ScalarField("seen", BOOL, default=False))
+        c.rename_column("n_chars", "length")
+        c.optimize()
+        hits = c.query(VectorQuery("embedding", K, list(vector), filter="length >= 100 AND seen = false", fields=[]))
+    return spark.createDataFrame([(int(h.id), h.score) for h in hits], "vec_id long, score float")

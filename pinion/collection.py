@@ -8,7 +8,9 @@ Batches through the API are small and resolved on the driver; append_frame() is
 
 from __future__ import annotations
 
+import fcntl
 import json
+import os
 import re
 import threading
 from dataclasses import replace
@@ -68,6 +70,21 @@ class Database:
         return c
 
 
+def _locked(root: str) -> int | None:
+    """An exclusive lock on a local collection, held by its descriptor. Other stores have none: there one process is to write."""
+    path = root.removeprefix("file://") if root.startswith("file://") else root.removeprefix("file:")
+    if "://" in path:
+        return None
+    os.makedirs(path, exist_ok=True)
+    lock = os.open(f"{path}/LOCK", os.O_CREAT | os.O_RDWR, 0o644)
+    try:
+        fcntl.flock(lock, fcntl.LOCK_EX | fcntl.LOCK_NB)
+    except OSError:
+        os.close(lock)
+        raise StatusError(FAILED_PRECONDITION, "another process has opened the collection") from None
+    return lock
+
+
 def _version(name: str) -> int | None:
     m = re.fullmatch(r"manifest\.(\d+)\.json", name)
     return int(m[1]) if m else None
@@ -80,6 +97,7 @@ class Collection:
         with _guard:
             if files.root in _open:
                 raise StatusError(FAILED_PRECONDITION, "the collection is open already")
+            self.lock = _locked(files.root)
             _open.add(files.root)
         self.spark, self.files, self.closed = spark, files, False
         self.version, self.sequence, self.next_id, self.segments = -1, 0, 1, []
@@ -96,6 +114,8 @@ class Collection:
             if not self.closed:
                 _open.discard(self.files.root)
                 self.closed = True
+                if self.lock is not None:
+                    os.close(self.lock)
 
     def __enter__(self) -> Collection:
         return self
@@ -158,6 +178,7 @@ class Collection:
         except (ValueError, KeyError, TypeError) as e:
             raise StatusError(INTERNAL, f"manifest {version} is corrupt: {e!r}") from None
         self.schema.validate()
+        self._check_indexes()
         pending = [n for n in self.files.names("oplog") if int(n.split(".")[0]) >= self.sequence]
         if pending and self.options.access_mode == READ_ONLY:
             raise StatusError(FAILED_PRECONDITION, "a read-only collection has pending operations")
@@ -213,6 +234,22 @@ class Collection:
         if state.hnsw:
             hnsw.build_edges(self._base(), self.schema.vector.metric, state.hnsw).write.mode("overwrite").parquet(f"{at}/hnsw")
 
+    def _check_indexes(self) -> None:
+        """The side tables of a version must be there and cover exactly its rows."""
+        state, at = self.schema.vector.indexes, f"index/v={self.version}"
+        if not self.segments:
+            return
+        for kind, params in (("ivf", state.ivf), ("hnsw", state.hnsw)):
+            if params and not self.files.exists(f"{at}/{kind}"):
+                raise StatusError(INTERNAL, f"the {kind} index of version {self.version} is missing")
+        if state.ivf:
+            lists = self.spark.read.parquet(f"{self.files.root}/{at}/ivf").groupBy("segment_id").agg(F.count("*").alias("n"), F.max("list").alias("last"))
+            have = {r["segment_id"]: (r["n"], r["last"]) for r in lists.collect()}
+            for s in self.segments:
+                n, last = have.get(s["segment_id"], (0, -1))
+                if n != s["doc_count"] or last >= min(n, state.ivf.n_list):
+                    raise StatusError(INTERNAL, f"the ivf index of segment {s['segment_id']} does not fit its rows")
+
     # --- reads -------------------------------------------------------------------------------------------------------
 
     def stats(self) -> dict[str, int]:
