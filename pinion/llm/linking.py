@@ -144,39 +144,42 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.nd
     return rows.mapInArrow(measure, "center long, member long, inter long, union long")
 
 
-def block_links(pdf: pd.DataFrame, shingles: Callable[[str], np.ndarray], percent: int) -> pd.DataFrame:
-    """Links between the left and the right rows of one block, by counting common shingles over postings."""
-    left, right = pdf[pdf["left"]], pdf[~pdf["left"]]
-    known = {i: shingles(t) for i, t in zip(right["id"], right["text"], strict=True)}
-    sets = list(known[i] for i in right["id"])
-    size, ids = np.array([len(x) for x in sets], np.int64), right["id"].to_numpy(np.int64)
-    flat = np.concatenate(sets) if sets else np.empty(0, U64)
-    owner = np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    out: list[tuple[int, int]] = []
-    for me, text in zip(left["id"], left["text"], strict=True):
-        x = known[me] if me in known else shingles(text)
-        a, b = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
-        n = b - a
-        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        inter = np.bincount(owner[at], minlength=len(sets))
-        for i in np.flatnonzero((100 * inter >= percent * (len(x) + size - inter)) & (ids != me)):
-            out.append((min(me, int(ids[i])), max(me, int(ids[i]))))
-    # a spanning forest says as much as all links of the block
-    root: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while root.get(v, v) != v:
-            root[v] = v = root.get(root[v], root[v])
-        return v
-
-    kept = []
-    for u, v in out:
-        if (a := find(u)) != (b := find(v)):
-            root[max(a, b)] = min(a, b)
-            kept.append((u, v))
-    return pd.DataFrame({"center": np.array([u for u, _ in kept], np.int64), "member": np.array([v for _, v in kept], np.int64)})
+def block_links(t: pa.Table, shingles: Callable[[str], np.ndarray], percent: int) -> pa.Table:
+    """Links between the left and the right rows of each key, by counting common shingles over postings. Of a key's links a
+    spanning forest is returned, which says as much."""
+    t = t.sort_by("key")
+    key, ids, left = t.column("key").to_numpy(), t.column("id").to_numpy(), t.column("left").to_numpy()
+    texts = t.column("text").to_pylist()
+    of = lru_cache(2 * BLOCK)(lambda _, text: shingles(text))
+    kept: list[tuple[int, int]] = []
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
+    for a, b in zip(start, np.append(start[1:], len(key)), strict=True):
+        right = np.flatnonzero(~left[a:b]) + a
+        sets = [of(ids[i], texts[i]) for i in right]
+        size = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.empty(0, U64)
+        owner = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.get(v, v) != v:
+                root[v] = v = root.get(root[v], root[v])
+            return v
+
+        for i in np.flatnonzero(left[a:b]) + a:
+            x, me = of(ids[i], texts[i]), int(ids[i])
+            lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            inter = np.bincount(owner[at], minlength=len(sets))
+            for j in np.flatnonzero(100 * inter >= percent * (len(x) + size - inter)):
+                you = int(ids[right[j]])
+                if you != me and (u := find(me)) != (v := find(you)):
+                    root[max(u, v)] = min(u, v)
+                    kept.append((min(me, you), max(me, you)))
+    return pa.table({"center": pa.array([u for u, _ in kept], pa.int64()), "member": pa.array([v for _, v in kept], pa.int64())})
 
 
 def linked_components(
@@ -232,8 +235,9 @@ def linked_components(
     sizes = at.groupBy("key").agg(F.count_if("outside").alias("out"), F.count("*").alias("all")).where("out > 0")
     sizes = sizes.select("key", F.ceil(F.col("out") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("cols"))
     at = cut(at.join(sizes, "key").withColumn("h", F.xxhash64("id")))
+    bins = max(1, -(-at.count() // BLOCK))  # small keys share a task's group; the blocks of a large one are groups of their own
     left = at.where("outside").select("key", "id", F.lit(True).alias("left"), F.expr("pmod(h, rows)").alias("row"), F.explode(F.expr("sequence(0L, cols - 1L)")).alias("col"))
     right = at.select("key", "id", F.lit(False).alias("left"), F.explode(F.expr("sequence(0L, rows - 1L)")).alias("row"), F.expr("pmod(h, cols)").alias("col"))
-    blocks = left.union(right).join(texts, "id").groupBy("key", "row", "col")
-    found = cut(blocks.applyInPandas(lambda pdf: block_links(pdf, shingles, percent), "center long, member long"))
+    blocks = left.union(right).join(texts, "id").groupBy(F.pmod(F.xxhash64("key"), F.lit(bins)).alias("bin"), "row", "col")
+    found = cut(blocks.applyInArrow(lambda t: block_links(t, shingles, percent), "center long, member long"))
     return merged(labels, found.withColumn("linked", F.lit(True)))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from pinion.llm.common import U64, char_shingle_set, cut, mix, parts_for, small, table
-from pinion.llm.linking import linked_components, signature_blobs
+from pinion.llm.linking import linked_components, signature_blobs, slices
 
 #: 14 bands of 4: a pair of similarity 0.8 is missed with probability 0.0006.
 WIDTH, PERCENT, BANDS, ROWS = 10, 80, 14, 4
@@ -57,13 +57,13 @@ def minima(lines: list[str]) -> np.ndarray:
     h4 = h2[:-2] * b2 + h2[2:]
     h8 = h4[:-4] * b4 + h4[4:]
     h = mix(h8[: len(c) - WIDTH + 1] * b2 + h2[8 : 8 + len(c) - WIDTH + 1])
-    owner = np.repeat(np.arange(len(lines)), n)[: len(h)]
-    last = np.cumsum(n)[owner] - WIDTH
-    own = np.arange(len(h)) <= last
-    h, owner = h[own], owner[own]
-    at = owner * bins + (((h >> U64(32)) * U64(bins)) >> U64(32)).astype(np.int64)
+    at = np.repeat(np.arange(len(lines)) * bins, n)[: len(h)]
+    at += (((h >> U64(32)) * U64(bins)) >> U64(32)).astype(np.int64)
+    low = h.astype(np.uint32)
+    ends = np.cumsum(n)[:-1]
+    low[(ends[:, None] - np.arange(1, WIDTH)).ravel()] = 0xFFFFFFFF  # what would reach over a line's end
     out = np.full(len(lines) * bins, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(out, at, (h & U64(0xFFFFFFFF)).astype(np.uint32))
+    np.minimum.at(out, at, low)
     out = out.reshape(-1, bins)
     col = np.where(out == 0xFFFFFFFF, 4 * bins, np.arange(bins))
     ahead = np.minimum.accumulate(np.concatenate([col, col + bins], 1)[:, ::-1], axis=1)[:, ::-1][:, :bins]
@@ -74,7 +74,8 @@ def minima(lines: list[str]) -> np.ndarray:
 def sign(lines: list[str]) -> tuple[np.ndarray, np.ndarray, None, None]:
     if not lines:
         return np.empty(0, np.int64), np.empty(0, U64), None, None
-    m = minima(lines).reshape(-1, BANDS, ROWS).astype(U64)
+    parts = slices(lines, 150_000)  # small arrays stay in the processor's cache
+    m = np.concatenate([minima(lines[p]) for p in parts]).reshape(-1, BANDS, ROWS).astype(U64)
     sig = np.arange(BANDS, dtype=U64) + U64(1)
     for r in range(ROWS):
         sig = mix(sig * U64(0x9E3779B97F4A7C15) + m[:, :, r])

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,13 +118,11 @@ def test_bands_cover_all_partners():
 
 
 def test_blocks_find_links():
-    import pandas as pd
-
     texts = near_copies(random.Random(1), 30, 40, 3)
-    pdf = pd.DataFrame({"id": range(31), "text": texts, "left": True})
-    both = pd.concat([pdf, pdf.assign(left=False)])
-    found = block_links(both, lambda t: shingle_set(t), 80)
-    root = unite(range(31), zip(found["center"], found["member"], strict=True))
+    both = pa.table({"key": [5] * 62 + [1, 1], "id": [*range(31)] * 2 + [100, 101], "text": texts * 2 + ["a b", "a b"], "left": [True] * 31 + [False] * 31 + [True, False]})
+    found = block_links(both, shingle_set, 80).to_pylist()
+    assert {"center": 100, "member": 101} in found
+    root = unite(range(31), [(r["center"], r["member"]) for r in found if r["center"] < 100])
     assert {i: r for i, r in root.items()} == {i: r for i, (_, r) in brute_jaccard(list(enumerate(texts))).items()}
 
 
