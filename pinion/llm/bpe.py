@@ -16,7 +16,7 @@ from array import array
 from functools import cached_property
 
 #: Characters for which this module normalizes and splits by itself; texts with others go through the library's own steps.
-_PLAIN = {*range(0x0250), *range(0x2010, 0x2028), 0x20AC}
+_PLAIN = {*range(0x1C), *range(0x20, 0x0250), *range(0x2010, 0x2028), 0x20AC}
 _PLAIN = sorted(c for c in _PLAIN if {*map(ord, chr(c).lower())} <= _PLAIN)
 _SPACE = set(map(chr, (*range(9, 14), 32, 0x85, 0xA0)))
 MAGIC = b"LEXA"
@@ -61,8 +61,9 @@ class Vocabulary:
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.bytes = byte_chars()
         letters, numbers, rest = _classes()
-        self._plain = re.compile(f"[{letters}{numbers}{rest}{''.join(map(re.escape, sorted(_SPACE)))}]*")
-        self._split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[{rest}]+")
+        plain = re.compile(f"[{letters}{numbers}{rest}{''.join(map(re.escape, sorted(_SPACE)))}]*")
+        self.plain = plain.fullmatch  # whether this module handles a text; str.split() then splits where the model does
+        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[{rest}]+").findall
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
 
     @cached_property
@@ -94,8 +95,8 @@ class Vocabulary:
 
     def words(self, text: str) -> list[str]:
         """The pieces of a text without special tokens, normalized, before the byte level."""
-        if self._plain.fullmatch(text):
-            return self._split.findall(text.lower())
+        if self.plain(text):
+            return self.split(text.lower())
         lib = self.library
         back = {c: b for b, c in enumerate(self.bytes)}
         pieces = lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))
@@ -220,19 +221,21 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     return head + b"".join(x.tobytes() for x in (first, target, skip, offset, ids)) + bytes(ends) + bytes(labels)
 
 
-class _Known(dict):
-    """word -> (ids as bytes, decoded tokens); emptied when full, so that memory stays bounded."""
+class Known(dict):
+    """What was made of a key before. Two generations of `half` entries each: memory stays bounded, frequent keys stay known."""
 
-    MOST = 300_000
-
-    def __init__(self, encoder: Encoder):
+    def __init__(self, make, half: int = 250_000):
         super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> tuple[bytes, str]:
-        if len(self) >= self.MOST:
+        self.make, self.half, self.old = make, half, {}
+
+    def __missing__(self, key: str):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        out = self[word] = self.encoder.word(word)
+        self[key] = out
         return out
 
 
@@ -240,7 +243,8 @@ class Encoder:
     """Encodes and decodes as the tokenizers library does with add_special_tokens=False."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
-        self.vocabulary, self.lexicon, self.known = vocabulary, lexicon, _Known(self)
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.known, self.words = Known(self.chunk, 200_000), Known(self.word, 150_000)
 
     def word(self, word: str) -> tuple[bytes, str]:
         v = self.vocabulary
@@ -250,6 +254,13 @@ class Encoder:
             ids = array("I", v.merge("".join([v.bytes[b] for b in raw]))).tobytes()
         return ids, " ".join([v.tokens[i] for i in array("I", ids)])
 
+    def chunk(self, chunk: str) -> tuple[bytes, str]:
+        """The same for what stands between white space: its pieces depend on nothing around it."""
+        found = [self.words[w] for w in self.vocabulary.split(chunk)]
+        if len(found) == 1:
+            return found[0]
+        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
+
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text (no decoder: tokens joined by spaces)."""
         if not text:
@@ -258,7 +269,9 @@ class Encoder:
         for part, special in self.vocabulary.segments(text) if "<|" in text else [(text, None)]:
             if special is not None:
                 found.append((struct.pack("<I", special), part))
-            elif part:
+            elif self.vocabulary.plain(part):
                 known = self.known
-                found += [known[w] for w in self.vocabulary.words(part)]
+                found += [known[c] for c in part.lower().split()]
+            else:
+                found += [self.word(w) for w in self.vocabulary.words(part)]
         return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pinion.llm.bpe import Vocabulary
+from pinion.llm.bpe import Known, Vocabulary
 from pinion.llm.common import cut, small, table
 from pinion.llm.op09_bpe import default_vocabulary
 from pinion.llm.packing import pack
@@ -29,50 +29,30 @@ RANKED = 50_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
-    """word -> its ids as bytes, by the tokenizers library; unknown words of a batch are encoded together."""
-
-    MOST = 400_000
+class TextIds:
+    """Ids by the tokenizers library; what stands between white space is encoded once and remembered."""
 
     def __init__(self, vocabulary: str):
-        super().__init__()
-        self.vocabulary = Vocabulary(vocabulary)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > self.MOST:
-            self.clear()
-        todo = [w for w in words if w not in self]
-        for w, e in zip(todo, self.vocabulary.library.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            self[w] = array("I", e.ids).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """All ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        v, lib = self.vocabulary, self.vocabulary.library
-        out: list = [b""] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        for i, t in enumerate(texts):
-            if t and ("<|" in t or not v._plain.fullmatch(t)):  # special tokens and rare characters: the library alone
-                out[i] = array("I", lib.encode(t, add_special_tokens=False).ids).tobytes()
-            elif t:
-                split.append((i, v.words(t)))
-        for a in range(0, len(split), 256):
-            part = split[a : a + 256]
-            new = set().union(*(w for _, w in part)).difference(self)
-            if new:
-                self.learn(new)
-                if any(w not in self for _, ws in part for w in ws):  # the table was emptied
-                    self.learn(set().union(*(w for _, w in part)))
-            for i, ws in part:
-                out[i] = b"".join([self[w] for w in ws])
-        return out
-
-
-_ids: dict[str, WordIds] = {}
-
-
-def word_ids(vocabulary: str) -> WordIds:
+        v = self.vocabulary = Vocabulary(vocabulary)
+        tokenize = v.library.model.tokenize
+        self.known = Known(lambda chunk: array("I", [t.id for w in v.split(chunk) for t in tokenize(v.level(w))]).tobytes(), 400_000)
+
+    def encode(self, text: str | None) -> bytes:
+        """All ids as little-endian unsigned 32-bit integers; null is empty."""
+        if not text:
+            return b""
+        if "<|" in text or not self.vocabulary.plain(text):  # special tokens and rare characters: the library's own steps
+            return array("I", self.vocabulary.library.encode(text, add_special_tokens=False).ids).tobytes()
+        known = self.known
+        return b"".join([known[c] for c in text.lower().split()])
+
+
+_ids: dict[str, TextIds] = {}
+
+
+def text_ids(vocabulary: str) -> TextIds:
     if vocabulary not in _ids:
-        _ids[vocabulary] = WordIds(vocabulary)
+        _ids[vocabulary] = TextIds(vocabulary)
     return _ids[vocabulary]
 
 
@@ -80,18 +60,17 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str, text_co
     """(id, piece, start, length, ids_crc32): each document's ids and END_ID, cut every `capacity` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = word_ids(vocabulary), array("I", [END_ID]).tobytes()
+        ids_of, end = text_ids(vocabulary), array("I", [END_ID]).tobytes()
         for batch in small(batches):
             who, rows = [], [array("q") for _ in range(4)]
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(texts), 512):
-                for key, ids in zip(keys[a : a + 512], ids_of.encode(texts[a : a + 512]), strict=True):
-                    ids += end
-                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        who.append(key)
-                        for col, x in zip(rows, (n, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                            col.append(x)
+            for key, text in zip(keys, texts, strict=True):
+                ids = ids_of.encode(text) + end
+                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    who.append(key)
+                    for col, x in zip(rows, (n, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                        col.append(x)
             types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), *(pa.array(np.frombuffer(r, np.int64), t) for r, t in zip(rows, types, strict=True))], names=["id", "piece", "start", "length", "ids_crc32"])
 
