@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from pinion.llm.bpe import Encoder, Lexicon, Vocabulary, compile_lexicon
-from pinion.llm.common import local_copy, publish, small, table
+from pinion.llm.common import cut, local_copy, publish, small, table
 
 LEXICON_WORDS, MIN_COUNT = 60_000, 3
 #: Words that a worker counts before it passes the counts on.
@@ -47,20 +47,26 @@ def word_counts(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Dat
     """(word, n) over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, seen = encoder_for(vocabulary).vocabulary, Counter()
+        v, chunks, seen = encoder_for(vocabulary).vocabulary, Counter(), Counter()
 
         def flush() -> pa.RecordBatch:
+            for chunk, n in chunks.items():
+                for w in v.split(chunk):
+                    seen[w] += n
             keys = [w.encode("utf-8", "surrogateescape") for w in seen]
             out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            chunks.clear()
             seen.clear()
             return out
 
         for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 for part, special in v.segments(text) if text else ():
-                    if special is None:
+                    if special is None and v.plain(part):
+                        chunks.update(part.lower().split())
+                    elif special is None:
                         seen.update(v.words(part))
-                if len(seen) > COUNT_TABLE:
+                if len(chunks) + len(seen) > COUNT_TABLE:
                     yield flush()
         yield flush()
 
@@ -69,8 +75,18 @@ def word_counts(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Dat
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, text_col: str = "text", most: int = LEXICON_WORDS, least: int = MIN_COUNT) -> list[bytes]:
-    rows = word_counts(docs, vocabulary, text_col).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()
-    return [bytes(r["word"]) for r in rows]
+    """At most `most` words, all of those above some count: a histogram of counts tells which, so that no task sends more."""
+    counts = cut(word_counts(docs, vocabulary, text_col).where(F.col("n") >= least).withColumn("level", F.floor(F.log("n") * 16)))
+    level, held = None, 0
+    for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > most:
+            break
+        level = r["level"]
+    if level is None:
+        return []
+    rows = counts.where(F.col("level") >= level).select("word", "n").collect()
+    return [w for _, w in sorted((-r["n"], bytes(r["word"])) for r in rows)]
 
 
 def build_lexicon(spark: SparkSession, words: list[bytes], vocabulary: str) -> str:
