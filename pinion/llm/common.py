@@ -107,12 +107,19 @@ def char_shingle_set(text: str, width: int) -> np.ndarray:
     n = len(c)
     if not n:
         return np.empty(0, U64)
-    k = min(n, width)
-    out = np.full(n - k + 1, U64(k), U64)
-    for j in range(k):
-        out = out * U64(0x9E3779B97F4A7C15) + c[j : n - k + 1 + j] + U64(1)
-        out ^= out >> U64(29)
-    return np.unique(mix(out))
+    k = left = min(n, width)
+    c += U64(1)
+    out, done, step = np.zeros(n - k + 1, U64), 0, 1
+    while True:  # hashes of 1, 2, 4, ... characters; those that make up k are put together
+        power = U64(pow(0x9E3779B97F4A7C15, step, 1 << 64))
+        if left & 1:
+            out = out * power + c[done : done + n - k + 1]
+            done += step
+        left >>= 1
+        if not left:
+            return np.unique(mix(out ^ U64(k)))
+        c = c[:-step] * power + c[step:]
+        step *= 2
 
 
 def set_key(s: np.ndarray) -> bytes:
