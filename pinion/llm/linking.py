@@ -26,7 +26,7 @@ from pinion.llm.components import components
 #: least numbers of matches with a linked partner, in that band and with the band below); the last two may be None
 Signer = Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]]
 BLOB = "r int, ids binary, keys binary, needs binary, at binary, sigs binary"
-STAR = "bucket long, center long, member long, times long, need int"
+STAR = "bucket long, center long, member long, times long, need int, own int, center_own int"
 #: Bits of the filter that thins out texts before they are joined with candidates; 2 MB, whatever the input.
 THIN_BITS = 1 << 24
 #: Texts of one side of a block.
@@ -79,8 +79,9 @@ def signature_blobs(docs: DataFrame, sign: Signer, parts: int, most_chars: int =
 
 
 def stars_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The buckets of one part: (bucket, center, member, times, need), one row per member beside the centre. Each list of
-    members comes once, with the number of its buckets, and with how many a pair must share to be linked."""
+    """The buckets of one part: (bucket, center, member, times, need, own, center_own), one row per member beside the centre.
+    Each list of members comes once, with the number of its buckets, how many this pair must share to be linked, and how
+    many the member and the centre must share with any partner."""
     ids, keys, needs, at, sigs, base = [], [], [], [], [], 0
     for i, k, m, a, s in zip(pdf["ids"], pdf["keys"], pdf["needs"], pdf["at"], pdf["sigs"], strict=True):
         ids.append(np.frombuffer(i, np.int64))
@@ -90,7 +91,7 @@ def stars_of(pdf: pd.DataFrame) -> pd.DataFrame:
         sigs.append(np.frombuffer(s, U64))
         base += len(ids[-1])
     ids, keys, needs, at, sigs = map(np.concatenate, (ids, keys, needs, at, sigs))
-    none = pd.DataFrame({c: np.empty(0, np.int64) for c in ("bucket", "center", "member", "times", "need")})
+    none = pd.DataFrame({c: np.empty(0, np.int64) for c in ("bucket", "center", "member", "times", "need", "own", "center_own")})
     order = np.argsort(sigs, kind="stable")
     s = sigs[order]
     same = s[1:] == s[:-1]
@@ -121,7 +122,7 @@ def stars_of(pdf: pd.DataFrame) -> pd.DataFrame:
     low = np.minimum(x[:, 0], c[:, 0])
     need = np.maximum(np.where(x[:, 0] == low, x[:, 1], x[:, 2]), np.where(c[:, 0] == low, c[:, 1], c[:, 2]))
     wide = lambda v: np.repeat(v, size)[member]
-    return pd.DataFrame({"bucket": wide(name).astype(np.int64), "center": wide(i[start]), "member": i[member], "times": wide(times[of]), "need": need.astype(np.int32)})
+    return pd.DataFrame({"bucket": wide(name).astype(np.int64), "center": wide(i[start]), "member": i[member], "times": wide(times[of]), "need": need.astype(np.int32), "own": x[:, 1:].min(1).astype(np.int32), "center_own": c[:, 1:].min(1).astype(np.int32)})
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray]) -> DataFrame:
@@ -134,7 +135,10 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.nd
             inter, union = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
             for n, (x, y) in enumerate(zip(a, b, strict=True)):
                 x, y = of(x), of(y)
-                inter[n] = len(np.intersect1d(x, y, assume_unique=True))
+                if len(x) and len(y):
+                    at = np.searchsorted(y, x)
+                    at[at == len(y)] = 0
+                    inter[n] = np.count_nonzero(y[at] == x)
                 union[n] = len(x) + len(y) - inter[n]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter), pa.array(union)], names=["center", "member", "inter", "union"])
 
@@ -190,10 +194,12 @@ def linked_components(
     fetch(may_be) returns (id, text) of at least the ids for which may_be(ids) is true, one row per id.
     """
     stars = blobs.groupBy("r").applyInPandas(stars_of, STAR).groupBy("bucket", "member")
-    stars = cut(stars.agg(F.first("center").alias("center"), F.sum("times").alias("times"), F.first("need").alias("need")))
+    stars = cut(stars.agg(F.first("center").alias("center"), F.sum("times").alias("times"), *(F.first(n).alias(n) for n in ("need", "own", "center_own"))))
     pairs = stars.groupBy("center", "member").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
     pairs = pairs.where("times >= need").select("center", "member")
-    ids = stars.select(F.col("center").alias("id")).union(stars.select("member")).distinct()
+    # an id that shares fewer signatures with all others together than it must with a linked one needs no text: its pairs drop out
+    ids = stars.select(F.col("member").alias("id"), "own", "times").union(stars.select("center", "center_own", "times"))
+    ids = cut(ids.groupBy("id").agg(F.sum("times").alias("times"), F.max("own").alias("own")).where("times >= own").select("id"))
     thin: Bloom = fill(ids, Bloom(THIN_BITS, 3))
     texts = cut(fetch(lambda x: thin.contains(x.astype(U64))).join(ids, "id", "left_semi"))
     is_link = f"100 * inter >= {percent} * union"
