@@ -1,9 +1,9 @@
 """Fuzzy line deduplication by MinHash.
 
 Lines (split at \\n) are compared in lower case with single spaces. Each distinct line's character shingles give BANDS * ROWS
-minima by one-permutation hashing (empty bins borrow from the next full one), bands of these make high-recall buckets, and
-pairs of a bucket are verified by exact Jaccard similarity. Components of the verified links come from the distributed
-union-find; of each component the occurrence with the least (id, position) stays.
+minima by one-permutation hashing (an empty bin borrows from the first full one in an order of its own), bands of these make
+high-recall buckets, and pairs of a bucket are verified by exact Jaccard similarity. Components of the verified links come
+from the distributed union-find; of each component the occurrence with the least (id, position) stays.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql.types import IntegerType
 from pinion.llm.common import U64, char_shingle_set, cut, mix, parts_for, small, table
 from pinion.llm.linking import linked_components, signature_blobs, slices
 
-#: 14 bands of 4: a pair of similarity 0.8 is missed with probability 0.0006.
-WIDTH, PERCENT, BANDS, ROWS = 10, 80, 14, 4
+#: 25 bands of 6: a pair of similarity 0.8 is missed with probability 0.0005, one of 0.1 becomes a candidate with 0.00003.
+WIDTH, PERCENT, BANDS, ROWS = 5, 80, 25, 6
+#: Per bin, the order in which it borrows from others; in one common order, the rows of a short line's band would all be one.
+PROBES = np.argsort(mix(np.arange((BANDS * ROWS) ** 2, dtype=U64)).reshape(BANDS * ROWS, -1), axis=1, kind="stable")
 #: Shorter lines, or lines of fewer words, recur by chance and stay as they are.
 MIN_CHARS, MIN_WORDS = 16, 3
 PART_BYTES = 12_000_000
@@ -52,11 +54,10 @@ def minima(lines: list[str]) -> np.ndarray:
     """(lines, BANDS * ROWS) minima of the lines' shingles by one permutation."""
     bins, n = BANDS * ROWS, np.array([max(len(x), WIDTH) for x in lines], np.int64)
     c = np.frombuffer("".join([x.ljust(WIDTH) for x in lines]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
-    b1, b2, b4 = (U64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4))
+    b1, b2 = (U64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2))
     h2 = c[:-1] * b1 + c[1:]
     h4 = h2[:-2] * b2 + h2[2:]
-    h8 = h4[:-4] * b4 + h4[4:]
-    h = mix(h8[: len(c) - WIDTH + 1] * b2 + h2[8 : 8 + len(c) - WIDTH + 1])
+    h = mix(h4[:-1] * b1 + c[4:])
     at = np.repeat(np.arange(len(lines)) * bins, n)[: len(h)]
     at += (((h >> U64(32)) * U64(bins)) >> U64(32)).astype(np.int64)
     low = h.astype(np.uint32)
@@ -64,11 +65,13 @@ def minima(lines: list[str]) -> np.ndarray:
     low[(ends[:, None] - np.arange(1, WIDTH)).ravel()] = 0xFFFFFFFF  # what would reach over a line's end
     out = np.full(len(lines) * bins, 0xFFFFFFFF, np.uint32)
     np.minimum.at(out, at, low)
-    out = out.reshape(-1, bins)
-    col = np.where(out == 0xFFFFFFFF, 4 * bins, np.arange(bins))
-    ahead = np.minimum.accumulate(np.concatenate([col, col + bins], 1)[:, ::-1], axis=1)[:, ::-1][:, :bins]
-    ahead = np.minimum(ahead, 2 * bins - 1)
-    return np.take_along_axis(out, ahead % bins, 1) + ((ahead - np.arange(bins)) * 0x85EBCA6B).astype(np.uint32)
+    empty, full, k = np.flatnonzero(out == 0xFFFFFFFF), out.copy(), 0
+    while len(empty) and k < bins:
+        b = empty % bins
+        found = full[empty - b + PROBES[b, k]]
+        out[empty] = found
+        empty, k = empty[found == 0xFFFFFFFF], k + 1
+    return out.reshape(-1, bins)
 
 
 def sign(lines: list[str]) -> tuple[np.ndarray, np.ndarray, None, None]:

@@ -195,6 +195,19 @@ def test_line_signatures_have_high_recall():
     assert total > 300 and hit >= 0.99 * total
 
 
+@pytest.mark.parametrize(("length", "changed"), [(50, 1), (75, 1), (75, 3), (100, 3)])
+def test_lines_with_one_change_are_near(spark, length, changed):
+    """One character, or a word of three letters, is another one in the middle of the line."""
+    rng = random.Random(length)
+    docs = []
+    for i in range(0, 100, 2):
+        line = "".join(" " if k % 4 == 0 else rng.choice("abcdefghijklmnop") for k in range(1, length + 1)).rstrip().ljust(length, "x")
+        at = length // 8 * 4
+        docs += [(i, line), (i + 1, line[:at] + "z" * changed + line[at + changed :])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup(spark.createDataFrame(docs, DOC).repartition(3)).collect()}
+    assert got == {i: "" if i % 2 else t for i, t in docs}
+
+
 def test_lines_odd_inputs(spark):
     line = "this is a line that is long enough to count"
     rows = [(1, None, "k"), (2, "", None), (3, f"{line}\n{line}", "a"), (4, line.upper(), "b"), (None, line, "c"), (5, ("x y z " * 40000) + "\n" + line, None)]
