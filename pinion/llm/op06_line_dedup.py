@@ -24,16 +24,12 @@ from pinion.llm.linking import linked_components, signature_blobs, slices
 WIDTH, PERCENT, BANDS, ROWS = 5, 80, 25, 6
 #: Per bin, the order in which it borrows from others; in one common order, the rows of a short line's band would all be one.
 PROBES = np.argsort(mix(np.arange((BANDS * ROWS) ** 2, dtype=U64)).reshape(BANDS * ROWS, -1), axis=1, kind="stable")
-#: Shorter lines, or lines of fewer words, recur by chance and stay as they are.
-MIN_CHARS, MIN_WORDS = 16, 3
 PART_BYTES = 12_000_000
 
 
 def normal(line: str) -> str:
-    """What a line is compared by; empty for lines that are left alone."""
-    w = line.lower().split()
-    n = " ".join(w)
-    return n if len(w) >= MIN_WORDS and len(n) >= MIN_CHARS else ""
+    """What a line is compared by; empty for blank lines, which are left alone."""
+    return " ".join(line.lower().split())
 
 
 def line_id(norm: str) -> int:
@@ -123,7 +119,7 @@ def line_components(docs: DataFrame, total_lines: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, drop): per document the positions of its lines that go, for documents that lose any.
 
-    Null ids, null and empty texts and short lines take no part; rows that share an id count as one document.
+    Null ids, null and empty texts and blank lines take no part; rows that share an id count as one document.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     seen = cut(occurrences(rows))

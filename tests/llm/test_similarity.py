@@ -208,6 +208,15 @@ def test_lines_with_one_change_are_near(spark, length, changed):
     assert got == {i: "" if i % 2 else t for i, t in docs}
 
 
+def test_short_and_unspaced_lines_take_part(spark):
+    rng = random.Random(3)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(80))
+    near = han[:40] + "\u9fa5" + han[41:]
+    rows = [(1, f"{han}\nles.\n\na b"), (2, f"Les.\n{near}\nmore"), (3, "les.\n A  B\n"), (4, "les"), (5, "\n \n")]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("more", 2), 3: ("", 2), 4: ("les", 0), 5: ("\n \n", 0)}
+
+
 def test_lines_odd_inputs(spark):
     line = "this is a line that is long enough to count"
     rows = [(1, None, "k"), (2, "", None), (3, f"{line}\n{line}", "a"), (4, line.upper(), "b"), (None, line, "c"), (5, ("x y z " * 40000) + "\n" + line, None)]
