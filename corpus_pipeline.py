@@ -24,6 +24,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told at all: null texts and texts without a letter go."""
     net = fit(docs.where(f"NOT {HELD_OUT}"))
+    if not net.langs:  # nothing to tell languages by: a letter is enough
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     return language_id(docs, net).where(F.col("lang_pred") != UNDETERMINED).select(*COLUMNS)
 
 

@@ -309,6 +309,12 @@ def test_html_odd_inputs(spark):
 # --- pipeline ------------------------------------------------------------------------------------------------------------
 
 
+def test_pipeline_without_labels(spark):
+    rows = [(1, "words of a text", None, "s", 15), (2, None, None, "s", 0), (3, "123 456", None, "s", 7), (4, "\u6f22\u5b57", None, "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.keep_known_language(spark, docs, "").collect()} == {1, 4}
+
+
 @needs_data
 def test_pipeline_stages(spark, library):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
