@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -65,3 +66,15 @@ def fill(hashes: DataFrame, empty: Bloom) -> Bloom:
     for row in pieces.toLocalIterator():
         out.data[row["k"] : row["k"] + span] = np.frombuffer(row["piece"], np.uint8)
     return out
+
+
+#: Bits of a filter that thins out rows before a join: at most 16 MB; beyond that many ids it lets more through, never less.
+MOST_THIN_BITS = 1 << 27
+
+
+def thinning(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A test that every value of a one-column DataFrame of longs passes, and few others; its filter is sent once to an executor."""
+    bits = 1 << max(16, min(MOST_THIN_BITS, 12 * ids.count()).bit_length())
+    filter_ = fill(ids, Bloom(min(bits, MOST_THIN_BITS), 4))
+    sent = ids.sparkSession.sparkContext.broadcast(filter_)
+    return lambda x: sent.value.contains(x.astype(U64))

@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -63,6 +64,23 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+#: Rows of one key from which a join treats it as hot, and the share of all rows from which it does.
+HOT_ROWS, HOT_SHARE = 10_000, 0.001
+
+
+def join_hot(rows: DataFrame, values: DataFrame, on: str, copies: str, total: int) -> DataFrame:
+    """rows joined with values (one row per `on`, with the number of its rows in `copies`), hot keys in no single task.
+
+    Keys with more than HOT_SHARE of the rows are at most 1 / HOT_SHARE, so their values are broadcast; the others are shuffled.
+    """
+    hot = F.col(copies) > max(HOT_ROWS, int(total * HOT_SHARE))
+    few = cut(values.where(hot))
+    if few.isEmpty():
+        return rows.join(values, on)
+    few = F.broadcast(few)
+    return rows.join(few, on).unionByName(rows.join(few.select(on), on, "left_anti").join(values.where(~hot), on))
+
+
 def parts_for(spark: SparkSession, items: int, per_part: int, least: int = 16) -> int:
     """Partitions so that each holds about per_part items, whatever the size of the input."""
     return max(least, -(-int(items) // per_part))
@@ -122,9 +140,9 @@ def char_shingle_set(text: str, width: int) -> np.ndarray:
         step *= 2
 
 
-def set_key(s: np.ndarray) -> bytes:
-    """128 bits that identify a set of hashes."""
-    return xxhash.xxh3_128_digest(s.tobytes())
+def set_key(s: np.ndarray) -> int:
+    """64 bits, as a signed number, that identify a set of hashes."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def similar(inter: int, union: int, percent: int) -> bool:

@@ -13,24 +13,26 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinion.llm.bloom import Bloom, fill
 from pinion.llm.common import U64, cut, mix, small
 from pinion.llm.components import components
 
-#: texts -> (per signature the place of its text, signatures, per text the 64-bit key of its set, per text its band and the
-#: least numbers of matches with a linked partner, in that band and with the band below); the last two may be None
+#: texts -> (per signature the place of its text; signatures; per text the 64-bit key of its set, or None where ids name the
+#: sets; per signature a byte, or None: how many signatures at least the set shares with a linked partner, 127 at most, plus
+#: UPPER where the set is in the upper one of the two size bands that the signature is for)
 Signer = Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]]
-BLOB = "r int, ids binary, keys binary, needs binary, at binary, sigs binary"
-STAR = "bucket long, center long, member long, times long, need int, own int, center_own int"
-#: Bits of the filter that thins out texts before they are joined with candidates; 2 MB, whatever the input.
-THIN_BITS = 1 << 24
+UPPER = 128
+BLOB = "r int, keys binary, sigs binary, needs binary"
+STAR = "bucket long, center long, member long, times long, proper long, need int, own int, center_own int"
+#: Bytes of a signature that are sent; those before them are implied by its part.
+SENT = 6
 #: Texts of one side of a block.
 BLOCK = 1024
+#: Pairs of one centre that one task verifies, about.
+VERIFIED = 2000
 
 
 def slices(texts: list, most_chars: int) -> Iterator[slice]:
@@ -46,95 +48,103 @@ def slices(texts: list, most_chars: int) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def signature_blobs(docs: DataFrame, sign: Signer, parts: int, most_chars: int = 2_000_000, split: Callable | None = None) -> DataFrame:
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of bytes that end at `ends`, without a copy."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def signature_blobs(docs: DataFrame, sign: Signer, parts: int, split: Callable | None = None) -> DataFrame:
     """(id, text) -> packed arrays of signatures, dealt into `parts` by the signature's leading bits.
 
-    split(ids, texts) may turn rows into others before they are signed. A signer without keys says that ids name the sets.
+    15 bytes a signature (its last 48 bits, the set's key, its need) and a row header per part and batch: batches grow with the
+    number of parts, so that a header stays small beside what it heads. split(ids, texts) may turn rows into others before
+    they are signed. A signer without keys says that ids name the sets.
     """
+    most_chars = min(16_000_000, max(2_000_000, 600 * parts))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(batches, 4096):
             all_ids, all_texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for s in slices(all_texts, most_chars):
                 ids, texts = all_ids[s], all_texts[s]
                 if split:
                     ids, texts = split(ids, texts)
-                order = np.argsort(ids, kind="stable")
-                ids = ids[order]
-                at, sig, key, needs = sign([texts[i] for i in order])
+                at, sig, key, need = sign(list(texts))
+                if not len(sig):
+                    continue
                 part = ((sig >> U64(32)) * U64(parts)) >> U64(32)
                 by = np.argsort(part, kind="stable")
-                at, sig, ends = at[by], sig[by], np.searchsorted(part[by], np.arange(parts + 1, dtype=U64))
-                rows: list[list] = [[] for _ in range(6)]
-                for r in range(parts):
-                    if (a := ends[r]) < (b := ends[r + 1]):
-                        used, local = np.unique(at[a:b], return_inverse=True)
-                        width = np.uint16 if len(used) <= 65536 else np.uint32
-                        for col, x in zip(rows, (r, ids[used].astype(np.int64).tobytes(), b"" if key is None else key[used].tobytes(), b"" if needs is None else needs[used].tobytes(), width(0).dtype.char.encode() + local.astype(width).tobytes(), sig[a:b].tobytes()), strict=True):
-                            col.append(x)
-                if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["r", "ids", "keys", "needs", "at", "sigs"])
+                part, of = part[by], (ids if key is None else key).astype(np.int64)
+                need = np.ones(len(sig), np.uint8) if need is None else need[by]
+                low = np.ascontiguousarray(sig[by].view(np.uint8).reshape(-1, 8)[:, :SENT])
+                ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part))
+                columns = [pa.array(part[ends - 1].astype(np.int32)), binaries(of[at[by]], ends * 8), binaries(low, ends * SENT), binaries(need, ends)]
+                yield pa.RecordBatch.from_arrays(columns, names=["r", "keys", "sigs", "needs"])
 
     return docs.mapInArrow(emit, BLOB)
 
 
-def stars_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The buckets of one part: (bucket, center, member, times, need, own, center_own), one row per member beside the centre.
-    Each list of members comes once, with the number of its buckets, how many this pair must share to be linked, and how
-    many the member and the centre must share with any partner."""
-    ids, keys, needs, at, sigs, base = [], [], [], [], [], 0
-    for i, k, m, a, s in zip(pdf["ids"], pdf["keys"], pdf["needs"], pdf["at"], pdf["sigs"], strict=True):
-        ids.append(np.frombuffer(i, np.int64))
-        keys.append(np.frombuffer(k or i, U64))
-        needs.append(np.frombuffer(m, np.int16).reshape(-1, 3) if m else np.ones((len(ids[-1]), 3), np.int16))
-        at.append(np.frombuffer(a, a[:1].decode(), offset=1).astype(np.int64) + base)
-        sigs.append(np.frombuffer(s, U64))
-        base += len(ids[-1])
-    ids, keys, needs, at, sigs = map(np.concatenate, (ids, keys, needs, at, sigs))
-    none = pd.DataFrame({c: np.empty(0, np.int64) for c in ("bucket", "center", "member", "times", "need", "own", "center_own")})
+def stars_of(t: pa.Table) -> pa.Table:
+    """The buckets of one part: a row for each member beside the centre, which has the least key. Each list of members comes
+    once, with the number of its buckets (times), how many of them say that the pair may be linked (proper), how many it must
+    share to be linked (need), and how many the member and the centre must share with any partner."""
+    keys, sigs, needs = (np.frombuffer(b"".join(t.column(c).to_pylist()), w) for c, w in (("keys", np.int64), ("sigs", np.uint8), ("needs", np.uint8)))
+    wide = np.zeros((len(keys), 8), np.uint8)
+    wide[:, :SENT] = sigs.reshape(-1, SENT)
+    sigs = wide.view(U64).ravel()
     order = np.argsort(sigs, kind="stable")
     s = sigs[order]
     same = s[1:] == s[:-1]
     keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    s, own = s[keep], at[order[keep]]
-    if not len(s):
-        return none
-    b = np.cumsum(np.concatenate([[True], s[1:] != s[:-1]])) - 1
-    i, k = ids[own], keys[own]
-    order = np.lexsort((i, k, b))
-    b, i, k, own = b[order], i[order], k[order], own[order]
-    first = np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])])  # copies of a set count once, by their least id
-    b, i, own = b[first], i[first], own[first]
-    order = np.lexsort((i, b))
-    b, i, own = b[order], i[order], own[order]
-    start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-    size = np.diff(np.append(start, len(b)))
-    name = mix(np.add.reduceat(mix(i.astype(U64)), start) + size.astype(U64))
-    _, once, of, times = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-    chosen = np.zeros(len(start), bool)
-    chosen[once] = True
-    chosen &= size > 1
+    s, at = s[keep], order[keep]
+    order = np.lexsort((keys[at], s))
+    s, at = s[order], at[order]
+    k = keys[at]
+    if len(s):
+        first = np.concatenate([[True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])])  # copies of a set count once
+        s, k, at = s[first], k[first], at[first]
+    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
+    size = np.diff(np.append(start, len(s)))
+    chosen = size > 1
+    if chosen.any():
+        chosen &= np.minimum.reduceat(needs[at], start) < UPPER  # else no pair of it may be linked by this band
     if not chosen.any():
-        return none
+        return pa.table({c.split()[0]: pa.array([], pa.int32() if c.endswith("int") else pa.int64()) for c in STAR.split(", ")})
+    name = mix(np.add.reduceat(mix(k.astype(U64)), start) + size.astype(U64))
+    _, once, of, times = np.unique(np.where(chosen, name, U64(0)), return_index=True, return_inverse=True, return_counts=True)
+    last = np.zeros(len(start), bool)
+    last[once] = True
+    chosen &= last
     member = np.repeat(chosen, size)
     member[start] = False
-    x, c = needs[own[member]], needs[own[np.repeat(start, size)[member]]]
-    low = np.minimum(x[:, 0], c[:, 0])
-    need = np.maximum(np.where(x[:, 0] == low, x[:, 1], x[:, 2]), np.where(c[:, 0] == low, c[:, 1], c[:, 2]))
-    wide = lambda v: np.repeat(v, size)[member]
-    return pd.DataFrame({"bucket": wide(name).astype(np.int64), "center": wide(i[start]), "member": i[member], "times": wide(times[of]), "need": need.astype(np.int32), "own": x[:, 1:].min(1).astype(np.int32), "center_own": c[:, 1:].min(1).astype(np.int32)})
+    spread = lambda v: np.repeat(v, size)[member]
+    x, c, times = needs[at[member]], needs[at[spread(start)]], spread(times[of])
+    proper = (x < UPPER) | (c < UPPER)
+    need = np.maximum(x % UPPER, c % UPPER).astype(np.int32)
+    rows = (spread(name).astype(np.int64), spread(k[start]), k[member], times, times * proper, need, (x % UPPER).astype(np.int32), (c % UPPER).astype(np.int32))
+    return pa.table({c.split()[0]: pa.array(v) for c, v in zip(STAR.split(", "), rows, strict=True)})
+
 
+def each(shingles: Callable[[str], np.ndarray]) -> Callable[[list[str]], list[np.ndarray]]:
+    """Sets of several texts by a function of one text."""
+    return lambda texts: [shingles(t) for t in texts]
 
-def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray]) -> DataFrame:
-    """(center, member) -> with the exact sizes of intersection and union of their sets."""
+
+def verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[list[str]], list[np.ndarray]]) -> DataFrame:
+    """(center, member) -> with the exact sizes of intersection and union of their sets. pairs: from a checkpoint.
+
+    A centre of many pairs is dealt over as many tasks as that takes, each with a copy of its text; such centres are few.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lru_cache(256)(shingles)
         for batch in small(batches, 256):
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            names = list(dict.fromkeys([*a, *b]))
+            of = dict(zip(names, sets(names), strict=True))
             inter, union = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
             for n, (x, y) in enumerate(zip(a, b, strict=True)):
-                x, y = of(x), of(y)
+                x, y = of[x], of[y]
                 if len(x) and len(y):
                     at = np.searchsorted(y, x)
                     at[at == len(y)] = 0
@@ -144,7 +154,13 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.nd
 
     one = texts.select(F.col("id").alias("member"), F.col("text").alias("b"))
     two = texts.select(F.col("id").alias("center"), F.col("text").alias("a"))
-    rows = pairs.join(one, "member").join(two, "center").select("center", "member", "a", "b")
+    many = cut(pairs.groupBy("center").agg(F.ceil(F.count("*") / VERIFIED).cast("int").alias("salts")).where("salts > 1"))
+    on = ["center"]
+    if not many.isEmpty():
+        on = ["center", "salt"]
+        pairs = pairs.join(many, "center", "left").select("center", "member", F.expr("CASE WHEN salts > 1 THEN pmod(xxhash64(member), salts) ELSE 0 END").cast("int").alias("salt"))
+        two = two.join(many, "center", "left").select("center", "a", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)")).alias("salt"))
+    rows = pairs.join(one, "member").join(two, on).select("center", "member", "a", "b")
     return rows.mapInArrow(measure, "center long, member long, inter long, union long")
 
 
@@ -187,25 +203,24 @@ def block_links(t: pa.Table, shingles: Callable[[str], np.ndarray], percent: int
 
 
 def linked_components(
-    blobs: DataFrame, fetch: Callable[[Callable[[np.ndarray], np.ndarray]], DataFrame], shingles: Callable[[str], np.ndarray], percent: int
+    blobs: DataFrame, fetch: Callable[[DataFrame], DataFrame], shingles: Callable[[str], np.ndarray], percent: int, sets: Callable[[list[str]], list[np.ndarray]] | None = None
 ) -> DataFrame:
-    """(id, component) of every id that has a link: 100 * |A & B| >= percent * |A | B|.
+    """(id, component) of every key that has a link: 100 * |A & B| >= percent * |A | B|.
 
-    fetch(may_be) returns (id, text) of at least the ids for which may_be(ids) is true, one row per id.
+    fetch(ids) returns (id, text) of at least these keys, one row each. sets, if given, makes the sets of many texts at once.
     """
-    stars = blobs.groupBy("r").applyInPandas(stars_of, STAR).groupBy("bucket", "member")
-    stars = cut(stars.agg(F.first("center").alias("center"), F.sum("times").alias("times"), *(F.first(n).alias(n) for n in ("need", "own", "center_own"))))
-    pairs = stars.groupBy("center", "member").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
-    pairs = pairs.where("times >= need").select("center", "member")
-    # an id that shares fewer signatures with all others together than it must with a linked one needs no text: its pairs drop out
+    stars = blobs.groupBy("r").applyInArrow(stars_of, STAR).groupBy("bucket", "member")
+    stars = cut(stars.agg(F.first("center").alias("center"), F.sum("times").alias("times"), F.sum("proper").alias("proper"), *(F.first(n).alias(n) for n in ("need", "own", "center_own"))))
+    pairs = stars.where("proper > 0").groupBy("center", "member").agg(F.sum("proper").alias("times"), F.min("need").alias("need"))
+    pairs = cut(pairs.where("times >= need").select("center", "member"))
+    # a set that shares fewer signatures with all others together than it must with a linked one needs no text: its pairs drop out
     ids = stars.select(F.col("member").alias("id"), "own", "times").union(stars.select("center", "center_own", "times"))
-    ids = cut(ids.groupBy("id").agg(F.sum("times").alias("times"), F.max("own").alias("own")).where("times >= own").select("id"))
-    thin: Bloom = fill(ids, Bloom(THIN_BITS, 3))
-    texts = cut(fetch(lambda x: thin.contains(x.astype(U64))).join(ids, "id", "left_semi"))
+    ids = cut(ids.groupBy("id").agg(F.sum("times").alias("times"), F.min("own").alias("own")).where("times >= own").select("id"))
+    texts = cut(fetch(ids).join(ids, "id", "left_semi"))
     is_link = f"100 * inter >= {percent} * union"
 
     def test(pairs: DataFrame) -> DataFrame:
-        return cut(verified(pairs, texts, shingles).select("center", "member", F.expr(is_link).alias("linked")))
+        return cut(verified(pairs, texts, sets or each(shingles)).select("center", "member", F.expr(is_link).alias("linked")))
 
     def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         found = links.where("linked").select(F.col("member").alias("src"), F.col("center").alias("dst"))
@@ -230,7 +245,7 @@ def linked_components(
     hub = hub.select("bucket", (-F.col("m.less")).alias("hub"), F.col("m.label").alias("hub_label"))
     open_ = cut(open_.drop("degree").join(hub, "bucket"))
     key = [F.least("id", "hub").alias("center"), F.greatest("id", "hub").alias("member")]
-    second = test(open_.where("label <> hub_label").select(*key).distinct().join(first.select("center", "member"), ["center", "member"], "left_anti"))
+    second = test(cut(open_.where("label <> hub_label").select(*key).distinct().join(first.select("center", "member"), ["center", "member"], "left_anti")))
     labels = merged(labels, second)
     # what is left: per component, the members of its open buckets that lie outside it, against all members, in blocks
     at = cut(labelled(open_.where("id <> center AND id <> hub").select("bucket", "id", "hub"), labels))  # those two are tested with all

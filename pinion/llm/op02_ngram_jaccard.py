@@ -7,7 +7,8 @@ two of its three parts agree: every subset of two parts is a signature. Signatur
 sets with so many of them that all agreeing subsets could be empty, and only such sets emit them. There are k / 16 more
 partitions than that needs, so that linked sets agree in several: pairs that agree in fewer are never verified.
 
-Cost: about 0.9 signatures of 10 bytes per shingle, one shuffle of packed arrays; candidates are verified exactly.
+What is linked are sets, named by 64 bits, whatever documents hold them: a set is one however many copies it has. About 0.9
+signatures of 15 bytes per shingle go through one shuffle; candidates are verified exactly.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinion.llm.common import U64, cut, mix, parts_for, set_key, shingle_set, small, table
-from pinion.llm.linking import linked_components, signature_blobs
+from pinion.llm.bloom import thinning
+from pinion.llm.common import U64, cut, join_hot, mix, parts_for, set_key, shingle_set, small, table
+from pinion.llm.linking import UPPER, linked_components, signature_blobs
 
 WIDTH, PERCENT = 5, 80
 #: Bytes of signatures that one task joins.
-PART_BYTES = 12_000_000
+PART_BYTES, SIGNATURE_BYTES = 16_000_000, 15
 
 
 class Bands:
@@ -47,17 +49,17 @@ class Bands:
 
 
 def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per signature the place of its set, and the signature; per set (band, least matches there, least matches in the band
-    below): a linked partner agrees in at least so many partitions. Sets are sorted distinct hashes; empty ones have none."""
+    """Per signature the place of its set, the signature, and its need: a linked partner of the other sets of these two bands
+    shares at least so many (127 at most), plus UPPER for a set of the upper band. Sets are sorted distinct hashes; empty ones
+    have none."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    needs = np.ones((len(sets), 3), np.int16)
+    none = np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.uint8)
     if not sizes.sum():
-        return np.empty(0, np.int64), np.empty(0, U64), needs
+        return none
     bands = Bands(percent, int(sizes.max()))
     h = np.concatenate(sets)
     content, high, low = mix(h), h >> U64(32), ((h & U64(0xFFFFFFFF)) * U64(3)) >> U64(32)
-    place, sig = [], []
-    needs[:, 0] = bands.of(np.maximum(sizes, 1))
+    place, sig, need = [], [], []
     for upper in (0, 1):
         inst = bands.of(np.maximum(sizes, 1)) - upper
         ok = (sizes > 0) & (inst >= 0)
@@ -78,75 +80,78 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
         who = np.repeat(np.arange(len(sets)), n1)
         hollow = np.bincount(who, (left == 0).any(1), len(sets))
         sure = n1 - bands.k[np.maximum(inst, 0)] // 2 - hollow
-        needs[:, 1 + upper] = np.where(ok, sure, 1)
+        least = (np.clip(sure, 1, 127) + upper * UPPER).astype(np.uint8)
         poor = (sure <= 0)[who]
         name = (inst[who].astype(U64) << U64(40)) + (np.arange(len(who)) - base[who]).astype(U64) * U64(4)
         name = mix(name[:, None] + np.arange(3, dtype=U64)[None, :])
         full = mix(mix(kept + left.astype(U64)) + name)
         keep = (left > 0) | poor[:, None]
-        place.append(np.broadcast_to(who[:, None], keep.shape)[keep])
+        owner = np.broadcast_to(who[:, None], keep.shape)[keep]
+        place.append(owner)
         sig.append(full[keep])
-    return (np.concatenate(place), np.concatenate(sig), needs) if sig else (np.empty(0, np.int64), np.empty(0, U64), needs)
+        need.append(least[owner])
+    return (np.concatenate(place), np.concatenate(sig), np.concatenate(need)) if sig else none
 
 
 def sign(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     sets = [shingle_set(t, WIDTH) for t in texts]
-    keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], U64)
+    keys = np.array([set_key(s) for s in sets], np.int64)
     _, first = np.unique(keys, return_index=True)
     once = np.zeros(len(sets), bool)
     once[first] = True
     none = np.empty(0, U64)
-    at, sig, needs = signatures([s if once[i] else none for i, s in enumerate(sets)])
-    return at, sig, keys, needs
+    at, sig, need = signatures([s if once[i] else none for i, s in enumerate(sets)])
+    return at, sig, keys, need
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(id, text) -> (id, n, set): the number of shingles and 128 bits that name the set."""
+    """(id, text) -> (id, n, key): the number of shingles and the key of the set."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            n, names = [], []
-            for t in batch.column(1).to_pylist():
-                s = shingle_set(t, WIDTH)
-                n.append(len(s))
-                names.append(set_key(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary())], names=["id", "n", "set"])
+            sets = [shingle_set(t, WIDTH) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], names=["id", "n", "key"])
 
-    return docs.mapInArrow(count, "id long, n long, set binary")
+    return docs.mapInArrow(count, "id long, n long, key long")
 
 
-def thinned(docs: DataFrame, may_be) -> DataFrame:
-    """The rows of (id, text) whose id passes a filter of fixed size, before anything is shuffled."""
+def texts_of(docs: DataFrame, least: DataFrame, keys: DataFrame) -> DataFrame:
+    """(id, text) of the sets with these keys, where id is the key; least: (key, low), the least document of each set.
+    Documents are thinned out before anything is shuffled."""
+    may_be = thinning(least.join(keys.withColumnRenamed("id", "key"), "key").select("low"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(may_be(batch.column(0).to_numpy(zero_copy_only=False))))
+            texts = batch.column(1).filter(pa.array(may_be(batch.column(0).to_numpy(zero_copy_only=False))))
+            for s in range(0, len(texts), 1024):
+                part = texts.slice(s, 1024)
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(shingle_set(t, WIDTH)) for t in part.to_pylist()], pa.int64()), part], names=["id", "text"])
 
-    return docs.mapInArrow(keep, "id long, text string")
+    return docs.mapInArrow(keep, "id long, text string").dropDuplicates(["id"])  # any text of a set has its shingles
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the least id reachable by links, itself included).
+    """One row per row of docs: id, n_shingles, component_id (the least id reachable by links, itself included).
 
     Null, empty and wordless texts have no shingles and are linked with nothing; rows with a null id are returned with a
-    null component. Repeated rows come back once each; an empty table gives an empty result; other columns are ignored.
+    null component and take no part. Rows are taken as they are: rows that repeat or share an id come back each, with the
+    component of its own text. Very long texts are read whole. An empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = cut(sets_of(rows))
     named = sets.where("id IS NOT NULL AND n > 0")
-    least = named.groupBy("set").agg(F.min("id").alias("rep"))
-    total = sets.agg(F.sum("n")).head()[0] or 0
+    total, count = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     real = rows.where("id IS NOT NULL AND text IS NOT NULL")
-    blobs = signature_blobs(real, sign, parts_for(docs.sparkSession, total * 9, PART_BYTES))
-    fetch = lambda may_be: thinned(real, may_be).dropDuplicates(["id"])
-    labels = linked_components(blobs, fetch, lambda t: shingle_set(t, WIDTH), PERCENT)
-    of = least.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set", F.coalesce("component", "rep").alias("root"))
-    out = sets.join(of, "set", "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.expr("CASE WHEN id IS NULL THEN NULL WHEN n = 0 THEN id ELSE root END").alias("component_id"),
-    )
+    blobs = signature_blobs(real, sign, parts_for(docs.sparkSession, total * 9 // 10 * SIGNATURE_BYTES, PART_BYTES))
+    least = cut(named.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("copies")))
+    labels = linked_components(blobs, lambda keys: texts_of(real, least, keys), lambda t: shingle_set(t, WIDTH), PERCENT)
+    of = cut(least.join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("component", "key")))
+    roots = of.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("sets"))
+    of = join_hot(of.select("key", "root", "copies"), roots, "root", "sets", count).select("key", "copies", "component_id")
+    alone = sets.where("id IS NULL OR n = 0").select("id", "n", F.when(F.col("id").isNotNull(), F.col("id")).alias("component_id"))
+    out = join_hot(named, of, "key", "copies", count).select("id", "n", "component_id").union(alone)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

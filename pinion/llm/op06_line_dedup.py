@@ -3,7 +3,7 @@
 Lines (split at \\n) are compared in lower case with single spaces. Each distinct line's character shingles give BANDS * ROWS
 minima by one-permutation hashing (an empty bin borrows from the first full one in an order of its own), bands of these make
 high-recall buckets, and pairs of a bucket are verified by exact Jaccard similarity. Components of the verified links come
-from the distributed union-find; of each component the occurrence with the least (id, position) stays.
+from the distributed union-find; of each component the occurrence with the least (id, row, position) stays.
 """
 
 from __future__ import annotations
@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from pinion.llm.common import U64, char_shingle_set, cut, mix, parts_for, small, table
+from pinion.llm.bloom import thinning
+from pinion.llm.common import U64, char_shingle_set, cut, join_hot, mix, parts_for, small, table
 from pinion.llm.linking import linked_components, signature_blobs, slices
 
 #: 25 bands of 6: a pair of similarity 0.8 is missed with probability 0.0005, one of 0.1 becomes a candidate with 0.00003.
 WIDTH, PERCENT, BANDS, ROWS = 5, 80, 25, 6
 #: Per bin, the order in which it borrows from others; in one common order, the rows of a short line's band would all be one.
 PROBES = np.argsort(mix(np.arange((BANDS * ROWS) ** 2, dtype=U64)).reshape(BANDS * ROWS, -1), axis=1, kind="stable")
-PART_BYTES = 12_000_000
+PART_BYTES, SIGNATURE_BYTES = 16_000_000, 15
 
 
 def normal(line: str) -> str:
@@ -32,6 +33,11 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def normals(text: str | None) -> list[str]:
+    """normal() of each line of a text."""
+    return [" ".join(x.split()) for x in text.lower().split("\n")] if text else []
+
+
 def line_id(norm: str) -> int:
     return xxhash.xxh3_64_intdigest(norm.encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -40,8 +46,8 @@ def lines_of(ids: np.ndarray, texts: list) -> tuple[np.ndarray, list]:
     """The distinct lines of some texts, with their ids."""
     found = {}
     for t in texts:
-        for line in t.split("\n") if t else ():
-            if n := normal(line):
+        for n in normals(t):
+            if n:
                 found[line_id(n)] = n
     return np.fromiter(found.keys(), np.int64, len(found)), list(found.values())
 
@@ -70,6 +76,22 @@ def minima(lines: list[str]) -> np.ndarray:
     return out.reshape(-1, bins)
 
 
+def line_sets(lines: list[str]) -> list[np.ndarray]:
+    """Sorted distinct hashes of each line's shingles; a line shorter than those is one, of its own kind."""
+    n = np.array([max(len(x) - WIDTH + 1, 1) for x in lines], np.int64)
+    c = np.frombuffer("".join([x.ljust(WIDTH, "\n") for x in lines]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+    b1, b2 = (U64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2))
+    h2 = c[:-1] * b1 + c[1:]
+    h4 = h2[:-2] * b2 + h2[2:]
+    h = mix(h4[:-1] * b1 + c[4:])
+    owner = np.repeat(np.arange(len(lines)), n)
+    h = h[np.arange(len(owner)) + owner * (WIDTH - 1)]  # without those that reach over a line's end
+    order = np.lexsort((h, owner))
+    h = h[order]
+    first = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
+    return np.split(h[first], np.cumsum(np.bincount(owner[first], minlength=len(lines)))[:-1])
+
+
 def sign(lines: list[str]) -> tuple[np.ndarray, np.ndarray, None, None]:
     if not lines:
         return np.empty(0, np.int64), np.empty(0, U64), None, None
@@ -81,21 +103,26 @@ def sign(lines: list[str]) -> tuple[np.ndarray, np.ndarray, None, None]:
     return np.repeat(np.arange(len(lines)), BANDS), sig.ravel(), None, None
 
 
+#: What names a row: its id and its text. Rows that agree in both are one document, written down several times.
+ROW = "CASE WHEN {id} IS NULL OR {text} IS NULL THEN NULL ELSE xxhash64(CAST({id} AS BIGINT), CAST({text} AS STRING)) END"
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(id, text) -> (id, pos, line) of every line that is compared."""
+    """(id, row, text) -> (id, row, pos, line) of every line that is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            ids, pos, line = [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for p, x in enumerate(t.split("\n") if t else ()):
-                    if n := normal(x):
-                        ids.append(i)
+            of, pos, line = [], [], []
+            for i, t in enumerate(batch.column(2).to_pylist()):
+                for p, n in enumerate(normals(t)):
+                    if n:
+                        of.append(i)
                         pos.append(p)
                         line.append(line_id(n))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(line, pa.int64())], names=["id", "pos", "line"])
+            at = pa.array(of, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(line, pa.int64())], names=["id", "row", "pos", "line"])
 
-    return docs.mapInArrow(run, "id long, pos int, line long")
+    return docs.mapInArrow(run, "id long, row long, pos int, line long")
 
 
 def candidate_lines(docs: DataFrame, may_be) -> DataFrame:
@@ -112,31 +139,38 @@ def candidate_lines(docs: DataFrame, may_be) -> DataFrame:
 
 def line_components(docs: DataFrame, total_lines: int) -> DataFrame:
     """(id, text) of documents -> (id, component) of the lines that have a near copy."""
-    blobs = signature_blobs(docs, sign, parts_for(docs.sparkSession, total_lines * BANDS * 18, PART_BYTES), split=lines_of)
-    return linked_components(blobs, lambda may_be: candidate_lines(docs, may_be), lambda t: char_shingle_set(t, WIDTH), PERCENT)
+    blobs = signature_blobs(docs, sign, parts_for(docs.sparkSession, total_lines * BANDS * SIGNATURE_BYTES, PART_BYTES), split=lines_of)
+    return linked_components(blobs, lambda ids: candidate_lines(docs, thinning(ids)), lambda t: char_shingle_set(t, WIDTH), PERCENT, line_sets)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, drop): per document the positions of its lines that go, for documents that lose any.
-
-    Null ids, null and empty texts and blank lines take no part; rows that share an id count as one document.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    """(row, drop): per row the positions of its lines that go, for rows that lose any."""
+    row = F.expr(ROW.format(id=f"`{id_col}`", text=f"`{text_col}`"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).cast("string").alias("text")).where("row IS NOT NULL")
     seen = cut(occurrences(rows))
-    labels = line_components(rows, seen.count())
-    lines = seen.groupBy("line").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"))
+    total = seen.count()
+    labels = line_components(rows.select("id", "text"), total)
+    lines = seen.groupBy("line").agg(F.min(F.struct("id", "row", "pos")).alias("first"), F.count("*").alias("n"))
     lines = lines.join(labels.withColumnRenamed("id", "line"), "line", "left").where("n > 1 OR component IS NOT NULL")
-    lines = cut(lines.select("line", F.coalesce("component", "line").alias("component"), "first"))
+    lines = cut(lines.select("line", F.coalesce("component", "line").alias("component"), "first", "n"))
     keep = lines.groupBy("component").agg(F.min("first").alias("keep"))
-    gone = seen.join(lines.join(keep, "component").select("line", "keep"), "line").where("id <> keep.id OR pos <> keep.pos")
-    return gone.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    of = cut(lines.join(keep, "component").select("line", "n", "keep"))
+    gone = join_hot(seen, of, "line", "n", total).where("row <> keep.row OR pos <> keep.pos")
+    return gone.groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text without the lines that go, and n_dropped. Other columns and rows stay; a null text stays null."""
+    """docs with the text without the lines that go, and n_dropped (a clashing column is replaced). All rows stay.
+
+    Every line that is not blank takes part, whole, whatever its length; blank lines stay where they are. Rows with a null id
+    or text take no part and stay as they are; an empty text stays empty. Rows that share an id are documents of their own;
+    rows that share id and text are one document in several rows, which keep and lose the same lines. Of equal firsts, the
+    least (id, row hash, position) stays. An empty table gives an empty result. Other columns stay, whatever their names.
+    """
     rest = [c for c in docs.columns if c != "n_dropped"]
-    drops = dropped_lines(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("drop").alias("__drop"))
-    rows = docs.select(*rest).join(drops, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    drops = dropped_lines(docs.select(id_col, text_col), id_col, text_col).select(F.col("row").alias("__row"), F.col("drop").alias("__drop"))
+    row = F.expr(ROW.format(id=f"`{id_col}`", text=f"`{text_col}`"))
+    rows = docs.select(*rest).withColumn("__key", row).join(drops, F.col("__key") == F.col("__row"), "left").drop("__row", "__key")
     at = rest.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

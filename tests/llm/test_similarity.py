@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pinion.llm.bloom import Bloom, fill
 from pinion.llm.common import char_shingle_set, shingle_set, words
 from pinion.llm.components import components
-from pinion.llm.linking import block_links
+from pinion.llm.linking import UPPER, block_links, signature_blobs
 from pinion.llm.op02_ngram_jaccard import Bands, ngram_jaccard_join, signatures
+from pinion.llm.op02_ngram_jaccard import sign as sign_documents
 from pinion.llm.op03_embedding_dedup import Blocks, embedding_dedup
 from pinion.llm.op04_ann_forest import Forest, ann_search
 from pinion.llm.op06_line_dedup import WIDTH, line_dedup, normal, sign
@@ -103,11 +104,30 @@ def test_similar_sets_share_enough_signatures():
         inter = len(np.intersect1d(a, b))
         if len(b) == 0 or 100 * inter < 80 * len(np.union1d(a, b)) or inter == len(a) == len(b):
             continue
-        at, sig, needs = signatures([np.sort(a), np.sort(b)])
-        common = len(np.intersect1d(sig[at == 0], sig[at == 1]))
-        low = min(needs[0, 0], needs[1, 0])
-        need = max(needs[i, 1] if needs[i, 0] == low else needs[i, 2] for i in (0, 1))
-        assert common >= max(1, need)
+        at, sig, need = signatures([np.sort(a), np.sort(b)])
+        mine, yours = ({int(s): int(n) for s, n in zip(sig[at == i], need[at == i], strict=True)} for i in (0, 1))
+        common = [(mine[s], yours[s]) for s in mine.keys() & yours.keys() if min(mine[s], yours[s]) < UPPER]
+        assert len(common) >= max(1, *(max(x % UPPER, y % UPPER) for x, y in common))
+
+
+def test_jaccard_of_repeated_ids(spark):
+    """Rows that share an id keep the links of their own texts, whatever their order."""
+    rng = random.Random(8)
+    a, b = near_copies(rng, 1, 60, 1), near_copies(rng, 1, 60, 1)
+    rows = [(1, a[0]), (1, b[0]), (2, a[1]), (3, b[1]), (4, " ".join(f"z{k}" for k in range(30)))]
+    for order in (rows, rows[::-1]):
+        got = sorted((r["doc_id"], r["component_id"]) for r in ngram_jaccard_join(spark.createDataFrame(order, DOC)).collect())
+        assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_bytes_a_signature_hold_over_part_counts(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(9000)}" for _ in range(300))) for i in range(2000)], DOC).coalesce(1)
+    per = []
+    for parts in (16, 4096):
+        rows = signature_blobs(docs, sign_documents, parts).select(F.expr("sum(40 + length(keys) + length(sigs) + length(needs))"), F.sum(F.length("needs"))).head()
+        per.append(rows[0] / rows[1])
+    assert per[1] < 1.1 * per[0]
 
 
 def test_bands_cover_all_partners():
@@ -217,6 +237,15 @@ def test_short_and_unspaced_lines_take_part(spark):
     assert got == {1: (rows[0][1], 0), 2: ("more", 2), 3: ("", 2), 4: ("les", 0), 5: ("\n \n", 0)}
 
 
+def test_rows_that_share_an_id_lose_only_repeated_lines(spark):
+    rows = [(1, "the only line of its kind here\nsecond line of the first row"), (1, "second line of the first row\nquite another line, kept"), (1, "quite another line, kept"), (2, "one more line that is unique")]
+    got = sorted(r["text"] for r in line_dedup(spark.createDataFrame(rows, DOC)).collect())
+    lines = sorted(x for t in got for x in t.split("\n") if x)
+    assert lines == sorted({x for _, t in rows for x in t.split("\n")})
+    twice = line_dedup(spark.createDataFrame([(5, "same line of both rows")] * 2 + [(6, "same line of both rows")], DOC)).collect()
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in twice) == [(5, 0), (5, 0), (6, 1)]
+
+
 def test_lines_odd_inputs(spark):
     line = "this is a line that is long enough to count"
     rows = [(1, None, "k"), (2, "", None), (3, f"{line}\n{line}", "a"), (4, line.upper(), "b"), (None, line, "c"), (5, ("x y z " * 40000) + "\n" + line, None)]
