@@ -4,15 +4,17 @@ Equal texts are one atomic group. Groups larger than an even share get a shard e
 and cut into contiguous shards so that the largest shard is as small as possible: the driver binary-searches the smallest feasible capacity and checks each one greedily.
 It never sees all groups: the hash space is a trie whose nodes carry sums, greedy checks over whole nodes bound the
 capacity from both sides (a node as one block; a node as divisible at will), and only nodes in which a cut can fall are
-opened further, at most SEGMENTS rows at a time, until both bounds agree. The shard of a row is then an expression on its
-hash, and slots are counted in hashed sub-groups, so that a hot group is no single task.
+opened further, as at most RUNS ranges of the hash and SEGMENTS rows at a time, until both bounds agree. The shard of a row is
+then an expression on its hash, and slots are counted in hashed sub-groups of rows, so that a hot group is no single task.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,6 +25,8 @@ from pinion.llm.common import cut, table
 SHARDS, OVERHEAD = 24, 8
 #: Bits of the hash that order the groups, bits per opening of the trie, and most rows that the driver holds at once.
 BITS, STEP, SEGMENTS = 62, 12, 65_536
+#: Ranges of the hash that one opening reads.
+RUNS = 50
 #: Rows that one task numbers, about.
 NUMBERED = 50_000
 
@@ -78,19 +82,54 @@ def smallest(nodes: list[Node], ends: list[int], low: int, high: int, shards: in
     return low
 
 
+def windows(nodes: list[Node], ends: list[int], low: int, high: int, shards: int) -> list[range]:
+    """For each cut, the nodes in which greedy filling can make it with any capacity from low to high.
+
+    Filling with `high` as if nodes were divisible cuts last. Filling with `low` cuts first: within a node no further back than
+    its largest group, and never before the node itself.
+    """
+    out, first, last = [], 0, 0
+    for _ in range(shards):
+        if first >= ends[-1]:
+            break
+        i = bisect_right(ends, first + low)
+        begin = ends[i - 1] if i else 0
+        if i < len(nodes):
+            first = begin if nodes[i].atomic else max(begin, first + low - nodes[i].largest)
+        else:
+            first = ends[-1]
+        last = min(last + high, ends[-1])
+        out.append(range(bisect_right(ends, first), min(bisect_right(ends, last), len(nodes) - 1) + 1))
+    return out
+
+
+def to_open(nodes: list[Node], wanted: list[range]) -> list[list[int]]:
+    """Runs of nodes to be opened next, all of the width of the heaviest one that is wanted. Runs hold nothing else but atomic
+    nodes; what is over RUNS of them, or half of SEGMENTS nodes, waits for another turn."""
+    inside = sorted({m for w in wanted for m in w if not nodes[m].atomic}) or [m for m, n in enumerate(nodes) if not n.atomic]
+    width = nodes[max(inside, key=lambda m: nodes[m].total)].width
+    runs: list[list[int]] = []
+    for m in [m for m in inside if nodes[m].width == width][: SEGMENTS // 2]:
+        if runs and all(nodes[g].atomic for g in range(runs[-1][-1] + 1, m)):
+            runs[-1].append(m)
+        else:
+            runs.append([m])
+    runs.sort(key=lambda r: -sum(nodes[m].total for m in r))
+    return runs[:RUNS]
+
+
 def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     """(u, size) per group, u in [0, 2^BITS) -> the smallest capacity, and the first hash of each shard but the first."""
 
-    def opened(parents: list[Node], bits: int) -> list[Node]:
-        width = max(1, parents[0].width >> bits)
+    def opened(ranges: list[tuple[int, int]], width: int) -> list[Node]:
         rows = groups
-        if parents[0].width < 1 << BITS:  # all parents are of one width
-            rows = groups.where((F.col("u") - F.pmod("u", F.lit(parents[0].width))).isin([p.low for p in parents]))
+        if ranges:
+            rows = groups.where(reduce(or_, (F.col("u").between(a, b) for a, b in ranges)))
         rows = rows.groupBy((F.col("u") - F.pmod("u", F.lit(width))).alias("low"))
         rows = rows.agg(F.sum("size").alias("total"), F.max("size").alias("largest"), F.count("*").alias("groups"), F.min("u").alias("first"))
         return [Node(r["first"] if r["groups"] == 1 else r["low"], 1 if r["groups"] == 1 else width, r["total"], r["largest"], r["groups"]) for r in rows.collect()]
 
-    nodes = sorted(opened([Node(0, 1 << BITS, 0, 0, 0)], STEP), key=lambda n: n.low)
+    nodes = sorted(opened([], 1 << (BITS - STEP)), key=lambda n: n.low)
     if not nodes:
         return 0, []
     while True:
@@ -101,23 +140,14 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         if low == high:
             cuts = greedy(nodes, ends, high, shards, False)
             return high, [nodes[k].low for k in cuts[:-1]]
-        # a cut of any capacity between low and high lies between the two fillings' cuts
-        a, b = greedy(nodes, ends, low, shards, True), greedy(nodes, ends, high, shards, True)
-        a += [ends[-1]] * (len(a) < shards)
-        b += [ends[-1]] * (len(a) - len(b))
-        reach = max((n.largest for n in nodes if not n.atomic), default=0)
-        wanted = set()
-        for k, (x, y) in enumerate(zip(a, b, strict=False)):
-            i, j = bisect_right(ends, x - (k + 1) * reach), bisect_right(ends, y)
-            wanted |= {m for m in range(i, min(j + 1, len(nodes))) if not nodes[m].atomic}
-        chosen = [nodes[m] for m in sorted(wanted)] or [n for n in nodes if not n.atomic]
-        widest = max(n.width for n in chosen)
-        chosen = [n for n in chosen if n.width == widest]
-        bits = min(STEP, max(1, (SEGMENTS // len(chosen)).bit_length() - 1))
-        if sum(n.groups for n in chosen) <= SEGMENTS:
+        runs = to_open(nodes, windows(nodes, ends, low, high, shards))
+        count, width = sum(map(len, runs)), nodes[runs[0][0]].width
+        bits = min(STEP, max(1, (SEGMENTS // count).bit_length() - 1))
+        if sum(nodes[m].groups for r in runs for m in r) <= SEGMENTS:
             bits = BITS  # few enough to see each group
-        gone = set(chosen)
-        nodes = sorted([n for n in nodes if n not in gone] + opened(chosen, bits), key=lambda n: n.low)
+        new = opened([(nodes[r[0]].low, nodes[r[-1]].low + width - 1) for r in runs], max(1, width >> bits))
+        gone = {m for r in runs for m in range(r[0], r[-1] + 1)}
+        nodes = sorted([n for m, n in enumerate(nodes) if m not in gone] + new, key=lambda n: n.low)
 
 
 def giants(groups: DataFrame, shards: int) -> list[int]:
@@ -151,12 +181,14 @@ def minimax_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     """Per document: id, size, text_crc32, law, shard, slot, grown_shard.
 
     Sizes are UTF-8 bytes plus OVERHEAD; null texts have no bytes, no checksum and are one group. Documents of equal text
-    share a shard, whatever their number; repeated rows get a slot each. An empty table gives an empty result.
+    share a shard, whatever their number, and the null texts too; ties of size go by hash. Repeated rows get a slot each, and
+    so do rows with a null id. Very long texts are sized whole. An empty table gives an empty result; other columns are ignored,
+    whatever their names.
     """
     text = F.col(text_col).cast("string")
     u = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit("\x00")), text.isNull()), 64 - BITS)
     rows = docs.select(F.col(id_col).alias("id"), (text_bytes(text) + OVERHEAD).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), u.alias("u"))
-    rows = cut(rows)
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))  # the checkpoint fixes the numbers
     groups = cut(rows.groupBy("u").agg(F.sum("size").alias("size")))
     alone = giants(groups, shards)
     _, firsts = minimax_cuts(groups.where(~F.col("u").isin(alone)) if alone else groups, shards - len(alone))
@@ -165,7 +197,7 @@ def minimax_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
         shard = shard + (F.col("u") >= first).cast("int")
     for k, u in enumerate(alone):
         shard = F.when(F.col("u") == u, k).otherwise(shard)
-    out = numbered(rows.withColumn("shard", shard), "shard", ["id", "u", "size"], rows.count(), shards)
+    out = numbered(rows.withColumn("shard", shard), "shard", ["row"], rows.count(), shards)
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
