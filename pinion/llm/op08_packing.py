@@ -107,14 +107,15 @@ def ranked(rows: DataFrame, by: str, total: int, order: list[str]) -> DataFrame:
 def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is the end token alone. Rows that repeat are packed each; a null id stays null. An empty table
-    gives an empty result. Other columns are ignored.
+    A null or empty text is the end token alone; a text longer than the capacity is cut, whole. Rows that repeat are packed
+    each; a null id stays null; pieces of one length are alike, so ties between them are of no account. An empty table gives
+    an empty result. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    rows = cut(pieces(docs, vocabulary, capacity, id_col, text_col))
+    rows = cut(pieces(docs, vocabulary, capacity, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))  # the checkpoint fixes the numbers
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = spark.sparkContext.broadcast(slots(pack(counts, capacity)))
-    dealt = ranked(rows, "length", sum(counts.values()), ["id", "piece", "start", "ids_crc32"])
+    dealt = ranked(rows, "length", sum(counts.values()), ["row"])
     dealt = dealt.select("id", "piece", "start", "length", "ids_crc32", "rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,18 +1,24 @@
 """Bin completion on a histogram: how many bins of one capacity, filled with which lengths.
 
 Items of one length are alike, so a corpus is a histogram of at most `capacity` lengths, and a packing is a list of
-fillings with multiplicities. Around the largest length left, undominated fillings are enumerated by branch and bound;
-the search takes them least waste first, prunes where the waste so far rules out fewer bins than the best packing known,
-and starts from best-fit decreasing as that packing. NODES bounds the search, never the packing: it is always complete.
+fillings with multiplicities. Around the largest length left, all undominated fillings are enumerated, least waste first;
+the search takes each as often as it can, prunes where the waste so far rules out fewer bins than the best packing known,
+and starts from best-fit decreasing as that packing. A search that ends by itself is exact. One that meets its budget of
+decisions goes on with parts of the best packing: bins with waste and some without are taken apart and completed anew.
+The budget bounds the search, never the packing, which always covers the histogram.
 """
 
 from __future__ import annotations
 
+import random
 from bisect import bisect_left, bisect_right, insort
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 Filling = tuple[int, ...]
-#: Decisions of the search over whole packings, and nodes and results of one enumeration of fillings.
-NODES, FILL_NODES, FILLINGS = 400, 2000, 3
+#: Decisions of the first search, in multiples of the distinct lengths, and at least; of the search in a part of the best
+#: packing beside one a bin; how many parts in a row may bring nothing, and how many there are.
+DECISIONS, LEAST_DECISIONS, PART_DECISIONS, IDLE, PARTS = 3, 1500, 100, 60, 250
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
@@ -65,100 +71,184 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return max(best, big)
 
 
-def fillings(counts: dict[int, int], lengths: list[int], first: int, capacity: int) -> list[Filling]:
-    """Undominated fillings of a bin around `first`, least waste first.
-
-    A filling that another one dominates (some of its items replaced by one that is as large together, or room left for an
-    item at hand) is not made: items are added in falling order, always to the point where nothing at hand fits.
-    """
-    found: list[tuple[int, int, Filling]] = []
-    nodes, seen = 0, set()
-    best = [capacity]
-
-    def grow(chosen: Filling, room: int, top: int) -> None:
-        nonlocal nodes
-        nodes += 1
-        at = bisect_right(lengths, min(room, top)) - 1
-        tried = 0
-        fits = False
-        while at >= 0 and nodes < FILL_NODES and best[0] > 0:
-            k = lengths[at]
-            if counts[k] - chosen.count(k) - (k == first) > 0:
-                fits = True
-                if tried and room - k * (room // k) >= best[0] and k * 2 <= room and at == 0:
-                    break
-                grow((*chosen, k), room - k, k)
-                tried += 1
-            at -= 1
-            if tried >= 16:
-                break
-        if not fits or tried == 0:
-            if chosen not in seen:
-                seen.add(chosen)
-                found.append((room, len(chosen), (first, *chosen)))
-                best[0] = min(best[0], room)
-
-    grow((), capacity - first, first)
-    return [f for _, _, f in sorted(found)[:FILLINGS]]
-
-
-def pack(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
-    """(filling, multiplicity) covering the histogram exactly, with as few bins as the search finds."""
-    counts = {k: n for k, n in counts.items() if n > 0}
-    if not counts:
-        return []
-    if max(counts) > capacity or min(counts) < 1:
-        raise ValueError("lengths must lie between 1 and the capacity")
-    best = best_fit(counts, capacity)
-    best_bins, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    total = sum(k * n for k, n in counts.items())
-    budget = NODES
-    # depth first; a level holds what is left, and the fillings not yet tried there
+def sums(counts: dict[int, int], lengths: list[int], room: int) -> list[int]:
+    """Per place in the falling lengths the sums up to `room` of the items from there on, as the bits of a number."""
+    mask, out = (1 << (room + 1)) - 1, [1]
+    for k in reversed(lengths):
+        bits, left, step = out[-1], min(counts[k], room // k), 1
+        while left > 0:
+            n = min(step, left)
+            bits |= (bits << (k * n)) & mask
+            left, step = left - n, 2 * step
+        out.append(bits)
+    return out[::-1]
+
+
+def dominated(filling: Counter, first: int, counts: dict[int, int], lengths: list[int], room: int) -> bool:
+    """Whether one item at hand could join the filling, or replace some of its items beside `first` that are as large
+    together at most: then what is left is no harder to pack with that filling. lengths: rising, of what is at hand."""
+
+    def at_hand(low: int, high: int, but: int = 0) -> bool:
+        i = bisect_left(lengths, low)
+        while i < len(lengths) and lengths[i] <= high:
+            k = lengths[i]
+            if k != but and counts[k] - filling[k] - (k == first) > 0:
+                return True
+            i += 1
+        return False
+
+    if at_hand(1, room) or any(at_hand(k + 1, k + room, k) for k in filling):
+        return True
+    one, more = 0, 0  # sums of exactly one item and of several
+    for k, n in filling.items():
+        for c in range(n):
+            more |= (more << k) | (one << k)
+            one |= 1 << k
+    top = max(filling, default=0)
+    while more:
+        s = (more & -more).bit_length() - 1
+        if s > lengths[-1]:
+            return False
+        if at_hand(s, s + room):
+            return True
+        more &= more - 1
+    return top > lengths[-1]
+
+
+def fillings(counts: dict[int, int], capacity: int, allowed: Callable[[], int]) -> Iterator[Filling]:
+    """Undominated fillings of a bin around the largest length, least waste first, then larger items first; none with more
+    waste than allowed(). Lengths are taken with their multiplicities at once, and only where the sum can still be met."""
+    first, room = max(counts), capacity - max(counts)
+    at_hand = sorted(k for k in counts if k <= room)
+    lengths = at_hand[::-1]
+    left = {k: counts[k] - (k == first) for k in lengths}
+    reach = sums(left, lengths, room)
+
+    def grow(i: int, rest: int) -> Iterator[tuple[int, ...]]:
+        if not rest:
+            yield ()
+            return
+        i = max(i, len(lengths) - bisect_right(at_hand, rest))
+        while i < len(lengths):
+            if not reach[i] >> rest & 1:
+                return
+            k = lengths[i]
+            for n in range(min(left[k], rest // k), 0, -1):
+                if reach[i + 1] >> (rest - n * k) & 1:
+                    for more in grow(i + 1, rest - n * k):
+                        yield (k,) * n + more
+            i += 1
+
+    for waste in range(room + 1):
+        if waste > allowed():
+            return
+        if reach[0] >> (room - waste) & 1:
+            for f in grow(0, room - waste):
+                if not at_hand or not dominated(Counter(f), first, counts, at_hand, waste):
+                    yield (first, *f)
+
+
+def search(counts: dict[int, int], capacity: int, best: list[tuple[Filling, int]], bound: int, decisions: int, rng: random.Random | None = None) -> tuple[list[tuple[Filling, int]], bool]:
+    """Depth first over fillings with multiplicities: a packing of fewer bins than `best`, or best itself; and whether that is
+    proven to be the least. With rng, some fillings are passed over on the way down."""
+    best_bins, total = sum(n for _, n in best), sum(k * n for k, n in counts.items())
     left, done, used, waste = dict(counts), [], 0, 0
-    lengths = sorted(left)
 
-    def options() -> list[Filling]:
-        return fillings(left, lengths, lengths[-1], capacity)
+    def allowed() -> int:
+        return (best_bins - 1) * capacity - total - waste
+
+    def options() -> Iterator[tuple[Filling, int]]:
+        seen = []
+        for f in fillings(left, capacity, allowed):
+            c = Counter(f)
+            n = min(left[k] // m for k, m in c.items())
+            if rng is None or rng.random() < 0.85:
+                yield f, n
+            else:
+                seen.append((f, n + 1))
+            seen.append((f, n))
+        for f, n in seen:
+            for m in range(n - 1, 0, -1):
+                yield f, m
 
     def take(f: Filling, n: int) -> None:
-        for k in set(f):
-            left[k] = left.get(k, 0) - n * f.count(k)
-            if left[k] == 0:
+        for k, m in Counter(f).items():
+            left[k] = left.get(k, 0) - n * m
+            if not left[k]:
                 del left[k]
-                lengths.remove(k)
-            elif k not in lengths:
-                insort(lengths, k)
 
-    stack: list[list[Filling]] = [options()]
+    stack = [options()]
     while stack and best_bins > bound:
-        if stack[-1]:
-            f = stack[-1].pop(0)
-            n = min(left[k] // f.count(k) for k in set(f))
-            lost = waste + n * (capacity - sum(f))
-            if -(-(total + lost) // capacity) >= best_bins:  # even without further waste no better
-                continue
-            take(f, n)
-            done.append((f, n, waste))
-            used, waste = used + n, lost
-            if not left:
-                best, best_bins = [(g, m) for g, m, _ in done], used
-                stack.append([])
-            else:
-                rest = best_fit(left, capacity) if len(done) % 64 == 0 else None
-                if rest and used + sum(m for _, m in rest) < best_bins:
-                    best, best_bins = [(g, m) for g, m, _ in done] + rest, used + sum(m for _, m in rest)
-                stack.append(options())
-        else:
+        got = next(stack[-1], None)
+        if got is None:
             stack.pop()
             if done:
                 f, n, waste = done.pop()
                 used -= n
                 take(f, -n)
-            budget -= 1
-            if budget <= 0:
-                break
-    merged: dict[Filling, int] = {}
-    for f, n in best:
-        f = tuple(sorted(f, reverse=True))
-        merged[f] = merged.get(f, 0) + n
-    return list(merged.items())
+            continue
+        f, n = got
+        lost = n * (capacity - sum(f))
+        if lost > allowed():
+            continue
+        if decisions <= 0:
+            return best, False
+        decisions -= 1
+        take(f, n)
+        done.append((f, n, waste))
+        used, waste = used + n, waste + lost
+        if left:
+            stack.append(options())
+            continue
+        if used < best_bins:
+            best, best_bins = [(g, m) for g, m, _ in done], used
+        f, n, waste = done.pop()
+        used -= n
+        take(f, -n)
+    return best, True
+
+
+def histogram(packing: list[tuple[Filling, int]]) -> Counter:
+    out: Counter = Counter()
+    for f, n in packing:
+        for k in f:
+            out[k] += n
+    return out
+
+
+def pack(counts: dict[int, int], capacity: int, decisions: int | None = None, parts: int = PARTS) -> list[tuple[Filling, int]]:
+    """(filling, multiplicity) covering the histogram exactly, with as few bins as the search finds.
+
+    An empty histogram gives none; lengths outside 1 to capacity are an error.
+    """
+    counts = {k: n for k, n in counts.items() if n > 0}
+    if not counts:
+        return []
+    if max(counts) > capacity or min(counts) < 1:
+        raise ValueError("lengths must lie between 1 and the capacity")
+    decisions = max(LEAST_DECISIONS, DECISIONS * len(counts)) if decisions is None else decisions
+    bound = lower_bound(counts, capacity)
+    found, proven = search(counts, capacity, best_fit(counts, capacity), bound, decisions)
+    best = Counter()
+    for f, n in found:
+        best[tuple(sorted(f, reverse=True))] += n
+    rng, idle = random.Random(1), 0
+    for _ in range(0 if proven else parts):
+        if best.total() <= bound or idle >= IDLE:
+            break
+        idle += 1
+        # bins with waste and some without, a few copies of each, are completed anew; the others stay
+        poor = [f for f, n in best.items() if sum(f) < capacity for _ in range(min(n, 3))]
+        full = [f for f, n in best.items() if sum(f) == capacity for _ in range(min(n, 2))]
+        part = Counter(rng.sample(poor, min(len(poor), rng.choice((8, 20, 80)))) + rng.sample(full, min(len(full), rng.choice((8, 20, 60, 200)))))
+        again = dict(histogram(list(part.items())))
+        least = lower_bound(again, capacity)
+        if least >= part.total():
+            continue
+        found, _ = search(again, capacity, list(part.items()), least, part.total() + PART_DECISIONS, rng)
+        if sum(n for _, n in found) < part.total():
+            idle, times = 0, min(best[f] // n for f, n in part.items())  # the same again wherever these fillings occur together
+            best -= Counter({f: n * times for f, n in part.items()})
+            for f, n in found:
+                best[tuple(sorted(f, reverse=True))] += n * times
+    return list(best.items())
