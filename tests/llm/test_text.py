@@ -1,11 +1,14 @@
 """Language ID, encoding, packing, sharding, URL filters, HTML extraction and the pipeline."""
 
 import hashlib
+import itertools
 import os
 import random
+import time
 import zlib
 from array import array
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -20,7 +23,7 @@ from pinion.llm.op06_line_dedup import normal
 from pinion.llm.op08_packing import TextIds, best_fit_packing
 from pinion.llm.op09_bpe import build_lexicon, decode_column, default_vocabulary, digests, encode_column, frequent_words
 from pinion.llm.op10_html import extract, html_extraction
-from pinion.llm.packing import best_fit, lower_bound, pack
+from pinion.llm.packing import best_fit, fillings, lower_bound, pack
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
@@ -202,6 +205,59 @@ def test_packing_is_complete_and_optimal_on_small_cases():
     assert pack({}, 9) == [] and sum(n for _, n in pack({1: 10**9, 5: 10**8}, 9)) == lower_bound({1: 10**9, 5: 10**8}, 9)
 
 
+def bins_of(counts, capacity):
+    plan, got = pack(dict(counts), capacity), Counter()
+    for f, n in plan:
+        assert sum(f) <= capacity
+        for k in f:
+            got[k] += n
+    assert got == Counter(counts)
+    return sum(n for _, n in plan)
+
+
+def test_packing_equals_exhaustive_search():
+    rng = random.Random(7)
+    for _ in range(120):
+        items = [rng.randint(8, 70) if rng.random() < 0.8 else rng.randint(1, 100) for _ in range(rng.randint(8, 14))]
+        assert bins_of(Counter(items), 100) == least_bins(sorted(items, reverse=True), 100)
+
+
+def test_packing_of_many_small_items_and_of_exact_triplets():
+    assert bins_of({1: 3000}, 2048) == 2 and bins_of({1: 10**9, 2048: 5}, 2048) == 5 + -(-(10**9) // 2048)
+    assert bins_of({k: 1 for k in range(1, 2049)}, 2048) == 1025
+    rng = random.Random(0)
+    for n, most in ((30, 31), (200, 203), (1000, 1010)):
+        wide, narrow = [], []
+        for _ in range(n):
+            a, b = sorted(rng.sample(range(1, 2048), 2))
+            wide += [a, b - a, 2048 - b]
+            a = rng.randint(778, 1003)  # no two of them fill a bin, so every bin takes three
+            b = rng.randint(512, (2048 - a) // 2)
+            narrow += [a, b, 2048 - a - b]
+        assert n <= bins_of(Counter(wide), 2048) <= most and n <= bins_of(Counter(narrow), 2048) <= most
+
+
+def test_fillings_are_undominated_and_complete():
+    """Against all maximal fillings of small histograms: a filling is missing only if an undominated one replaces it."""
+    rng = random.Random(2)
+    for _ in range(60):
+        counts = dict(Counter(rng.randint(3, 30) for _ in range(8)))
+        first = max(counts)
+        got = set(fillings(counts, 40, lambda: 40))
+        items = sorted((Counter(counts) - Counter([first])).elements(), reverse=True)
+        every = {tuple(c) for n in range(len(items) + 1) for c in itertools.combinations(items, n) if sum(c) <= 40 - first}
+        assert {f[1:] for f in got} <= every and got
+        for c in every - {f[1:] for f in got}:
+            spare, room = Counter(items) - Counter(c), 40 - first - sum(c)
+            subsets = [s for n in range(len(c) + 1) for s in itertools.combinations(c, n)]
+            assert any(sum(s) <= x <= sum(s) + room and s != (x,) for s in subsets for x in spare)
+
+
+def test_packing_many_null_texts(spark):
+    out = best_fit_packing(spark.createDataFrame([(None, None)] * 1500 + [(7, None)] * 1500, DOC), default_vocabulary(), capacity=100).collect()
+    assert len(out) == 3000 and len({r["sequence_id"] for r in out}) == 30 and len({(r["sequence_id"], r["offset"]) for r in out}) == 3000
+
+
 def test_packed_documents(spark, library):
     texts = ["", None, "one two three", "x " * 5000, "a b", "a b", *(f"word{i} " * (i % 90) for i in range(150))]
     docs = [(i, t) for i, t in enumerate(texts)] + [(None, "no id")]
@@ -250,6 +306,18 @@ def test_capacity_is_minimal(spark, monkeypatch, n, step, segments):
     assert capacity == smallest_capacity([s for _, s in groups], 24) == max(loads.values()) and len(firsts) < 24
 
 
+def test_a_large_group_opens_few_nodes(spark, monkeypatch):
+    """One group of 2 MB among 100,000 small ones: rows at the driver and ranges in a plan stay within their bounds."""
+    groups = spark.range(100_000).selectExpr("shiftrightunsigned(xxhash64(id), 2) AS u", "200 + pmod(hash(id), 900) AS size").union(spark.sql("SELECT shiftrightunsigned(xxhash64(-1L), 2), 2000000L"))
+    groups = groups.selectExpr("u", "CAST(size AS BIGINT) AS size").cache()
+    seen, opened = [], shards.to_open
+    monkeypatch.setattr(shards, "to_open", lambda nodes, wanted: seen.append((len(nodes), opened(nodes, wanted))) or seen[-1][1])
+    capacity, firsts = shards.minimax_cuts(groups, 24)
+    rows = sorted((r["u"], r["size"]) for r in groups.collect())
+    assert capacity == smallest_capacity([s for _, s in rows], 24) and len(firsts) == 23
+    assert len(seen) <= 4 and all(n <= 80_000 and len(runs) <= shards.RUNS for n, runs in seen)
+
+
 def test_shards(spark):
     rng = random.Random(3)
     texts = ["hot text " * 30] * 150 + [None, None, ""] + [f"é{i} " * rng.randrange(60) for i in range(400)]
@@ -272,6 +340,7 @@ def test_shards(spark):
     assert shards.minimax_shards(spark.createDataFrame([], DOC)).count() == 0
 
 
+PROSE = "A first sentence stands here, with some words. Then another one follows; it is longer, and ends."
 # --- html ----------------------------------------------------------------------------------------------------------------
 
 
@@ -292,12 +361,64 @@ def test_shards(spark):
         ),
         ("<div id=content><h1>Title</h1><p>Some text here, with marks. And more.</p><div>More text, yes; really.</div><div class='share-buttons'>Share</div></div><ul><li><a href=a>Link one</a><li><a href=b>Link two</a></ul>", "Title\nSome text here, with marks. And more.\nMore text, yes; really."),
         ("<!-- <p>no</p> --><div class=ad>Buy now!</div><table><tr><td>cell one.<td>cell two.</table>", "cell one.\ncell two."),
+        *(
+            (page % f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p><p>Short.</p>", f"Title\n{PROSE}\n{PROSE}\nShort.")
+            for page in (
+                "<div class='page-widget'>%s</div>",
+                "<div id='search-results'>%s</div>",
+                "<form action=x><input type=hidden>%s<input type=submit></form>",
+                "<article>%s<div>Subscribe to us</div></article>",
+                "<article>%s<section class=comments><h2>Comments</h2><p>I like it, really; so much!</p></section></article>",
+                "<div class=a1><ul><li><a href=/>Home</a><li><a href=/b>News of today</a></ul></div><div class=b2>We use cookies, accept them.</div><div class=c3>%s</div><div class=d4><h3>Say it</h3><div class=e5><p>Great article!</p></div><div class=e5><p>No, sorry.</p></div></div>",
+                "<ul><li><a href=/>Home</a><li><a href=/b>News of today</a></ul><div>We use cookies.</div>%s<div><div><p>Great article, thanks!</p></div></div>",
+            )
+        ),
+        (f"<article><p>{PROSE}</p><ul><li><a href=x>Ref one</a><li><a href=y>Ref two</a></ul><p>{PROSE}</p></article>", f"{PROSE}\nRef one\nRef two\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><section id=discussion><h2>Discussion</h2><p>{PROSE}</p></section></article>", f"{PROSE}\nDiscussion\n{PROSE}"),
+        (f"<aside><p>{PROSE}</p></aside>", PROSE),
     ],
 )
 def test_extracts(html, text):
     assert extract(html) == text
 
 
+class Article(HTMLParser):
+    """The article's blocks by a parser of its own: headings and paragraphs between the article's tags."""
+
+    def __init__(self):
+        super().__init__()
+        self.on, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.on |= tag == "article"
+        self.blocks += [""] if tag in ("p", "h1") else []
+        self.blocks[-1] += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        self.on &= tag != "article"
+        self.blocks += [""] if tag in ("p", "h1") else []
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.on else ""
+
+
+def test_html_equals_the_articles_of_the_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extraction(pages).collect()}
+    for r in pages.collect():
+        a = Article()
+        a.feed(r["html"] or "")
+        a.close()
+        assert got[r["page_id"]] == "\n".join(x for b in a.blocks if (x := " ".join(b.split())))
+
+
+def test_html_takes_linear_time():
+    for html in ("<b>" * 20_000 + "</i>" * 20_000 + "x", "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000 + "x", "<b>" * 20_000 + "<h1>t</h1>" * 20_000, "<div>" * 3000 + "<p>x y. z</p>" * 3000):
+        began = time.perf_counter()
+        extract(html)
+        assert time.perf_counter() - began < 3
+
+
 def test_html_odd_inputs(spark):
     long = "<article>" + "<p>A sentence, and more.</p>" * 20000 + "</article>"
     rows = [(1, "u", None, 1), (2, None, long, 2), (None, "u", "<p>x", 3), (4, "u", "<div>" * 3000 + "deep", 4)]
