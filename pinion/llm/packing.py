@@ -16,9 +16,10 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 Filling = tuple[int, ...]
-#: Decisions of the first search, in multiples of the distinct lengths, and at least; of the search in a part of the best
-#: packing beside one a bin; how many parts in a row may bring nothing, and how many there are.
-DECISIONS, LEAST_DECISIONS, PART_DECISIONS, IDLE, PARTS = 3, 1500, 100, 60, 250
+#: Decisions of the first search, in multiples of the distinct lengths, and beside that; of the search in a part of the best
+#: packing beside one a bin; how many parts in a row may bring nothing, and how many there are. Looking at LOOKS fillings
+#: counts as a decision.
+DECISIONS, MORE_DECISIONS, PART_DECISIONS, IDLE, PARTS, LOOKS = 2, 1000, 150, 120, 400, 10
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
@@ -115,9 +116,10 @@ def dominated(filling: Counter, first: int, counts: dict[int, int], lengths: lis
     return top > lengths[-1]
 
 
-def fillings(counts: dict[int, int], capacity: int, allowed: Callable[[], int]) -> Iterator[Filling]:
+def fillings(counts: dict[int, int], capacity: int, allowed: Callable[[], int], look: Callable[[], bool] = lambda: True) -> Iterator[Filling]:
     """Undominated fillings of a bin around the largest length, least waste first, then larger items first; none with more
-    waste than allowed(). Lengths are taken with their multiplicities at once, and only where the sum can still be met."""
+    waste than allowed(). Lengths are taken with their multiplicities at once, and only where the sum can still be met.
+    look() is asked before each filling that is looked at, and ends the enumeration when it is false."""
     first, room = max(counts), capacity - max(counts)
     at_hand = sorted(k for k in counts if k <= room)
     lengths = at_hand[::-1]
@@ -144,6 +146,8 @@ def fillings(counts: dict[int, int], capacity: int, allowed: Callable[[], int])
             return
         if reach[0] >> (room - waste) & 1:
             for f in grow(0, room - waste):
+                if not look():
+                    return
                 if not at_hand or not dominated(Counter(f), first, counts, at_hand, waste):
                     yield (first, *f)
 
@@ -153,13 +157,19 @@ def search(counts: dict[int, int], capacity: int, best: list[tuple[Filling, int]
     proven to be the least. With rng, some fillings are passed over on the way down."""
     best_bins, total = sum(n for _, n in best), sum(k * n for k, n in counts.items())
     left, done, used, waste = dict(counts), [], 0, 0
+    looks = decisions * LOOKS  # what is left of the budget
+
+    def look() -> bool:
+        nonlocal looks
+        looks -= 1
+        return looks > 0
 
     def allowed() -> int:
         return (best_bins - 1) * capacity - total - waste
 
     def options() -> Iterator[tuple[Filling, int]]:
         seen = []
-        for f in fillings(left, capacity, allowed):
+        for f in fillings(left, capacity, allowed, look):
             c = Counter(f)
             n = min(left[k] // m for k, m in c.items())
             if rng is None or rng.random() < 0.85:
@@ -180,6 +190,8 @@ def search(counts: dict[int, int], capacity: int, best: list[tuple[Filling, int]
     stack = [options()]
     while stack and best_bins > bound:
         got = next(stack[-1], None)
+        if looks <= 0:
+            return best, False
         if got is None:
             stack.pop()
             if done:
@@ -191,9 +203,9 @@ def search(counts: dict[int, int], capacity: int, best: list[tuple[Filling, int]
         lost = n * (capacity - sum(f))
         if lost > allowed():
             continue
-        if decisions <= 0:
+        looks -= LOOKS
+        if looks <= 0:
             return best, False
-        decisions -= 1
         take(f, n)
         done.append((f, n, waste))
         used, waste = used + n, waste + lost
@@ -205,7 +217,7 @@ def search(counts: dict[int, int], capacity: int, best: list[tuple[Filling, int]
         f, n, waste = done.pop()
         used -= n
         take(f, -n)
-    return best, True
+    return best, looks > 0 or best_bins <= bound
 
 
 def histogram(packing: list[tuple[Filling, int]]) -> Counter:
@@ -226,7 +238,7 @@ def pack(counts: dict[int, int], capacity: int, decisions: int | None = None, pa
         return []
     if max(counts) > capacity or min(counts) < 1:
         raise ValueError("lengths must lie between 1 and the capacity")
-    decisions = max(LEAST_DECISIONS, DECISIONS * len(counts)) if decisions is None else decisions
+    decisions = DECISIONS * len(counts) + MORE_DECISIONS if decisions is None else decisions
     bound = lower_bound(counts, capacity)
     found, proven = search(counts, capacity, best_fit(counts, capacity), bound, decisions)
     best = Counter()
