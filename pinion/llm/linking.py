@@ -145,11 +145,10 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[list[str]], lis
             inter, union = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
             for n, (x, y) in enumerate(zip(a, b, strict=True)):
                 x, y = of[x], of[y]
-                if len(x) and len(y):
-                    at = np.searchsorted(y, x)
-                    at[at == len(y)] = 0
-                    inter[n] = np.count_nonzero(y[at] == x)
-                union[n] = len(x) + len(y) - inter[n]
+                both = np.concatenate([x, y])
+                both.sort()
+                inter[n] = np.count_nonzero(both[1:] == both[:-1])
+                union[n] = len(both) - inter[n]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter), pa.array(union)], names=["center", "member", "inter", "union"])
 
     one = texts.select(F.col("id").alias("member"), F.col("text").alias("b"))

@@ -84,12 +84,15 @@ def line_sets(lines: list[str]) -> list[np.ndarray]:
     h2 = c[:-1] * b1 + c[1:]
     h4 = h2[:-2] * b2 + h2[2:]
     h = mix(h4[:-1] * b1 + c[4:])
-    owner = np.repeat(np.arange(len(lines)), n)
-    h = h[np.arange(len(owner)) + owner * (WIDTH - 1)]  # without those that reach over a line's end
-    order = np.lexsort((h, owner))
-    h = h[order]
-    first = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
-    return np.split(h[first], np.cumsum(np.bincount(owner[first], minlength=len(lines)))[:-1])
+    first = np.ones(len(h), bool)
+    at, out = 0, []
+    for k in n.tolist():
+        part = h[at : at + k]  # without those that reach over the line's end
+        part.sort()
+        np.not_equal(part[1:], part[:-1], out=first[at + 1 : at + k])
+        out.append(part[first[at : at + k]])
+        at += k + WIDTH - 1
+    return out
 
 
 def sign(lines: list[str]) -> tuple[np.ndarray, np.ndarray, None, None]:
