@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinion.llm.common import cut, table
+from pinion.llm.common import cut, join_hot, table
 from pinion.llm.components import components
-from pinion.llm.vectors import matrix, unit, valid_vectors
+from pinion.llm.vectors import all_vectors, matrix, unit
 
-COSINE, BLOCK_DIMS, GRID_DIMS, CELL = 0.95, 8, 2, 3.2
+COSINE, BLOCK_DIMS, GRID_DIMS, CELL = 0.95, 16, 2, 3.2
 #: Homes and visitors of one task, at most about.
 HOMES, VISITORS = 32_768, 65_536
 TILE = 2048
@@ -84,7 +84,7 @@ def spread(distinct: DataFrame, cosine: float, with_vectors: bool) -> DataFrame:
                         u, at = np.unique(cell, return_inverse=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), d, np.int32)), pa.array(np.full(len(u), k, np.int32)), pa.array(u), pa.array(np.bincount(at, home, len(u)).astype(np.int64)), pa.array(np.bincount(at, minlength=len(u)))], names=["d", "k", "cell", "homes", "visitors"])
 
-    return distinct.select("id", "n", "vec").mapInArrow(run, "d int, k int, cell long, " + ("home boolean, id long, n long, vec array<double>" if with_vectors else "homes long, visitors long"))
+    return distinct.select("id", "n", "vec").mapInArrow(run, "d int, k int, cell long, " + ("home boolean, id long, n long, vec " + distinct.schema["vec"].dataType.simpleString() if with_vectors else "homes long, visitors long"))
 
 
 def cell_links(t: pa.Table, cosine: float) -> pa.Table:
@@ -141,11 +141,15 @@ def cell_links(t: pa.Table, cosine: float) -> pa.Table:
 def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
-    Null, zero and non-finite vectors are linked with nothing, are their own components and are kept. Rows with a null id are
-    left out of the join and come back with nulls. Rows that share an id and a vector count as copies.
+    Vectors that are null, empty, zero or not finite are linked with nothing, are their own components and are kept. Rows with a
+    null id are left out of the join and come back with nulls. Vectors are compared with those of their own length. Rows that
+    share a vector are copies, whatever their ids; rows that share an id are told apart by their vectors. An empty table gives
+    an empty result; other columns are ignored, whatever their names.
     """
-    rows = valid_vectors(vectors, id_col, vec_col)
-    same = cut(rows.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    every = all_vectors(vectors, id_col, vec_col)
+    rows = every.where("valid").select("id", "vec")
+    same = cut(rows.groupBy("vec").agg(F.min("id").alias("low"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    total = same.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     grid = spread(same, cosine, False).groupBy("d", "k", "cell").agg(F.sum("homes").alias("homes"), F.sum("visitors").alias("visitors")).where("homes > 0")
     grid = grid.select("d", "k", "cell", F.ceil(F.col("homes") / HOMES).cast("int").alias("hs"), F.ceil(F.col("visitors") / VISITORS).cast("int").alias("vs"))
     at = spread(same, cosine, True).join(F.broadcast(grid), ["d", "k", "cell"])  # at most (blocks) x (cells of the unit cube) rows
@@ -156,14 +160,12 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     found = cut(visit.union(own).groupBy("d", "k", "cell", "h", "v").applyInArrow(lambda t: cell_links(t, cosine), "a long, b long, edge boolean"))
     links = found.where("NOT edge").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     labels = components(found.where("edge").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    of = same.join(links, "id", "left").join(labels, "id", "left")
-    of = of.select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    every = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    out = every.join(of, "vec", "left").select(
-        F.col("id").alias(id_col),
-        F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
-    )
+    of = cut(same.join(links, "id", "left").join(labels, "id", "left").select("vec", "low", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("root")))
+    least = of.groupBy("root").agg(F.min("low").alias("component_id"))
+    of = of.join(least, "root").select("vec", "n", "n_links", "component_id")
+    found = join_hot(rows, of, "vec", "n", total).select("id", "n_links", "component_id")
+    alone = every.where("NOT valid").select("id", F.when(F.col("id").isNotNull(), F.lit(0).cast("long")), "id")
+    out = found.union(alone).select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id")
     return out.withColumn("kept", F.col("component_id") == F.col(id_col))
 
 

@@ -3,7 +3,8 @@
 Rows are dealt into blocks. Within a block TREES trees split the vectors at the medians of random projections down to LEAF
 vectors. A query descends all trees through one priority queue, ordered by the least margin on the way to a node, and
 collects leaves until SHARE of the block's rows are candidates; these are ranked by exact cosine in double precision.
-The best of all blocks are merged. Every row is indexed; memory is bounded by BLOCK rows and CHUNK queries.
+The best of all blocks are merged. Every row is indexed. A block's rows come to its task first and are indexed once; queries
+then stream by, CHUNK at a time, so memory is bounded by BLOCK rows and CHUNK queries.
 
 SHARE is large because a random projection says little about directions that are spread evenly: on such vectors a forest
 of this kind needs about half of all rows for a recall of 0.9, whatever the number of trees (see the README).
@@ -12,6 +13,7 @@ of this kind needs about half of all rows for a recall of 0.9, whatever the numb
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pinion.llm.common import table
+from pinion.llm.common import small, table
 from pinion.llm.vectors import matrix, unit, valid_vectors
 
 K, QUERY_STEP = 5, 50
@@ -80,9 +82,8 @@ class Forest:
         return np.flatnonzero(seen)
 
 
-def nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, share: float, seed: int) -> tuple[list, list, list]:
+def nearest(q: np.ndarray, qid: np.ndarray, forest: Forest, x: np.ndarray, ids: np.ndarray, k: int, share: float) -> tuple[list, list, list]:
     """For each query the k nearest found among x: (query, id, score), by cosine and then id."""
-    forest = Forest(x, seed)
     out: tuple[list, list, list] = ([], [], [])
     least = min(len(x), max(int(np.ceil(share * len(x))), 40 * k))
     margins = q @ forest.planes.T - forest.bounds
@@ -105,29 +106,43 @@ def nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: i
 def ann_search(vectors: DataFrame, queries: DataFrame, k: int = K, share: float = SHARE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found rows beside itself, largest cosine first, then least id.
 
-    Vectors that are null, zero or hold null or non-finite parts take no part, on either side; vectors are compared with
-    those of their own length. Repeated rows count each. Empty tables give an empty result.
+    Vectors that are null, empty, zero or hold null or non-finite parts take no part, on either side, nor do rows with a null
+    id; vectors are compared with those of their own length. Repeated rows count each; ties go to the least id. Empty tables
+    give an empty result; other columns are ignored, whatever their names.
     """
     rows, asked = valid_vectors(vectors, id_col, vec_col), valid_vectors(queries, id_col, vec_col)
     n, m = rows.count(), asked.count()
-    blocks, chunks = max(1, -(-n // BLOCK)), max(1, -(-m // CHUNK))
-    block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))
-    chunk = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(chunks))
-    right = rows.select("id", "vec", F.size("vec").alias("d"), F.lit(False).alias("q"), block.alias("b"), F.explode(F.expr(f"sequence(0L, {chunks - 1}L)")).alias("c"))
-    left = asked.select("id", "vec", F.size("vec").alias("d"), F.lit(True).alias("q"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("b"), chunk.alias("c"))
-
-    def search(t: pa.Table) -> pa.Table:
-        q = t.column("q").to_numpy()
-        ids = t.column("id").to_numpy()
-        out: tuple[list, list, list] = ([], [], [])
-        if q.any() and not q.all():
-            order = np.argsort(ids, kind="stable")  # the same forest whatever order rows arrive in
-            x = unit(matrix(t.column("vec")))
-            a, b = order[q[order]], order[~q[order]]
-            out = nearest(x[a], ids[a], x[b], ids[b], k, share, seed=int(t.column("b")[0].as_py()))
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    found = left.union(right).groupBy("b", "c", "d").applyInArrow(search, "query_id long, vec_id long, score double")
+    # copies of a block share its queries where there are fewer blocks than tasks that can run
+    blocks = max(1, -(-n // BLOCK))
+    copies = max(1, min(-(-m // CHUNK), vectors.sparkSession.sparkContext.defaultParallelism // blocks))
+    block = F.pmod(F.xxhash64("id", "vec", F.lit(1)), F.lit(blocks))
+    copy = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(copies))
+    right = rows.select("id", "vec", F.size("vec").alias("d"), F.lit(False).alias("q"), block.alias("b"), F.explode(F.expr(f"sequence(0L, {copies - 1}L)")).alias("c"))
+    left = asked.select("id", "vec", F.size("vec").alias("d"), F.lit(True).alias("q"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("b"), copy.alias("c"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, x, forest = None, [], [], None
+        for batch in small(batches, CHUNK):
+            b, c, d, q = (batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False) for name in ("b", "c", "d", "q"))
+            change = np.flatnonzero((b[1:] != b[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1]) | (q[1:] != q[:-1])) + 1
+            for s, e in zip([0, *change], [*change, len(b)], strict=True):
+                if s == e:
+                    continue
+                own, vec = batch.column(0).slice(s, e - s).to_numpy(), unit(matrix(batch.column(1).slice(s, e - s)))
+                if key != (b[s], c[s], d[s]):
+                    key, ids, x, forest = (b[s], c[s], d[s]), [], [], None
+                if not q[s]:
+                    ids.append(own)
+                    x.append(vec)
+                elif ids:
+                    if forest is None:
+                        ids, x = np.concatenate(ids), np.concatenate(x)
+                        forest = Forest(x, seed=int(b[s]))
+                    out = nearest(vec, own, forest, x, ids, k, share)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    dealt = right.union(left).repartition(max(1, blocks * copies), "b", "c").sortWithinPartitions("b", "c", "d", "q", "id")
+    found = dealt.select("id", "vec", "d", "q", "b", "c").mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -14,14 +14,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pinion.llm.common import small, table
 
 WINDOW = 64
 HIDDEN = 8
-#: The bound on labelled rows that a classifier is fitted on, and on the bytes taken of them together.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 24_000_000
+#: The bound on labelled rows that a classifier is fitted on, and on the characters taken of them together; on the languages
+#: it learns; characters of a piece of a long text.
+SAMPLE_ROWS, SAMPLE_BYTES, LANGUAGES, PIECE = 3000, 24_000_000, 100, 256
 STEPS, BATCH, RATE = 300, 192, 0.02
 #: Bytes of text that a worker labels at once.
 CHUNK_BYTES = 1 << 17
@@ -237,21 +239,33 @@ def predict(net: Network, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = SAMPLE_ROWS) -> Network:
-    """Learns from at most `rows` rows with text and label (the least hashes of their ids), SAMPLE_BYTES together."""
-    named = docs.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang"))
-    named = named.where("lang IS NOT NULL")
-    last = named.select("h").orderBy("h").limit(rows).agg(F.max("h")).head()[0]  # text is read in the second pass, for few rows
-    if last is None:
+    """Learns from at most `rows` rows with text and label, as many of each language (those of the least hashes of id and text;
+    all, if a language has fewer), of the LANGUAGES most frequent ones. Of a text longer than an even share of SAMPLE_BYTES,
+    pieces of PIECE characters are taken evenly from its whole length. Repeated rows count once; null texts and labels do not.
+    """
+    named = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"))
+    named = named.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    langs = [r["lang"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    if not langs:
         return train([], [])
-    chosen = named.where((F.col("h") <= last) & F.col("text").isNotNull()).select("h", F.substring("text", 1, SAMPLE_BYTES // rows).alias("text"), "lang")
-    sample = sorted((r["h"], r["text"], r["lang"]) for r in chosen.limit(2 * rows).collect())[:rows]
-    return train([t for _, t, _ in sample], [v for _, _, v in sample])
+    first = F.row_number().over(W.partitionBy("lang").orderBy("h"))  # each task of the scan passes on `each` rows of a language at most
+    each = max(1, rows // len(langs))
+    last = named.where(F.col("lang").isin(langs)).select("lang", "h").withColumn("k", first).where(F.col("k") <= each).groupBy("lang").agg(F.max("h").alias("last"))
+    share = max(PIECE, SAMPLE_BYTES // rows)
+    pieces = f"transform(sequence(0, {share // PIECE - 1}), i -> substring(text, CAST(1 + i * (length(text) - {PIECE}) / {max(1, share // PIECE - 1)} AS INT), {PIECE}))"
+    chosen = named.join(F.broadcast(last), "lang").where("h <= last")  # a row for each language
+    chosen = chosen.groupBy("lang", "h").agg(F.first(F.expr(f"CASE WHEN length(text) <= {share} THEN array(text) ELSE {pieces} END")).alias("parts"))
+    sample = sorted((r["lang"], r["h"], r["parts"]) for r in chosen.collect())
+    labelled = [(t, lang) for lang, _, parts in sample for t in parts]
+    return train([t for t, _ in labelled], [v for _, v in labelled])
 
 
 def language_id(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score. Null texts and texts without a letter get `und` and 0; clashing columns are replaced.
+    """docs with lang_pred and score. Null texts and texts without a letter get `und` and 0, as do all if no language was learned.
 
-    Rows are independent: repeated rows and ties (the language first in order) are predicted alike; empty tables stay empty.
+    Whole texts are read, chunk by chunk if they are very long. Rows are independent: repeated rows, and rows with a null id,
+    are predicted by their text; ties go to the language first in order. An empty table stays empty; other columns stay,
+    clashing ones are replaced.
     """
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     broadcast = docs.sparkSession.sparkContext.broadcast(net)

@@ -12,10 +12,20 @@ VALID = (
 )
 
 
+def numbers(df: DataFrame, vec_col: str) -> str:
+    """The type that vectors are moved in: single precision if they are stored so, which loses nothing, else double."""
+    return "array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+
+
+def all_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, vec, valid): valid rows have an id and a vector that is not null, not zero and finite throughout."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(numbers(df, vec_col)).alias("vec"))
+    return rows.withColumn("valid", F.coalesce(F.expr(f"id IS NOT NULL AND vec IS NOT NULL AND {VALID.format(c='vec')}"), F.lit(False)))
+
+
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec): rows with an id whose vector is not null, not zero and finite throughout."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    return rows.where("id IS NOT NULL AND vec IS NOT NULL").where(F.expr(VALID.format(c="vec")))
+    """(id, vec) of the valid rows."""
+    return all_vectors(df, id_col, vec_col).where("valid").select("id", "vec")
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

@@ -319,6 +319,23 @@ def test_embedding_dedup_odd_inputs(spark):
     assert embedding_dedup(odd_vectors(spark).limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.01, 1.0, 0.0]), (4, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 1.0])]
+    for order in (rows, rows[::-1]):
+        got = sorted(tuple(r) for r in embedding_dedup(spark.createDataFrame(order, VEC)).collect())
+        assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
+
+
+def test_search_recall_of_evenly_spread_vectors(spark):
+    x = np.random.default_rng(4).normal(size=(3000, 64))
+    s = cosines(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC).repartition(3)
+    got = ann_search(df, df.where(F.col("vec_id") % 50 == 0)).collect()
+    np.fill_diagonal(s, -2)
+    hits = sum(r["vec_id"] in set(np.argsort(-s[r["query_id"]])[:5].tolist()) for r in got)
+    assert len(got) == 300 and hits >= 0.9 * 300
+
+
 def test_search_recall_and_order(spark):
     x = clustered(np.random.default_rng(9), 1500, 32)
     s = cosines(x)

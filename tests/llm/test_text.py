@@ -56,6 +56,19 @@ def test_urls_equal_the_rules(spark):
     assert url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_with_clashing_columns_and_odd_rows(spark):
+    long = "http://a.example.com/en/" + "x" * 200_000
+    rows = [("http://a.com/en/1", "clash", "h"), (None, "http://a.com/en/1", None), (long, "", "h"), (long, "", "h"), ("no scheme", None, None)]
+    df = spark.createDataFrame(rows, "address string, url string, host string")
+    got = url_filter(df, url_col="address")
+    assert got.columns == ["address", "url", "host", "path", "rule", "verdict"]
+    for r in got.collect():
+        host, path, rule, verdict = judged(r["address"])
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
+    assert sorted((r["address"] or "") for r in got.collect()) == sorted((a or "") for a, _, _ in rows)
+    assert url_filter(df.limit(0), url_col="address").count() == 0
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     rng = random.Random(1)
     keys = [rng.getrandbits(63) for _ in range(6000)]
@@ -112,6 +125,20 @@ def test_language_odd_inputs(spark):
     assert lid.predict(empty, ["the"])[0] == ["und"]
 
 
+def test_fit_learns_rare_languages_from_whole_texts(spark, monkeypatch):
+    """Null texts take no places, a language of few rows is learned beside one of many, and long texts count over their length."""
+    rows = [(i, None, "en") for i in range(40)] + [(100 + i, f"the plain words of number {i}", "en") for i in range(60)] + [(300 + i, f"здесь слова {i}", "ru") for i in range(3)]
+    rows += [(900, "1 " * 3000 + "ñandú según también " * 20, "es")] + [(901, "only this row, many times", "en")] * 50 + [(902, "no label", None), (None, "", "xx")]
+    seen = []
+    monkeypatch.setattr(lid, "train", lambda texts, labels: seen.append(sorted(zip(labels, texts, strict=True))))
+    monkeypatch.setattr(lid, "SAMPLE_BYTES", 30 * 1024)
+    for order in (rows, rows[::-1]):
+        lid.fit(spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3), rows=30)
+    assert seen[0] == seen[1]
+    by = Counter(lang for lang, _ in seen[0])
+    assert by == {"en": 10, "es": 4, "ru": 3} and any("ñandú" in t for lang, t in seen[0] if lang == "es")
+
+
 # --- encoding ------------------------------------------------------------------------------------------------------------
 
 ODD = ["", "a", "<|endoftext|>", "x<|startoftext|>y <|endoftext|><|", "it's we'll I'D 'S", "ΑΣ ΟΔΟΣ Σ", "İstanbul ẞ ﬁ ƁB", "été Å", "漢字 かな 한글", "a\x1cb\x1d\x85c\xa0d e​f", "１２３ ٣٤ ½ ²", "\U0001f600😀👍🏽", "don’t “q” — €5 …", "\x00\x01\x7f\xad", "ǅ ǲ ŉ ß SS", "...!!!???", "a" * 500, "  　 x"]
