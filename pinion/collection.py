@@ -2,8 +2,9 @@
 tombstones as an anti join, and queries as DataFrames.
 
 Layout: manifest.N.json names the data version and all counters; data/v=N/segment_id=S holds the live rows; oplog/SEQ.json
-is one file per write batch. A new version is written in full before its manifest appears, so a crash loses nothing.
-Batches through the API are small and resolved on the driver; append_frame() is the bulk path and never leaves Spark.
+is one file per write batch; tombs/SEQ holds the internal ids that one delete by filter took. A new version is written in full,
+indexes included, before its manifest appears, and state in memory changes after that, so a crash or a failure loses nothing.
+Batches through the API are small and resolved on the driver; append_frame() and delete_by_filter() never leave Spark.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import json
 import os
 import re
 import threading
+from contextlib import suppress
 from dataclasses import replace
 from typing import Any
 
@@ -102,7 +104,8 @@ class Collection:
         self.spark, self.files, self.closed = spark, files, False
         self.version, self.sequence, self.next_id, self.segments = -1, 0, 1, []
         self.delta: dict[int, tuple[int, Doc]] = {}  # internal id -> (segment, document), since the last checkpoint
-        self.gone: set[int] = set()  # internal ids of checkpointed rows that were replaced or deleted since
+        self.gone: set[int] = set()  # internal ids of checkpointed rows that were replaced or deleted one by one since
+        self.tombs: list[str] = []  # tables of internal ids of checkpointed rows that were deleted by filters since
         self.by_id: dict[str, int | None] = {}  # public ids touched since the checkpoint; None: deleted
         self.writing = 0  # live rows of the writing segment
         self.next_segment = 1
@@ -140,27 +143,36 @@ class Collection:
             rows.append((k, d.id, *(d.fields.get(n) for n in names), [float(np.float32(x)) for x in d.vector], missing, json.dumps(extra) if extra else None, segment))
         return self.spark.createDataFrame(rows, self.schema.struct().add("segment_id", "long"))
 
-    def live(self) -> DataFrame:
-        """All live rows with their segment: checkpointed rows without tombstones, and what was written since."""
+    def _live_base(self) -> DataFrame:
+        """Checkpointed rows without tombstones."""
         base = self._base()
         if self.gone:
             dead = self.spark.createDataFrame([(k,) for k in sorted(self.gone)], "_doc_id long")
             base = base.join(dead, "_doc_id", "left_anti").select(base.columns)
+        if self.tombs:
+            dead = self.spark.read.schema("_doc_id long").parquet(*(f"{self.files.root}/{t}" for t in self.tombs))
+            base = base.join(dead, "_doc_id", "left_anti").select(base.columns)
+        return base
+
+    def live(self) -> DataFrame:
+        """All live rows with their segment: checkpointed rows without tombstones, and what was written since."""
+        base = self._live_base()
         return base.unionByName(self._delta_frame()) if self.delta else base
 
     def _find(self, ids: list[str]) -> dict[str, tuple[int, Doc]]:
         """Live documents among ids: those written since the checkpoint at once, others by one scan."""
         out, asked = {}, []
         for i in dict.fromkeys(ids):
-            if i in self.by_id:
-                if (k := self.by_id[i]) is not None:
-                    out[i] = (k, self.delta[k][1]) if k in self.delta else None
-            if i not in self.by_id or out.get(i, 0) is None:
+            k = self.by_id.get(i)
+            if k in self.delta:
+                out[i] = (k, self.delta[k][1])
+            elif i not in self.by_id:
                 asked.append(i)
-        out = {i: v for i, v in out.items() if v is not None}
         if asked and self.segments:
-            rows = self._base().where(F.col("id").isin(asked)).collect()
-            out |= {r["id"]: (r["_doc_id"], self._doc(r)) for r in rows if r["_doc_id"] not in self.gone}
+            rows = self._live_base()
+            few = len(asked) <= 100
+            rows = rows.where(F.col("id").isin(asked)) if few else rows.join(self.spark.createDataFrame([(i,) for i in asked], "id string"), "id", "left_semi")
+            out |= {r["id"]: (r["_doc_id"], self._doc(r)) for r in rows.collect()}
         return out
 
     def _doc(self, row: Any) -> Doc:
@@ -184,8 +196,9 @@ class Collection:
             raise StatusError(FAILED_PRECONDITION, "a read-only collection has pending operations")
         for name in pending:
             try:
-                ops = json.loads(self.files.read(f"oplog/{name}"))
-                ops = [(o["op"], Doc(o["id"], o.get("fields", {}), o.get("vector", []))) for o in ops["ops"]]
+                log = json.loads(self.files.read(f"oplog/{name}"))
+                ops = [(o["op"], Doc(o["id"], o.get("fields", {}), o.get("vector", []))) for o in log["ops"]]
+                tombs = log.get("tombs")
             except (ValueError, KeyError, TypeError) as e:
                 raise StatusError(INTERNAL, f"operation log {name} is corrupt: {e!r}") from None
             known = self._find([d.id for _, d in ops])
@@ -193,46 +206,56 @@ class Collection:
                 if op == "insert" and d.id in known or op in ("update", "delete") and d.id not in known:
                     continue
                 self._apply(op, d, known)
+            if tombs:
+                self.tombs.append(tombs)
             self.sequence = int(name.split(".")[0]) + 1
 
-    def _checkpoint(self, rows: DataFrame | None = None) -> None:
-        """Seals the writing segment, writes all live rows as a new version, then its manifest; older versions go last."""
-        rows = self.live() if rows is None else rows
-        version, next_segment = self.version + 1, self.next_segment
-        if self.writing:
-            rows = rows.withColumn("segment_id", F.when(F.col("segment_id") == 0, next_segment).otherwise(F.col("segment_id")))
-            next_segment += 1
-        segments = []
-        if self.segments or self.delta or self.version < 0 and rows is not None:
+    def _checkpoint(self, rows: DataFrame | None = None, schema: Schema | None = None, next_id: int | None = None, next_segment: int | None = None) -> None:
+        """Seals the writing segment, writes all live rows and their indexes as a new version, then its manifest; older
+        versions go last. schema, next_id and next_segment are those of the new version; until it is there, nothing changes."""
+        grown = rows is not None and next_id is not None
+        rows, schema = self.live() if rows is None else rows, schema or self.schema
+        version = self.version + 1
+        if next_segment is None:
+            next_segment = self.next_segment
+            if self.writing:
+                rows = rows.withColumn("segment_id", F.when(F.col("segment_id") == 0, next_segment).otherwise(F.col("segment_id")))
+                next_segment += 1
+        next_id, segments = self.next_id if next_id is None else next_id, []
+        if self.segments or self.delta or grown:
             at = f"{self.files.root}/data/v={version}"
             rows.repartition("segment_id").sortWithinPartitions("segment_id", "_doc_id").write.partitionBy("segment_id").mode("overwrite").parquet(at)
             written = self.spark.read.schema(rows.schema).parquet(at)
             segments = [r.asDict() for r in segment_meta(written).collect()]
-        manifest = {"schema": self.schema.to_json(), "options": self.options.to_json(), "sequence": self.sequence, "next_id": self.next_id, "next_segment": next_segment, "segments": segments}
+            if segments:
+                self._build_indexes(written, schema, version)
+        manifest = {"schema": schema.to_json(), "options": self.options.to_json(), "sequence": self.sequence, "next_id": next_id, "next_segment": next_segment, "segments": segments}
         self.files.write(f"manifest.{version}.json", json.dumps(manifest))  # the commit
-        old, self.version, self.segments, self.next_segment = self.version, version, segments, next_segment
-        self.delta, self.gone, self.by_id, self.writing = {}, set(), {}, 0
-        for name in self.files.names("oplog"):
-            self.files.delete(f"oplog/{name}")
-        for name in self.files.names():
-            if (v := _version(name)) is not None and v < version:
-                self.files.delete(name)
-        for name in self.files.names("data"):
-            if name != f"v={version}":
-                self.files.delete(f"data/{name}")
-        for v in {old} - {-1, version}:
-            self.files.delete(f"index/v={v}")
-        self._build_indexes()
-
-    def _build_indexes(self) -> None:
-        """Side tables of the vector indexes, per segment, for the version just written."""
-        state, at = self.schema.vector.indexes, f"{self.files.root}/index/v={self.version}"
-        if not self.segments:
-            return
+        self.version, self.schema, self.segments, self.next_id, self.next_segment = version, schema, segments, next_id, next_segment
+        self.delta, self.gone, self.tombs, self.by_id, self.writing = {}, set(), [], {}, 0
+        self._collect_garbage()
+
+    def _collect_garbage(self) -> None:
+        """What only older versions need; what cannot be deleted now goes after a later checkpoint."""
+        with suppress(Exception):
+            for folder in ("oplog", "tombs"):  # all of it is in the version
+                for name in self.files.names(folder):
+                    self.files.delete(f"{folder}/{name}")
+            for name in self.files.names():
+                if (v := _version(name)) is not None and v < self.version:
+                    self.files.delete(name)
+            for folder in ("data", "index"):
+                for name in self.files.names(folder):
+                    if name != f"v={self.version}":
+                        self.files.delete(f"{folder}/{name}")
+
+    def _build_indexes(self, rows: DataFrame, schema: Schema, version: int) -> None:
+        """Side tables of the vector indexes, per segment, for the rows of a version."""
+        state, at = schema.vector.indexes, f"{self.files.root}/index/v={version}"
         if state.ivf:
-            ivf.build_lists(self._base(), self.schema.vector.metric, state.ivf).write.mode("overwrite").parquet(f"{at}/ivf")
+            ivf.build_lists(rows, schema.vector.metric, state.ivf).write.mode("overwrite").parquet(f"{at}/ivf")
         if state.hnsw:
-            hnsw.build_edges(self._base(), self.schema.vector.metric, state.hnsw).write.mode("overwrite").parquet(f"{at}/hnsw")
+            hnsw.build_edges(rows, schema.vector.metric, state.hnsw).write.mode("overwrite").parquet(f"{at}/hnsw")
 
     def _check_indexes(self) -> None:
         """The side tables of a version must be there and cover exactly its rows."""
@@ -243,12 +266,23 @@ class Collection:
             if params and not self.files.exists(f"{at}/{kind}"):
                 raise StatusError(INTERNAL, f"the {kind} index of version {self.version} is missing")
         if state.ivf:
-            lists = self.spark.read.parquet(f"{self.files.root}/{at}/ivf").groupBy("segment_id").agg(F.count("*").alias("n"), F.max("list").alias("last"))
-            have = {r["segment_id"]: (r["n"], r["last"]) for r in lists.collect()}
+            lists = self.spark.read.parquet(f"{self.files.root}/{at}/ivf")
+            good = (F.size("centroid") == self.schema.vector.dimension) & ~F.exists("centroid", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+            lists = lists.groupBy("segment_id").agg(F.count("*").alias("n"), F.count_distinct("_doc_id").alias("ids"), F.min("_doc_id").alias("low"), F.max("_doc_id").alias("high"), F.max("list").alias("last"), F.bool_and(good).alias("good"))
+            have = {r["segment_id"]: r for r in lists.collect()}
             for s in self.segments:
-                n, last = have.get(s["segment_id"], (0, -1))
-                if n != s["doc_count"] or last >= min(n, state.ivf.n_list):
+                r = have.get(s["segment_id"])
+                if r is None or not r["n"] == r["ids"] == s["doc_count"] or (r["low"], r["high"]) != (s["min_id"], s["max_id"]) or r["last"] >= min(r["n"], state.ivf.n_list) or not r["good"]:
                     raise StatusError(INTERNAL, f"the ivf index of segment {s['segment_id']} does not fit its rows")
+        if state.hnsw:
+            edges = self.spark.read.parquet(f"{self.files.root}/{at}/hnsw")
+            near = edges.groupBy("segment_id", "level", "a").agg(F.count("*").alias("n"), F.count_distinct("b").alias("different"), F.bool_or(F.col("a") == F.col("b")).alias("loop"))
+            limit = state.hnsw.max_neighbors * F.when(F.col("level") == 0, 2).otherwise(1)
+            bad = near.where((F.col("n") > limit) | (F.col("n") > F.col("different")) | F.col("loop")).select("segment_id")
+            ends = edges.select("segment_id", F.explode(F.array("a", "b")).alias("_doc_id")).distinct()
+            bad = bad.union(ends.join(self._base().select("segment_id", "_doc_id"), ["segment_id", "_doc_id"], "left_anti").select("segment_id")).head()
+            if bad:
+                raise StatusError(INTERNAL, f"the hnsw index of segment {bad['segment_id']} is no graph of its rows")
 
     # --- reads -------------------------------------------------------------------------------------------------------
 
@@ -334,15 +368,13 @@ class Collection:
                 up = left["_live"].fillna(False).astype(bool).to_numpy()
                 if not up.any():
                     return left[["_doc_id"]].iloc[:0]
-                if up.all():  # the stored graph
-                    g = hnsw.Graph(metric, np.stack(left["vector"].to_list()), ids, params)
-                    at = {int(d): i for i, d in enumerate(ids)}
-                    for level, a, b in zip(right["level"], right["a"], right["b"], strict=True):
-                        g.edges[level].setdefault(at[a], []).append(at[b])
-                else:  # rebuilt from the live rows
-                    g = hnsw.Graph(metric, np.stack(left["vector"][up].to_list()), ids[up], params).build()
+                g = hnsw.Graph(metric, np.stack(left["vector"].to_list()), ids, params)
+                at = {int(d): i for i, d in enumerate(ids)}
+                for level, a, b in zip(right["level"], right["a"], right["b"], strict=True):
+                    g.edges[level].setdefault(at[a], []).append(at[b])
+                g.check()
                 wanted = ann_candidates(k, c, budget)
-                hits = [i for i, _ in g.search(q, wanted, widened_ef(breadth, wanted))]
+                hits = [i for i, _ in g.search(q, wanted, widened_ef(breadth, wanted), up)]  # deleted rows only lead on
                 return left[left["_doc_id"].isin(hits)][["_doc_id"]]
 
             found = rows.groupBy("segment_id").cogroup(edges.groupBy("segment_id")).applyInPandas(search_graph, "_doc_id long")
@@ -369,8 +401,19 @@ class Collection:
         self._writable()
         tree = parse(text)
         check(tree, self.schema)
-        ids = [r["id"] for r in self.live().where(compile_filter(tree, self.schema)).select("id").toLocalIterator()]
-        self._write("delete", [Doc(i, {}, []) for i in ids])
+        wanted = compile_filter(tree, self.schema)
+        ids = [r["id"] for r in self._delta_frame().where(wanted).select("id").collect()] if self.delta else []  # rows held here anyway
+        tombs = None
+        if self.segments:
+            tombs = f"tombs/{self.sequence:012d}"
+            self._live_base().where(wanted).select("_doc_id").write.mode("overwrite").parquet(f"{self.files.root}/{tombs}")
+        self.files.make("oplog")
+        self.files.write(f"oplog/{self.sequence:012d}.json", json.dumps({"ops": [{"op": "delete", "id": i} for i in ids], "tombs": tombs}))
+        self.sequence += 1
+        known = self._find(ids)
+        for i in ids:
+            self._apply("delete", Doc(i, {}, []), known)
+        self.tombs += [tombs] if tombs else []
 
     def _writable(self) -> None:
         if self.options.access_mode == READ_ONLY:
@@ -432,10 +475,14 @@ class Collection:
     def append_frame(self, rows: DataFrame) -> None:
         """Bulk upsert of rows shaped as sources.jsonl.scan_docs gives them: one new version, nothing through the driver.
 
-        Of rows with one id an arbitrary one is taken; internal ids are numbered in hashed order.
+        Every row is checked as a single write is, and one bad row fails the whole batch. Of rows with one id the last counts:
+        by _order, if there is such a column, else as Spark reads them. Internal ids are numbered in hashed order.
         """
         self._writable()
-        rows = rows.dropDuplicates(["id"])
+        rows = rows if "_order" in rows.columns else rows.withColumn("_order", F.monotonically_increasing_id())
+        names = [n for n in self.schema.struct().fieldNames() if n != "_doc_id"]
+        rows = checked_rows(rows.select(*names, "_order"), self.schema)
+        rows = rows.groupBy("id").agg(F.max_by(F.struct(*[n for n in names if n != "id"]), "_order").alias("row")).select("id", "row.*")
         live = self.live().join(rows.select("id"), "id", "left_anti")
         fresh = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(4096)))
         before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # over at most 4,096 counts
@@ -447,10 +494,7 @@ class Collection:
         fresh = fresh.withColumn("segment_id", F.floor((F.col("own") + F.col("base")) / width) + first).drop("part", "own", "base")
         if self.writing:
             live = live.withColumn("segment_id", F.when(F.col("segment_id") == 0, self.next_segment).otherwise(F.col("segment_id")))
-        self.next_id, self.next_segment, self.writing = self.next_id + total, first + -(-total // width), 0
-        self.delta = self.delta or {}
-        self.segments = self.segments or [{}]
-        self._checkpoint(live.unionByName(fresh.select(live.columns)))
+        self._checkpoint(live.unionByName(fresh.select(live.columns)), next_id=self.next_id + total, next_segment=first + -(-total // width))
 
     # --- schema and maintenance --------------------------------------------------------------------------------------
 
@@ -474,8 +518,7 @@ class Collection:
             if self.schema.field(name) and kind in (FLAT, HNSW, IVF):
                 raise invalid("vector indexes need the vector field")
             schema = self.schema.with_scalar_index(name, True)
-        self.schema = schema
-        self._checkpoint()
+        self._checkpoint(schema=schema)
 
     def drop_index(self, name: str, kind: str) -> None:
         self._writable()
@@ -485,13 +528,10 @@ class Collection:
             schema = self.schema.with_indexes(self.schema.vector.indexes.drop(kind))
         else:
             schema = self.schema.with_scalar_index(name, False)
-        self.schema = schema
-        self._checkpoint()
+        self._checkpoint(schema=schema)
 
-    def _migrate(self, schema: Schema, rows: DataFrame, docs) -> None:
-        self.delta = {k: (s, docs(d)) for k, (s, d) in self.delta.items()}
-        self.schema = schema
-        self._checkpoint(rows.select(schema.struct().add("segment_id", "long").fieldNames()))
+    def _migrate(self, schema: Schema, rows: DataFrame) -> None:
+        self._checkpoint(rows.select(schema.struct().add("segment_id", "long").fieldNames()), schema)
 
     def add_column(self, f: ScalarField) -> None:
         """Existing rows get the default, or an explicit null."""
@@ -500,20 +540,36 @@ class Collection:
         schema = self.schema.add(f)
         value = None if f.default is MISSING else f.default
         rows = self.live().withColumn(f"f_{f.name}", F.lit(value).cast(SPARK_TYPES[f.type]))
-        self._migrate(schema, rows, lambda d: Doc(d.id, {**d.fields, f.name: value}, d.vector))
+        self._migrate(schema, rows)
 
     def rename_column(self, old: str, new: str) -> None:
         self._writable()
         schema = self.schema.rename(old, new)
         rows = self.live().withColumnRenamed(f"f_{old}", f"f_{new}")
         rows = rows.withColumn("_missing", F.transform("_missing", lambda n: F.when(n == old, F.lit(new)).otherwise(n)))
-        self._migrate(schema, rows, lambda d: Doc(d.id, {new if k == old else k: v for k, v in d.fields.items()}, d.vector))
+        self._migrate(schema, rows)
 
     def drop_column(self, name: str) -> None:
         self._writable()
         schema = self.schema.without(name)
         rows = self.live().drop(f"f_{name}").withColumn("_missing", F.array_remove("_missing", name))
-        self._migrate(schema, rows, lambda d: Doc(d.id, {k: v for k, v in d.fields.items() if k != name}, d.vector))
+        self._migrate(schema, rows)
+
+
+def checked_rows(rows: DataFrame, schema: Schema) -> DataFrame:
+    """rows, with the checks of single writes as expressions: the first row that fails one fails the read."""
+    vector, pk = F.col("vector"), F.col(f"f_{schema.primary_key}")
+    tests = [
+        (F.col("id").isNull() | (F.col("id") == ""), "document ids are non-empty strings"),
+        (vector.isNull() | (F.size("vector") != schema.vector.dimension), f"vectors have {schema.vector.dimension} dimensions"),
+        (F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "vector parts must be finite"),
+        *((F.col(f"f_{f.name}").isNull(), f"field {f.name} is required") for f in schema.fields if not f.nullable),
+        (pk != F.col("id"), "the primary key must equal the document id"),
+    ]
+    bad = F.lit(None).cast("string")
+    for failed, message in reversed(tests):
+        bad = F.when(failed, F.lit(message)).otherwise(bad)
+    return rows.withColumn("id", F.when(bad.isNull(), F.col("id")).otherwise(F.raise_error(bad).cast("string")))
 
 
 def segment_meta(rows: DataFrame) -> DataFrame:

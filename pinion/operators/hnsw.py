@@ -55,10 +55,10 @@ class Graph:
                         at, best, moved = n, self.key(n, s), True
         return at
 
-    def search_layer(self, q: np.ndarray, at: int, level: int, limit: int) -> list[tuple[float, int]]:
-        """(key, node) of up to `limit` best nodes found, best first."""
+    def search_layer(self, q: np.ndarray, at: int, level: int, limit: int, live: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """(key, node) of up to `limit` best nodes found, best first. Nodes that are not live lead on, but are not found."""
         first = (self.key(at, self.score([at], q)[0]), at)
-        seen, frontier, found = {at}, [first], [(-first[0][0], -first[0][1], at)]
+        seen, frontier, found = {at}, [first], [(-first[0][0], -first[0][1], at)] if live is None or live[at] else []
         while frontier:
             key, node = heapq.heappop(frontier)
             if len(found) >= limit and -key[0] < found[0][0]:
@@ -69,6 +69,8 @@ class Graph:
                 k = self.key(n, s)
                 if len(found) < limit or (-k[0], -k[1]) > found[0][:2]:
                     heapq.heappush(frontier, (k, n))
+                    if live is not None and not live[n]:
+                        continue
                     heapq.heappush(found, (-k[0], -k[1], n))
                     if len(found) > limit:
                         heapq.heappop(found)
@@ -106,9 +108,7 @@ class Graph:
             for n in chosen:
                 back = self.edges[level].setdefault(n, [])
                 if node not in back:
-                    back.append(node)
-                    if len(back) > self.limit(level):
-                        self.edges[level][n] = self.prune(n, back, level)
+                    self.edges[level][n] = self.prune(n, [*back, node], level)
             self.edges[level][node] = chosen
         if own > top:
             self.entry = node
@@ -118,15 +118,15 @@ class Graph:
             self.insert(node)
         return self
 
-    def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[int, float]]:
-        """(internal id, score), score descending, id ascending."""
+    def search(self, q: np.ndarray, k: int, ef: int, live: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """(internal id, score) of live nodes, score descending, id ascending."""
         if not len(self.ids):
             return []
         q = q.astype(np.float64)
         top = max(self.levels)
         at = max(i for i, n in enumerate(self.levels) if n == top)
         at = self.descend(q, at, top, 0)
-        found = self.search_layer(q, at, 0, min(len(self.ids), max(k, ef)))
+        found = self.search_layer(q, at, 0, min(len(self.ids), max(k, ef)), live)
         return [(int(self.ids[n]), -key[0]) for key, n in found[:k]]
 
     def table(self) -> list[tuple[int, int, int]]:

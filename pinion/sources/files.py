@@ -42,18 +42,12 @@ class Files:
         tmp = self.path(f".{uuid.uuid4().hex}.tmp")
         out = self.fs.create(tmp, True)
         out.write(bytearray(text.encode("utf-8")))
+        out.hsync()
         out.close()
         if self.fs.exists(self.path(name)):
             self.fs.delete(self.path(name), False)
         if not self.fs.rename(tmp, self.path(name)):
             raise OSError(f"cannot write {name}")
 
-    def create_new(self, name: str) -> bool:
-        try:
-            self.fs.create(self.path(name), False).close()
-            return True
-        except Exception:
-            return False
-
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)

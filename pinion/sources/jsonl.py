@@ -36,9 +36,12 @@ def read_docs(path: str) -> list[Doc]:
 def scan_docs(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
     """The same for large inputs, as a DataFrame of Schema.struct() without internal ids: (id, f_*, vector, _missing, _extra).
 
-    One bad value fails the read. Absent nullable fields are named in _missing, absent fields with a default get it.
+    One bad value fails the read. Absent nullable fields are named in _missing, absent fields with a default get it; undeclared
+    fields are kept as JSON in _extra and must be scalar. _order numbers the lines, so that the last of several with one id is
+    known. What concerns a whole row (required fields, the primary key) is checked by Collection.append_frame().
     """
-    raw = spark.read.text(path).where(F.trim("value") != "").select(F.parse_json("value").alias("v"))
+    raw = spark.read.text(path).where(F.trim("value") != "").withColumn("_order", F.monotonically_increasing_id())
+    raw = raw.select(F.parse_json(F.when(F.trim("value") != "", F.col("value"))).alias("v"), "_order")  # whatever is pushed below the filter
     get = lambda p, t: F.variant_get("v", p, t)
     cols, missing = [], []
     for f in schema.fields:
@@ -53,7 +56,13 @@ def scan_docs(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
     vector = get("$.vector", "array<float>")
     right_size = F.when(F.size(vector) == schema.vector.dimension, vector).otherwise(F.raise_error("wrong vector dimension").cast("array<float>"))
     names = F.array_compact(F.array(*missing)) if missing else F.array().cast("array<string>")
-    return raw.select(get("$.id", "string").alias("id"), *cols, right_size.alias("vector"), names.alias("_missing"), F.lit(None).cast("string").alias("_extra"))
+    known = [f.name for f in schema.fields]
+    extra = F.map_filter(get("$.fields", "map<string,variant>"), lambda k, _: ~k.isin(known))
+    scalar = ~F.exists(F.map_values(extra), lambda v: F.schema_of_variant(v).startswith("OBJECT") | F.schema_of_variant(v).startswith("ARRAY"))
+    extra = F.when(F.size(extra) > 0, F.when(scalar, F.to_json(extra)).otherwise(F.raise_error("field values must be scalar").cast("string")))
+    is_id = F.schema_of_variant(get("$.id", "variant")) == "STRING"
+    named = F.when(is_id | F.isnull("v"), get("$.id", "string")).otherwise(F.raise_error("document ids are strings").cast("string"))
+    return raw.select(named.alias("id"), *cols, right_size.alias("vector"), names.alias("_missing"), extra.alias("_extra"), "_order")
 
 
 def read_schema_file(path: str) -> tuple[Schema, Options]:

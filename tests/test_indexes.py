@@ -46,24 +46,85 @@ def test_seeding_and_empty():
     assert ivf.search(ivf.train(L2, np.empty((0, 2)), IvfParams()), np.empty((0, 2)), np.empty(0, int), np.zeros(2), 3, 1) == []
 
 
-SCALING = [(-0.16671813, -0.9393654), (-0.7148936, -0.38582748), (-0.87854815, -0.7147157), (0.3036996, 0.08503449), (0.23736966, -0.4550056)]
-PRUNE = [(-0.24059594, -0.12569392), (-0.70171404, -0.30555004), (-0.038252234, -0.33283275), (0.1485604, -0.48624796), (0.5103195, 0.35472643), (-0.61180323, 0.73381424)]
-
-
-@pytest.mark.parametrize(
-    ("rows", "q", "k", "params", "expected"),
-    [
-        (SCALING, (0.47413385, 0.9022627), 1, (1, 50, 1, 1, 1, 1), [5]),
-        (SCALING, (0.47413385, 0.9022627), 1, (1, 2, 1, 1, 1, 1), [4]),
-        (PRUNE, (-0.4794442, 0.9057386), 3, (2, 50, 4, 1, 2, 4), [6, 2, 1]),
-        (PRUNE, (-0.4794442, 0.9057386), 3, (2, 50, 4, 4, 2, 4), [6, 5, 2]),
-    ],
-)
-def test_graph_answers_follow_the_parameters(rows, q, k, params, expected):
-    x = np.array([(*r, 0, 0) for r in rows], np.float32)
-    g = Graph(COSINE, x, np.arange(1, len(rows) + 1), HnswParams(*params)).build()
+class Slow:
+    """The layered graph once more, after its published description: sorted lists, no heaps, one score at a time."""
+
+    def __init__(self, x, ids, p):
+        self.x, self.ids, self.p = x, ids, p
+        self.level = [node_level(i, int(d), p.scaling_factor) for i, d in enumerate(ids)]
+        self.near = {(lv, n): [] for n in range(len(ids)) for lv in range(self.level[n] + 1)}
+        self.entry = 0
+        for n in range(1, len(ids)):
+            self.add(n)
+
+    def key(self, n, q):
+        return -float(np.float32(scores(COSINE, self.x[[n]], q)[0])), int(self.ids[n])
+
+    def walk(self, q, at, level):
+        while (step := min([at, *self.near.get((level, at), [])], key=lambda n: self.key(n, q))) != at:
+            at = step
+        return at
+
+    def layer(self, q, at, level, width):
+        seen, todo, best = {at}, [at], [at]
+        while todo:
+            c = min(todo, key=lambda n: self.key(n, q))
+            todo.remove(c)
+            if len(best) >= width and self.key(c, q)[0] > self.key(best[-1], q)[0]:
+                break
+            for n in self.near.get((level, c), []):
+                if n not in seen:
+                    seen.add(n)
+                    if len(best) < width or self.key(n, q) < self.key(best[-1], q):
+                        todo.append(n)
+                        best = sorted([*best, n], key=lambda m: self.key(m, q))[:width]
+        return best
+
+    def diverse(self, n, found, level):
+        q, limit = self.x[n], self.p.max_neighbors * (1 if level else 2)
+        ranked = sorted(found, key=lambda m: self.key(m, q))[: self.p.prune_width]
+        out = []
+        for c in ranked:
+            if len(out) < limit and all(-self.key(o, self.x[c])[0] < -self.key(c, q)[0] for o in out):
+                out.append(c)
+        for c in ranked:
+            if len(out) < min(self.p.min_neighbor_count, limit) and c not in out:
+                out.append(c)
+        return out
+
+    def add(self, n):
+        q, top, at = self.x[n], self.level[self.entry], self.entry
+        for lv in range(top, self.level[n], -1):
+            at = self.walk(q, at, lv)
+        plan = {}
+        for lv in range(min(top, self.level[n]), -1, -1):
+            found = self.layer(q, at, lv, max(self.p.max_neighbors * (1 if lv else 2), self.p.ef_construction, self.p.prune_width))
+            at, plan[lv] = found[0], self.diverse(n, found, lv)
+        for lv, chosen in plan.items():
+            for m in chosen:  # a neighbour weighs all it has anew
+                self.near[lv, m] = self.diverse(m, [*self.near[lv, m], n], lv)
+            self.near[lv, n] = chosen
+        if self.level[n] > top:
+            self.entry = n
+
+
+@pytest.mark.parametrize("params", [(2, 2, 4, 2, 1, 3), (3, 3, 6, 4, 2, 4), (4, 2, 10, 8, 4, 10), (1, 50, 1, 1, 1, 1)])
+def test_graph_equals_a_slow_build(params):
+    rng = np.random.default_rng(sum(params))
+    x, ids = rng.normal(size=(60, 5)), rng.permutation(60) + 1
+    g, slow = Graph(COSINE, x, ids, HnswParams(*params)).build(), Slow(x, ids, HnswParams(*params))
     g.check()
-    assert [i for i, _ in g.search(np.array([*q, 0, 0]), k, params[-1])] == expected
+    assert {(lv, n): near for lv, e in enumerate(g.edges) for n, near in e.items() if near} == {k: v for k, v in slow.near.items() if v}
+
+
+def test_deleted_nodes_lead_on_but_are_not_found():
+    rng = np.random.default_rng(3)
+    x, ids = rng.normal(size=(120, 6)), np.arange(1, 121)
+    g = Graph(COSINE, x, ids, HnswParams()).build()
+    live = rng.random(120) < 0.3
+    for q in rng.normal(size=(10, 6)):
+        assert [i for i, _ in g.search(q, 5, 120, live)] == brute(COSINE, x[live], ids[live], q, 5)
+    assert g.search(x[0], 3, 10, np.zeros(120, bool)) == []
 
 
 def test_graph_ties_and_recall():
