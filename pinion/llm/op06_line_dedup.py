@@ -78,6 +78,11 @@ def minima(lines: list[str]) -> np.ndarray:
 
 def line_sets(lines: list[str]) -> list[np.ndarray]:
     """Sorted distinct hashes of each line's shingles; a line shorter than those is one, of its own kind."""
+    return [s for p in slices(lines, 150_000) for s in short_line_sets(lines[p])]
+
+
+def short_line_sets(lines: list[str]) -> list[np.ndarray]:
+    """line_sets() of lines that fit into memory side by side."""
     n = np.array([max(len(x) - WIDTH + 1, 1) for x in lines], np.int64)
     c = np.frombuffer("".join([x.ljust(WIDTH, "\n") for x in lines]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
     b1, b2 = (U64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2))
