@@ -44,14 +44,21 @@ def publish(spark: SparkSession, data: bytes, suffix: str) -> str:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/published/{name}")
     fs = path.getFileSystem(conf)
+    path = fs.makeQualified(path)  # with the store that the session takes a bare path to be in
     if not fs.exists(path):
         out = fs.create(path, True)
         out.write(bytearray(data))
         out.close()
-    spark.sparkContext.addFile(path.toUri().toString() if path.toUri().getScheme() else "file://" + path.toUri().getPath())
+    spark.sparkContext.addFile(path.toUri().toString())
     return name
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any more from whatever store it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def local_copy(name: str) -> str:
     """Where Spark has put a published file on this machine."""
     return os.path.join(SparkFiles.getRootDirectory(), name)

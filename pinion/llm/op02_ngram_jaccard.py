@@ -156,3 +156,20 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+one AS MATERIALIZED (SELECT min(doc_id) AS doc_id, s FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s),
+shingles AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM one),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (SELECT a, b FROM common WHERE 100 * k >= 80 * (n + m - k)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, dst) AS (SELECT doc_id, doc_id FROM one UNION SELECT r.id, l.b FROM reach r JOIN both_ways l ON r.dst = l.a),
+least AS MATERIALIZED (SELECT s, low FROM one JOIN (SELECT id, min(dst) AS low FROM reach GROUP BY id) ON doc_id = id)
+SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(low, d.doc_id) AS component_id FROM (SELECT doc_id, list_sort(s) AS s FROM sets) d LEFT JOIN least ON d.s = least.s
+"""

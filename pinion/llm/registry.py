@@ -31,4 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op09_bpe.op9_bpe,
     "op10_html_extraction": op10_html.op10_html_extraction,
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": op01_url_filter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": op01_url_filter.ORACLE_SQL,
+    "op2_ngram_jaccard": op02_ngram_jaccard.ORACLE_SQL,
+    "op3_embedding_dedup": op03_embedding_dedup.ORACLE_SQL,
+}

@@ -15,7 +15,7 @@ from pinion.llm.op02_ngram_jaccard import Bands, ngram_jaccard_join, signatures
 from pinion.llm.op02_ngram_jaccard import sign as sign_documents
 from pinion.llm.op03_embedding_dedup import Blocks, embedding_dedup
 from pinion.llm.op04_ann_forest import Forest, ann_search
-from pinion.llm.op06_line_dedup import WIDTH, line_dedup, normal, sign
+from pinion.llm.op06_line_dedup import WIDTH, line_dedup, line_sets, normal, sign
 
 DOC = "doc_id long, text string"
 
@@ -237,6 +237,16 @@ def test_short_and_unspaced_lines_take_part(spark):
     assert got == {1: (rows[0][1], 0), 2: ("more", 2), 3: ("", 2), 4: ("les", 0), 5: ("\n \n", 0)}
 
 
+def test_line_sets_of_a_batch_are_those_of_each_line():
+    rng = random.Random(12)
+    lines = ["".join(rng.choice("ab cd") for _ in range(rng.choice([1, 3, 4, 5, 6, 40, 400]))) for _ in range(200)] + ["long words " * 30_000, "x"]
+    many, one = line_sets(lines), [char_shingle_set(x, WIDTH) for x in lines]
+    assert [len(s) for s in many] == [len(s) for s in one]
+    for a, b in zip(range(200), range(1, 201), strict=True):
+        if min(len(lines[a]), len(lines[b])) >= WIDTH:
+            assert len(np.intersect1d(many[a], many[b])) == len(np.intersect1d(one[a], one[b]))
+
+
 def test_rows_that_share_an_id_lose_only_repeated_lines(spark):
     rows = [(1, "the only line of its kind here\nsecond line of the first row"), (1, "second line of the first row\nquite another line, kept"), (1, "quite another line, kept"), (2, "one more line that is unique")]
     got = sorted(r["text"] for r in line_dedup(spark.createDataFrame(rows, DOC)).collect())
