@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from contextlib import suppress
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pinion.collection import recut, segment_meta
+from pinion.collection import Collection, Database, recut, segment_meta
 from pinion.functions.metrics import cosine, dot, l2_norm, score, squared_l2
 from pinion.operators.flat import exact_top_k, merge_top_k, top_k_per
 from pinion.operators.hnsw import Graph
 from pinion.operators.ivf import assign, centroid_means
 from pinion.plans.filters import check, compile_filter, parse
-from pinion.plans.planner import SegmentCounts, widened_probe
-from pinion.schema import COSINE, INNER_PRODUCT, INT64, L2, STRING, HnswParams, ScalarField, Schema, VectorField
+from pinion.plans.planner import HnswSearch, IvfSearch, SegmentCounts, VectorQuery, widened_probe
+from pinion.schema import BOOL, COSINE, HNSW, INNER_PRODUCT, INT64, IVF, L2, STRING, Doc, HnswParams, IvfParams, Options, ScalarField, Schema, VectorField
 
 QUERY_ID, K = 7, 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,10 +222,11 @@ def segment_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("segment_id").agg(F.count("*").alias("stored"), F.count_if(up).alias("visible"), F.count_if(up & (F.col("label") <= 4)).alias("allowed"))
 
 
-@query("prefilter_postings", "SELECT source, count(*) AS n, list(doc_id ORDER BY doc_id) AS ids FROM documents WHERE n_chars < 200 GROUP BY source")
+@query("prefilter_postings", "SELECT source, doc_id // 4096 AS block, count(*) AS n, list(doc_id ORDER BY doc_id) AS ids FROM documents WHERE n_chars < 200 GROUP BY source, block")
 def prefilter_postings(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("n_chars < 200")
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    """Postings in blocks of 4,096 ids, so that a frequent value is no single row."""
+    rows = table(spark, d, "documents").where("n_chars < 200").withColumn("block", F.floor(F.col("doc_id") / 4096))
+    return rows.groupBy("source", "block").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
 
 
 @query("prefilter_intersection", "SELECT doc_id FROM documents WHERE source = 'src3' INTERSECT SELECT doc_id FROM documents WHERE n_chars >= 1000")
@@ -326,26 +330,123 @@ def replay_log(spark: SparkSession, d: str) -> DataFrame:
     return latest(table(spark, d, "events"), "user_id", "event_id", ["event_type", "value"]).where("event_type <> 'refund'").select("user_id", "event_id", "value")
 
 
-@query("collection_lifecycle", f"SELECT vec_id, {DUCK[COSINE]} AS score FROM {DOCS_SQL} WHERE lang <> 'de' AND n_chars >= 100 ORDER BY score DESC, vec_id::varchar LIMIT {K}")
-def collection_lifecycle(spark: SparkSession, d: str) -> DataFrame:
-    """Through the collection API: bulk load, delete by filter, column added and renamed, compaction, filtered query."""
-    import uuid
-
-    from pinion.collection import Database
-    from pinion.plans.planner import VectorQuery
-    from pinion.schema import BOOL, Options
-
-    root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_collections/{uuid.uuid4().hex}"
-    rows = emb_docs(spark, d).select(
+def doc_rows(spark: SparkSession, d: str) -> DataFrame:
+    """emb_docs() shaped for a collection."""
+    return emb_docs(spark, d).select(
         F.col("vec_id").cast("string").alias("id"), F.col("vec_id").cast("string").alias("f_pk"), F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), F.col("n_chars").alias("f_n_chars"),
         F.col("label").alias("f_label"), F.lit(None).cast("long").alias("f_quality"), F.col("embedding").alias("vector"), F.array(F.lit("quality")).alias("_missing"), F.lit(None).cast("string").alias("_extra"),
     )
+
+
+def fresh_database(spark: SparkSession) -> Database:
+    return Database(spark, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_collections/{uuid.uuid4().hex}")
+
+
+def loaded(spark: SparkSession, d: str, metric: str = COSINE) -> tuple[Database, Collection]:
+    """A new collection with all of emb_docs, bulk loaded; segments of 128 documents."""
+    db = fresh_database(spark)
+    c = db.create_collection(replace(DOCS, vector=VectorField("embedding", 64, metric)), Options(segment_max_docs=128))
+    c.append_frame(doc_rows(spark, d))
+    return db, c
+
+
+def live_rows(c: Collection) -> DataFrame:
+    return c.live().select(F.col("id").cast("long").alias("vec_id"), F.col("f_lang").alias("lang"), F.col("f_n_chars").alias("n_chars"))
+
+
+def hits_of(spark: SparkSession, c: Collection, d: str, **how) -> DataFrame:
     vector = asked(spark, d).head()["qv"]
-    with Database(spark, root).create_collection(DOCS, Options(segment_max_docs=128)) as c:
-        c.append_frame(rows)
+    hits = c.query(VectorQuery("embedding", K, list(vector), fields=[], **how))
+    return spark.createDataFrame([(int(h.id), h.score) for h in hits], "vec_id long, score float")
+
+
+@query("collection_delete_by_filter", f"SELECT vec_id, lang, n_chars FROM {DOCS_SQL} WHERE NOT (lang = 'de' OR n_chars >= 2000)")
+def collection_delete_by_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Through the collection API: tombstones as a table, read by an anti join."""
+    _, c = loaded(spark, d)
+    with c:
+        c.delete_by_filter("lang = 'de'")
+        c.delete_by_filter("n_chars >= 2000")
+        return live_rows(c)
+
+
+@query("collection_dml", f"SELECT vec_id, CASE WHEN vec_id = 5 THEN 'xx' ELSE lang END AS lang, CASE WHEN vec_id IN (1, 2) THEN 7 ELSE n_chars END AS n_chars FROM {DOCS_SQL} WHERE vec_id <> 3 UNION ALL SELECT -9, 'new', 1")
+def collection_dml(spark: SparkSession, d: str) -> DataFrame:
+    """Insert, update, upsert and delete, each with a row that fails, then reopened from the operation log."""
+    db, c = loaded(spark, d)
+    with c:
+        old = c.fetch(["5"])["5"]
+        new = Doc("-9", {"pk": "-9", "lang": "new", "source": "s", "n_chars": 1, "label": 0}, old.vector)
+        c.insert([new, new])
+        c.update([Doc("1", {"n_chars": 7}), Doc("2", {"n_chars": 7}), Doc("no such id", {"n_chars": 7})])
+        c.upsert([Doc("5", {**old.fields, "lang": "xx"}, old.vector), Doc("6", {}, old.vector)])
+        c.delete(["3", "3"])
+    with db.open_collection("emb_docs") as c:
+        return live_rows(c)
+
+
+@query("collection_crash", f"SELECT vec_id, lang, n_chars FROM {DOCS_SQL} WHERE lang <> 'fr' AND vec_id <> 4")
+def collection_crash(spark: SparkSession, d: str) -> DataFrame:
+    """Writes, then a checkpoint that fails just before its commit, with an index to be built; reopened, nothing is lost."""
+    db, c = loaded(spark, d)
+    with c:
+        c.create_index("embedding", IVF, IvfParams(4, 1, 2))
+        c.delete_by_filter("lang = 'fr'")
+        c.delete(["4"])
+        write = c.files.write
+        c.files.write = lambda name, text: write(f"no/such\x00/{name}", text)
+        with suppress(Exception):
+            c.flush()
+    with db.open_collection("emb_docs") as c:
+        return live_rows(c)
+
+
+BAD_ROWS = {"id": "''", "f_pk": "'other'", "f_lang": "CAST(NULL AS STRING)", "f_n_chars": "CAST(NULL AS BIGINT)", "vector": "slice(vector, 1, 3)", "vector_nan": "transform(vector, x -> float('nan'))"}
+
+
+@query("collection_bulk_checks", "SELECT * FROM (VALUES ('as is', true), " + ", ".join(f"('{k}', false)" for k in BAD_ROWS) + ") t(changed, accepted)")
+def collection_bulk_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Bulk upserts in which one row breaks a rule fail as a whole, and leave the collection as it is."""
+    _, c = loaded(spark, d)
+    with c:
+        rows, before, out = doc_rows(spark, d), c.version, []
+        for name, value in {"as is": "id", **BAD_ROWS}.items():
+            column = "id" if name == "as is" else name.removesuffix("_nan")
+            try:
+                c.append_frame(rows.withColumn(column, F.when(F.col("id") == "7", F.expr(value)).otherwise(F.col(column))))
+                out.append((name, c.version == before + 1))
+            except Exception:
+                out.append((name, c.version != before + 1))
+    return spark.createDataFrame(out, "changed string, accepted boolean")
+
+
+@query("ivf_collection", knn_sql(DOCS_SQL, L2, "lang <> 'de' AND n_chars >= 100").replace("ORDER BY score DESC, vec_id", "ORDER BY score DESC, vec_id::varchar"))
+def ivf_collection(spark: SparkSession, d: str) -> DataFrame:
+    """Trained lists per segment, probed with bounds, rows deleted since, and a filter: exact for L2."""
+    _, c = loaded(spark, d, L2)
+    with c:
+        c.create_index("embedding", IVF, IvfParams(8, 2, 3))
+        c.delete_by_filter("lang = 'de'")
+        return hits_of(spark, c, d, filter="n_chars >= 100", search=IvfSearch(2))
+
+
+@query("hnsw_collection", knn_sql(DOCS_SQL, INNER_PRODUCT, "lang <> 'de'").replace("ORDER BY score DESC, vec_id", "ORDER BY score DESC, vec_id::varchar"))
+def hnsw_collection(spark: SparkSession, d: str) -> DataFrame:
+    """Stored graphs per segment, searched with a breadth of a segment's size; deleted rows lead on but are not found."""
+    _, c = loaded(spark, d, INNER_PRODUCT)
+    with c:
+        c.create_index("embedding", HNSW, HnswParams(ef_construction=32))
+        c.delete_by_filter("lang = 'de'")
+        return hits_of(spark, c, d, search=HnswSearch(128))
+
+
+@query("collection_lifecycle", f"SELECT vec_id, {DUCK[COSINE]} AS score FROM {DOCS_SQL} WHERE lang <> 'de' AND n_chars >= 100 ORDER BY score DESC, vec_id::varchar LIMIT {K}")
+def collection_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Through the collection API: bulk load, delete by filter, column added and renamed, compaction, filtered query."""
+    _, c = loaded(spark, d)
+    with c:
         c.delete_by_filter("lang = 'de'")
         c.add_column(ScalarField("seen", BOOL, default=False))
         c.rename_column("n_chars", "length")
         c.optimize()
-        hits = c.query(VectorQuery("embedding", K, list(vector), filter="length >= 100 AND seen = false", fields=[]))
-    return spark.createDataFrame([(int(h.id), h.score) for h in hits], "vec_id long, score float")
+        return hits_of(spark, c, d, filter="length >= 100 AND seen = false")

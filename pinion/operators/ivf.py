@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pinion.errors import invalid
 from pinion.functions.metrics import scores
 from pinion.schema import COSINE, INNER_PRODUCT, IvfParams
 
@@ -104,11 +105,20 @@ def build_lists(segments: DataFrame, metric: str, params: IvfParams) -> DataFram
     return segments.select("segment_id", "_doc_id", "vector").groupBy("segment_id").applyInPandas(one, "segment_id long, list int, centroid array<double>, _doc_id long")
 
 
+#: Centroids that one row may hold and every executor get.
+MOST_CENTROIDS = 65_536
+
+
 def assign(rows: DataFrame, centroids: DataFrame, similarity, id_col: str, vector: str) -> DataFrame:
-    """Rows with their best list: score descending, list ascending. centroids (list, centroid) is a few rows, checked small."""
-    pairs = rows.crossJoin(F.broadcast(centroids))
-    best = F.max(F.struct(similarity(F.col(vector), F.col("centroid")).alias("s"), (-F.col("list")).alias("l")))
-    return pairs.groupBy(id_col).agg(best.alias("b")).select(id_col, (-F.col("b.l")).alias("list"))
+    """Rows with their best list: score descending, list ascending. centroids: (list, centroid), at most MOST_CENTROIDS.
+
+    All centroids are one row that is broadcast, and each row's best list is an expression over it: no shuffle.
+    """
+    if centroids.count() > MOST_CENTROIDS:
+        raise invalid(f"more than {MOST_CENTROIDS} centroids")
+    one = centroids.agg(F.collect_list(F.struct("list", "centroid")).alias("__all"))
+    best = F.array_max(F.transform("__all", lambda c: F.struct(similarity(F.col(vector), c["centroid"]).alias("s"), (-c["list"]).alias("l"))))
+    return rows.select(id_col, vector).crossJoin(F.broadcast(one)).withColumn("b", best).select(id_col, (-F.col("b.l")).alias("list"))
 
 
 def centroid_means(rows: DataFrame, list_col: str, vector: str) -> DataFrame:
