@@ -3,7 +3,8 @@
 Unit vectors of cosine >= c lie within squared distance t = 2 - 2c. A random rotation spreads a vector's length evenly over
 its parts; the parts are split into blocks of BLOCK_DIMS. If every block differed by more than its proportional share of t,
 the whole would differ by more than t: so linked vectors lie within the share of some block. Each block is range-joined:
-its first GRID_DIMS coordinates make grid cells, a vector is at home in one cell and visits all that its radius touches.
+its first GRID_DIMS coordinates make grid cells, a vector is at home in one cell and visits all that its radius touches (on
+evenly spread vectors, more dimensions prune little and send each vector to more cells).
 Within a cell candidates are found by the block's distance and verified exactly; a link found in several blocks counts in
 the first. Cells emit sums and a spanning forest of their links, never all pairs. Large cells are split into chunks of
 homes and of visitors, and equal vectors are one.
@@ -22,7 +23,7 @@ from pinion.llm.common import cut, join_hot, table
 from pinion.llm.components import components
 from pinion.llm.vectors import all_vectors, matrix, unit
 
-COSINE, BLOCK_DIMS, GRID_DIMS, CELL = 0.95, 16, 2, 3.2
+COSINE, BLOCK_DIMS, GRID_DIMS, CELL = 0.95, 16, 1, 3.2
 #: Homes and visitors of one task, at most about.
 HOMES, VISITORS = 32_768, 65_536
 TILE = 2048
@@ -90,12 +91,12 @@ def spread(distinct: DataFrame, cosine: float, with_vectors: bool) -> DataFrame:
 def cell_links(t: pa.Table, cosine: float) -> pa.Table:
     """Of one chunk of a cell: (a, b, edge) with the copies linked to each home, and the edges of a spanning forest."""
     d, k = t.column("d")[0].as_py(), t.column("k")[0].as_py()
-    as_home, ids, n = t.column("as_home").to_numpy(), t.column("id").to_numpy(), t.column("n").to_numpy()
+    as_home, as_visitor, ids, n = (t.column(c).to_numpy() for c in ("as_home", "as_visitor", "id", "n"))
     b = Blocks(d, cosine)
     x = unit(matrix(t.column("vec")))
     y = np.einsum("ij,jk->ik", x, b.rotation)
     lo, hi = b.spans[k]
-    h, v = np.flatnonzero(as_home), np.flatnonzero(~as_home)
+    h, v = np.flatnonzero(as_home), np.flatnonzero(as_visitor)
     total = np.zeros(len(h), np.int64)
     root = np.arange(len(t))  # a union-find over the rows of this chunk
     edges: list[tuple[int, int]] = []
@@ -155,8 +156,9 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     at = spread(same, cosine, True).join(F.broadcast(grid), ["d", "k", "cell"])  # at most (blocks) x (cells of the unit cube) rows
     at = at.withColumn("h", F.pmod(F.xxhash64("id"), "hs")).withColumn("v", F.pmod(F.xxhash64("id"), "vs"))
     col = ["d", "k", "cell", "id", "n", "vec"]
-    visit = at.select(*col, F.lit(False).alias("as_home"), F.explode(F.expr("sequence(0L, hs - 1L)")).alias("h"), "v")
-    own = at.where("home").select(*col, F.lit(True).alias("as_home"), "h", F.explode(F.expr("sequence(0L, vs - 1L)")).alias("v"))
+    whole = F.expr("home AND hs = 1 AND vs = 1")  # in a cell of one chunk a row at home is its own visitor
+    visit = at.where(~whole).select(*col, F.lit(False).alias("as_home"), F.lit(True).alias("as_visitor"), F.explode(F.expr("sequence(0L, hs - 1L)")).alias("h"), "v")
+    own = at.where("home").select(*col, F.lit(True).alias("as_home"), whole.alias("as_visitor"), "h", F.explode(F.expr("sequence(0L, vs - 1L)")).alias("v"))
     found = cut(visit.union(own).groupBy("d", "k", "cell", "h", "v").applyInArrow(lambda t: cell_links(t, cosine), "a long, b long, edge boolean"))
     links = found.where("NOT edge").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     labels = components(found.where("edge").select(F.col("a").alias("src"), F.col("b").alias("dst")))

@@ -134,7 +134,7 @@ def ann_search(vectors: DataFrame, queries: DataFrame, k: int = K, share: float
                 if not q[s]:
                     ids.append(own)
                     x.append(vec)
-                elif ids:
+                elif len(ids):
                     if forest is None:
                         ids, x = np.concatenate(ids), np.concatenate(x)
                         forest = Forest(x, seed=int(b[s]))

@@ -336,6 +336,18 @@ def test_embedding_dedup_of_repeated_ids(spark):
         assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
 
 
+def test_search_of_many_queries(spark):
+    """More queries than one batch holds, against blocks that each index their rows once."""
+    x = np.random.default_rng(6).normal(size=(1300, 6))
+    s = cosines(x)
+    np.fill_diagonal(s, -2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC).repartition(3)
+    got = {}
+    for r in ann_search(df, df, k=2, share=1.0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert len(got) == 1300 and all([got[q][1], got[q][2]] == np.lexsort((np.arange(1300), -s[q]))[:2].tolist() for q in range(1300))
+
+
 def test_search_recall_of_evenly_spread_vectors(spark):
     x = np.random.default_rng(4).normal(size=(3000, 64))
     s = cosines(x)
