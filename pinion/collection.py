@@ -29,7 +29,7 @@ from pinion.operators import hnsw, ivf
 from pinion.operators.flat import exact_top_k
 from pinion.plans.filters import check, compile_filter, conjunction, parse
 from pinion.plans.planner import REQUESTED, QueryPlan, SegmentCounts, VectorQuery, ann_candidates, plan, widened_ef, widened_probe
-from pinion.schema import COLLECTION_NAME, FLAT, HNSW, INT64, IVF, MISSING, READ_ONLY, SPARK_TYPES, Doc, Options, ScalarField, Schema, check_doc, check_field, check_vector, with_defaults
+from pinion.schema import COLLECTION_NAME, FLAT, FLOAT64, HNSW, INT64, IVF, MISSING, READ_ONLY, SPARK_TYPES, STRING, Doc, Options, ScalarField, Schema, check_doc, check_field, check_vector, with_defaults
 from pinion.sources.files import Files
 
 _open: set[str] = set()
@@ -128,11 +128,27 @@ class Collection:
 
     # --- state -------------------------------------------------------------------------------------------------------
 
-    def _base(self) -> DataFrame:
+    def _base(self, segments: list[int] | None = None) -> DataFrame:
+        """Checkpointed rows, of all segments or of some: then the folders of others are not read."""
         struct = self.schema.struct().add("segment_id", "long")
-        if not self.segments:
+        if not self.segments or segments == []:
             return self.spark.createDataFrame([], struct)
-        return self.spark.read.schema(struct).parquet(f"{self.files.root}/data/v={self.version}")
+        rows = self.spark.read.schema(struct).parquet(f"{self.files.root}/data/v={self.version}")
+        return rows if segments is None or len(segments) == len(self.segments) else rows.where(F.col("segment_id").isin(segments))
+
+    def _may_hold(self, prefilter: tuple[Any, ...]) -> list[int]:
+        """Segments whose least and largest values of indexed fields do not rule out the tests of a prefilter."""
+
+        def may(s: dict) -> bool:
+            for leaf in prefilter:
+                if s["doc_count"] and leaf.field in s.get("ranges", {}):
+                    low, high = s["ranges"][leaf.field]
+                    fits = {"=": lambda v: low <= v <= high, "<": lambda v: low < v, "<=": lambda v: low <= v, ">": lambda v: high > v, ">=": lambda v: high >= v}[leaf.op]
+                    if low is None or not fits(leaf.value):
+                        return False
+            return True
+
+        return [s["segment_id"] for s in self.segments if s["doc_count"] and may(s)]
 
     def _delta_frame(self) -> DataFrame:
         names = [f.name for f in self.schema.fields]
@@ -143,9 +159,9 @@ class Collection:
             rows.append((k, d.id, *(d.fields.get(n) for n in names), [float(np.float32(x)) for x in d.vector], missing, json.dumps(extra) if extra else None, segment))
         return self.spark.createDataFrame(rows, self.schema.struct().add("segment_id", "long"))
 
-    def _live_base(self) -> DataFrame:
+    def _live_base(self, segments: list[int] | None = None) -> DataFrame:
         """Checkpointed rows without tombstones."""
-        base = self._base()
+        base = self._base(segments)
         if self.gone:
             dead = self.spark.createDataFrame([(k,) for k in sorted(self.gone)], "_doc_id long")
             base = base.join(dead, "_doc_id", "left_anti").select(base.columns)
@@ -154,9 +170,9 @@ class Collection:
             base = base.join(dead, "_doc_id", "left_anti").select(base.columns)
         return base
 
-    def live(self) -> DataFrame:
-        """All live rows with their segment: checkpointed rows without tombstones, and what was written since."""
-        base = self._live_base()
+    def live(self, segments: list[int] | None = None) -> DataFrame:
+        """All live rows with their segment: checkpointed rows (of some segments) without tombstones, and what was written since."""
+        base = self._live_base(segments)
         return base.unionByName(self._delta_frame()) if self.delta else base
 
     def _find(self, ids: list[str]) -> dict[str, tuple[int, Doc]]:
@@ -224,9 +240,14 @@ class Collection:
         next_id, segments = self.next_id if next_id is None else next_id, []
         if self.segments or self.delta or grown:
             at = f"{self.files.root}/data/v={version}"
-            rows.repartition("segment_id").sortWithinPartitions("segment_id", "_doc_id").write.partitionBy("segment_id").mode("overwrite").parquet(at)
+            writer = rows.repartition("segment_id").sortWithinPartitions("segment_id", "_doc_id").write.partitionBy("segment_id").mode("overwrite")
+            indexed = [f for f in schema.fields if f.indexed]
+            for f in indexed:  # equality on an indexed string skips row groups by their Bloom filters
+                if f.type == STRING:
+                    writer = writer.option(f"parquet.bloom.filter.enabled#f_{f.name}", "true")
+            writer.parquet(at)
             written = self.spark.read.schema(rows.schema).parquet(at)
-            segments = [r.asDict() for r in segment_meta(written).collect()]
+            segments = [segment_entry(r, indexed) for r in segment_meta(written, indexed).collect()]
             if segments:
                 self._build_indexes(written, schema, version)
         manifest = {"schema": schema.to_json(), "options": self.options.to_json(), "sequence": self.sequence, "next_id": next_id, "next_segment": next_segment, "segments": segments}
@@ -298,6 +319,11 @@ class Collection:
         """Rows of many ids (column id), by a semi join."""
         return self.live().join(ids.select("id"), "id", "left_semi").withColumn("_score", F.lit(0.0).cast("float"))
 
+    def fetch_internal(self, ids: list[int]) -> DataFrame:
+        """Live rows by internal id. Only segments whose range of ids holds one of them are read."""
+        wanted = [s["segment_id"] for s in self.segments if any(s["min_id"] <= i <= s["max_id"] for i in ids)]
+        return self.live(wanted).where(F.col("_doc_id").isin(list(ids)))
+
     def _resolved(self, q: VectorQuery) -> list[float]:
         if q.vector is not None:
             return [float(np.float32(x)) for x in q.vector]
@@ -312,7 +338,7 @@ class Collection:
         """The hits as a DataFrame: all columns and _score, best first."""
         p = plan(q, self.schema)
         vector = self._resolved(q)
-        rows = self.live()
+        rows = self.live(self._may_hold(p.prefilter) if p.prefilter else None)
         if p.tree is not None:
             rows = rows.where(compile_filter(p.tree, self.schema))
         if p.recall.kind != FLAT and self.segments:
@@ -572,9 +598,20 @@ def checked_rows(rows: DataFrame, schema: Schema) -> DataFrame:
     return rows.withColumn("id", F.when(bad.isNull(), F.col("id")).otherwise(F.raise_error(bad).cast("string")))
 
 
-def segment_meta(rows: DataFrame) -> DataFrame:
-    """Per segment the least and largest internal id and the number of rows."""
-    return rows.groupBy("segment_id").agg(F.min("_doc_id").alias("min_id"), F.max("_doc_id").alias("max_id"), F.count("*").alias("doc_count")).orderBy("segment_id")
+def segment_meta(rows: DataFrame, indexed: list[ScalarField] = ()) -> DataFrame:
+    """Per segment the least and largest internal id and the number of rows, and the ranges of indexed fields."""
+    ranges = []
+    for f in indexed:
+        value = F.col(f"f_{f.name}")
+        value = F.when(~F.isnan(value), value) if f.type == FLOAT64 else value  # NaN fails every test of a prefilter
+        ranges += [F.min(value).alias(f"low_{f.name}"), F.max(value).alias(f"high_{f.name}")]
+    return rows.groupBy("segment_id").agg(F.min("_doc_id").alias("min_id"), F.max("_doc_id").alias("max_id"), F.count("*").alias("doc_count"), *ranges).orderBy("segment_id")
+
+
+def segment_entry(row: Any, indexed: list[ScalarField]) -> dict:
+    """A segment's entry in the manifest."""
+    entry = {k: row[k] for k in ("segment_id", "min_id", "max_id", "doc_count")}
+    return entry | ({"ranges": {f.name: [row[f"low_{f.name}"], row[f"high_{f.name}"]] for f in indexed}} if indexed else {})
 
 
 def recut(rows: DataFrame, width: int, id_col: str = "_doc_id") -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 
@@ -188,6 +189,29 @@ def test_delete_by_filter_is_a_table_of_tombstones(db, coll, tmp_path):
         assert sorted(ids(again, NORTH)) == before and not list((tmp_path / "docs" / "tombs").iterdir())
 
 
+def test_a_scalar_index_skips_segments(coll):
+    coll.insert(docs(8))  # four segments of two
+    before = ids(coll, EAST, filter="rank >= 3 AND rank < 5")
+    coll.create_index("rank", "Scalar")
+    coll.create_index("category", "Scalar")
+
+    def read(text):
+        q = VectorQuery("embedding", 9, EAST, filter=text)
+        plan = coll.query_frame(q)._jdf.queryExecution().executedPlan().toString()
+        return set(map(int, re.findall(r"\d+", plan.split("PartitionFilters: [")[1].split("]")[0].replace("segment_id#", "_")))) & {s["segment_id"] for s in coll.segments}
+
+    numbers = [s["segment_id"] for s in coll.segments]
+    assert ids(coll, EAST, filter="rank >= 3 AND rank < 5") == before and read("rank >= 3 AND rank < 5") == {numbers[1]}
+    assert read("category = 'green' AND rank > 6") == {numbers[3]} and ids(coll, EAST, filter="category = 'green' AND rank > 5") == ["item-8"]
+    assert ids(coll, EAST, filter="rank > 99") == [] and len(ids(coll, EAST, filter="rank > 99 OR rank = 1")) == 1
+    coll.insert([Doc("item-9", {"pk": "item-9", "rank": 4, "category": "red", "score": 0.0}, EAST)])
+    assert ids(coll, EAST, filter="rank = 4") == ["item-9", "item-4"]
+    k = coll.segments[2]["min_id"]
+    assert [r["_doc_id"] for r in coll.fetch_internal([k, 10**6]).collect()] == [k]
+    coll.drop_index("rank", "Scalar")
+    assert ids(coll, EAST, filter="rank = 4") == ["item-9", "item-4"]
+
+
 def test_indexes_are_checked_when_opened(db, coll, spark, tmp_path):
     coll.insert(docs(8))
     coll.create_index("embedding", HNSW)
