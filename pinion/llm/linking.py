@@ -10,7 +10,6 @@ bucket is lost.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -163,18 +162,19 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[list[str]], lis
     return rows.mapInArrow(measure, "center long, member long, inter long, union long")
 
 
-def block_links(t: pa.Table, shingles: Callable[[str], np.ndarray], percent: int) -> pa.Table:
+def block_links(t: pa.Table, sets_of: Callable[[list[str]], list[np.ndarray]], percent: int) -> pa.Table:
     """Links between the left and the right rows of each key, by counting common shingles over postings. Of a key's links a
     spanning forest is returned, which says as much."""
     t = t.sort_by("key")
     key, ids, left = t.column("key").to_numpy(), t.column("id").to_numpy(), t.column("left").to_numpy()
     texts = t.column("text").to_pylist()
-    of = lru_cache(2 * BLOCK)(lambda _, text: shingles(text))
     kept: list[tuple[int, int]] = []
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
     for a, b in zip(start, np.append(start[1:], len(key)), strict=True):
         right = np.flatnonzero(~left[a:b]) + a
-        sets = [of(ids[i], texts[i]) for i in right]
+        own, at = np.unique(ids[a:b], return_index=True)
+        of = dict(zip(own.tolist(), sets_of([texts[a + i] for i in at]), strict=True))
+        sets = [of[i] for i in ids[right].tolist()]
         size = np.array([len(x) for x in sets], np.int64)
         flat = np.concatenate(sets) if sets else np.empty(0, U64)
         owner = np.repeat(np.arange(len(sets)), size)
@@ -188,7 +188,8 @@ def block_links(t: pa.Table, shingles: Callable[[str], np.ndarray], percent: int
             return v
 
         for i in np.flatnonzero(left[a:b]) + a:
-            x, me = of(ids[i], texts[i]), int(ids[i])
+            me = int(ids[i])
+            x = of[me]
             lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
             n = hi - lo
             at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -259,5 +260,5 @@ def linked_components(
     left = at.where("outside").select("key", "id", F.lit(True).alias("left"), F.expr("pmod(h, rows)").alias("row"), F.explode(F.expr("sequence(0L, cols - 1L)")).alias("col"))
     right = at.select("key", "id", F.lit(False).alias("left"), F.explode(F.expr("sequence(0L, rows - 1L)")).alias("row"), F.expr("pmod(h, cols)").alias("col"))
     blocks = left.union(right).join(texts, "id").groupBy(F.pmod(F.xxhash64("key"), F.lit(bins)).alias("bin"), "row", "col")
-    found = cut(blocks.applyInArrow(lambda t: block_links(t, shingles, percent), "center long, member long"))
+    found = cut(blocks.applyInArrow(lambda t: block_links(t, sets or each(shingles), percent), "center long, member long"))
     return merged(labels, found.withColumn("linked", F.lit(True)))

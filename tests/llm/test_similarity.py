@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pinion.llm.bloom import Bloom, fill
 from pinion.llm.common import char_shingle_set, shingle_set, words
 from pinion.llm.components import components
-from pinion.llm.linking import UPPER, block_links, signature_blobs
+from pinion.llm.linking import UPPER, block_links, each, signature_blobs
 from pinion.llm.op02_ngram_jaccard import Bands, ngram_jaccard_join, signatures
 from pinion.llm.op02_ngram_jaccard import sign as sign_documents
 from pinion.llm.op03_embedding_dedup import Blocks, embedding_dedup
@@ -140,7 +140,7 @@ def test_bands_cover_all_partners():
 def test_blocks_find_links():
     texts = near_copies(random.Random(1), 30, 40, 3)
     both = pa.table({"key": [5] * 62 + [1, 1], "id": [*range(31)] * 2 + [100, 101], "text": texts * 2 + ["a b", "a b"], "left": [True] * 31 + [False] * 31 + [True, False]})
-    found = block_links(both, shingle_set, 80).to_pylist()
+    found = block_links(both, each(shingle_set), 80).to_pylist()
     assert {"center": 100, "member": 101} in found
     root = unite(range(31), [(r["center"], r["member"]) for r in found if r["center"] < 100])
     assert {i: r for i, r in root.items()} == {i: r for i, (_, r) in brute_jaccard(list(enumerate(texts))).items()}
