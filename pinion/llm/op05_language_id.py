@@ -8,13 +8,13 @@ when predicting. Inference is a mapInArrow over text alone: no shuffle, memory b
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pinion.llm.common import small, table
@@ -23,7 +23,7 @@ WINDOW = 64
 HIDDEN = 8
 #: The bound on labelled rows that a classifier is fitted on, and on the characters taken of them together; on the languages
 #: it learns; characters of a piece of a long text.
-SAMPLE_ROWS, SAMPLE_BYTES, LANGUAGES, PIECE = 3000, 24_000_000, 100, 256
+SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES, PIECE = 3000, 24_000_000, 100, 256
 STEPS, BATCH, RATE = 300, 192, 0.02
 #: Bytes of text that a worker labels at once.
 CHUNK_BYTES = 1 << 17
@@ -239,24 +239,29 @@ def predict(net: Network, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = SAMPLE_ROWS) -> Network:
-    """Learns from at most `rows` rows with text and label, as many of each language (those of the least hashes of id and text;
-    all, if a language has fewer), of the LANGUAGES most frequent ones. Of a text longer than an even share of SAMPLE_BYTES,
-    pieces of PIECE characters are taken evenly from its whole length. Repeated rows count once; null texts and labels do not.
+    """Learns from at most `rows` rows with text and label, as many of each language (of the least hashes of id and text; all,
+    if a language has fewer), of the LANGUAGES most frequent ones. Of a text longer than an even share of SAMPLE_CHARS, pieces
+    of PIECE characters are taken evenly from its whole length. Repeated rows count once; null texts and labels do not.
     """
     named = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"))
     named = named.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    langs = [r["lang"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    if not langs:
+    counts = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counts:
         return train([], [])
-    first = F.row_number().over(W.partitionBy("lang").orderBy("h"))  # each task of the scan passes on `each` rows of a language at most
-    each = max(1, rows // len(langs))
-    last = named.where(F.col("lang").isin(langs)).select("lang", "h").withColumn("k", first).where(F.col("k") <= each).groupBy("lang").agg(F.max("h").alias("last"))
-    share = max(PIECE, SAMPLE_BYTES // rows)
+    each = max(1, rows // len(counts))
+    # hashes are even, so those of the first `each` rows lie below this share of all; a fifth and 30 more for chance
+    last = [(r["lang"], min((1 << 63) - 1, int((1.2 * each + 30) / r["n"] * 2.0**64) - (1 << 63))) for r in counts]
+    last = F.broadcast(docs.sparkSession.createDataFrame(last, "lang string, last long"))  # a row for each language
+    share = max(PIECE, SAMPLE_CHARS // rows)
     pieces = f"transform(sequence(0, {share // PIECE - 1}), i -> substring(text, CAST(1 + i * (length(text) - {PIECE}) / {max(1, share // PIECE - 1)} AS INT), {PIECE}))"
-    chosen = named.join(F.broadcast(last), "lang").where("h <= last")  # a row for each language
+    chosen = named.join(last, "lang").where("h <= last")
     chosen = chosen.groupBy("lang", "h").agg(F.first(F.expr(f"CASE WHEN length(text) <= {share} THEN array(text) ELSE {pieces} END")).alias("parts"))
-    sample = sorted((r["lang"], r["h"], r["parts"]) for r in chosen.collect())
-    labelled = [(t, lang) for lang, _, parts in sample for t in parts]
+    sample, taken = [], Counter()
+    for lang, _, parts in sorted((r["lang"], r["h"], r["parts"]) for r in chosen.collect()):
+        if taken[lang] < each:
+            taken[lang] += 1
+            sample.append((lang, parts))
+    labelled = [(t, lang) for lang, parts in sample for t in parts]
     return train([t for t, _ in labelled], [v for _, v in labelled])
 
 

@@ -96,7 +96,11 @@ def build_lexicon(spark: SparkSession, words: list[bytes], vocabulary: str) -> s
 
 
 def encode_column(docs: DataFrame, vocabulary: str, lexicon: str | None, text_col: str = "text") -> DataFrame:
-    """docs without the text, with ids (array<int>) and decoded; a null text is treated as empty."""
+    """docs without the text, with ids (array<int>) and decoded (clashing columns are replaced, others stay).
+
+    A null text is treated as empty; whole texts are encoded, however long. Rows are independent, so repeated rows and rows
+    with a null id fare alike, and nothing ties. An empty table stays empty.
+    """
     rest = [c for c in docs.columns if c not in (text_col, "ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +128,11 @@ def decode_column(docs: DataFrame, vocabulary: str, ids_col: str = "ids") -> Dat
 
 
 def digests(docs: DataFrame, vocabulary: str, lexicon: str | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of every row, in one pass that keeps no ids. Null texts are empty."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every row, in one pass that keeps no ids.
+
+    Null texts are empty; whole texts are encoded, however long. Rows are independent: repeated rows come back each, a null id
+    stays null, and nothing ties. An empty table gives an empty result; other columns are ignored, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder_for(vocabulary, lexicon)

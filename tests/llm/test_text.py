@@ -134,7 +134,7 @@ def test_fit_learns_rare_languages_from_whole_texts(spark, monkeypatch):
     rows += [(900, "1 " * 3000 + "ñandú según también " * 20, "es")] + [(901, "only this row, many times", "en")] * 50 + [(902, "no label", None), (None, "", "xx")]
     seen = []
     monkeypatch.setattr(lid, "train", lambda texts, labels: seen.append(sorted(zip(labels, texts, strict=True))))
-    monkeypatch.setattr(lid, "SAMPLE_BYTES", 30 * 1024)
+    monkeypatch.setattr(lid, "SAMPLE_CHARS", 30 * 1024)
     for order in (rows, rows[::-1]):
         lid.fit(spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3), rows=30)
     assert seen[0] == seen[1]
