@@ -24,12 +24,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pinion.errors import ALREADY_EXISTS, FAILED_PRECONDITION, INTERNAL, NOT_FOUND, PERMISSION_DENIED, StatusError, WriteResult, invalid
-from pinion.functions.metrics import literal, score
+from pinion.functions.metrics import literal, score, scores
 from pinion.operators import hnsw, ivf
 from pinion.operators.flat import exact_top_k
 from pinion.plans.filters import check, compile_filter, conjunction, parse
 from pinion.plans.planner import REQUESTED, QueryPlan, SegmentCounts, VectorQuery, ann_candidates, plan, widened_ef, widened_probe
-from pinion.schema import COLLECTION_NAME, FLAT, FLOAT64, HNSW, INT64, IVF, MISSING, READ_ONLY, SPARK_TYPES, STRING, Doc, Options, ScalarField, Schema, check_doc, check_field, check_vector, with_defaults
+from pinion.schema import COLLECTION_NAME, COSINE, FLAT, FLOAT64, HNSW, INT64, IVF, MISSING, READ_ONLY, SPARK_TYPES, STRING, Doc, Options, ScalarField, Schema, check_doc, check_field, check_vector, with_defaults
 from pinion.sources.files import Files
 
 _open: set[str] = set()
@@ -288,8 +288,9 @@ class Collection:
                 raise StatusError(INTERNAL, f"the {kind} index of version {self.version} is missing")
         if state.ivf:
             lists = self.spark.read.parquet(f"{self.files.root}/{at}/ivf")
-            good = (F.size("centroid") == self.schema.vector.dimension) & ~F.exists("centroid", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-            lists = lists.groupBy("segment_id").agg(F.count("*").alias("n"), F.count_distinct("_doc_id").alias("ids"), F.min("_doc_id").alias("low"), F.max("_doc_id").alias("high"), F.max("list").alias("last"), F.bool_and(good).alias("good"))
+            good = (F.size("centroid") == self.schema.vector.dimension) & ~F.exists("centroid", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (F.col("residual") >= 0)
+            whole = (F.count_if(good) == F.count("centroid")) & (F.count("centroid") == F.count_distinct("list"))
+            lists = lists.groupBy("segment_id").agg(F.count("*").alias("n"), F.count_distinct("_doc_id").alias("ids"), F.min("_doc_id").alias("low"), F.max("_doc_id").alias("high"), F.max("list").alias("last"), whole.alias("good"))
             have = {r["segment_id"]: r for r in lists.collect()}
             for s in self.segments:
                 r = have.get(s["segment_id"])
@@ -356,57 +357,71 @@ class Collection:
 
     def _candidates(self, p: QueryPlan, vector: list[float]) -> DataFrame:
         """Internal ids that the graph or the lists of each segment offer; rows written since the checkpoint all are offered."""
-        metric, k, kind, breadth, state = self.schema.vector.metric, p.query.top_k, p.recall.kind, p.recall.params, self.schema.vector.indexes
         pre = conjunction(list(p.prefilter))
         allowed = compile_filter(pre, self.schema) if pre is not None else F.lit(True)
-        live = self.live().withColumn("_live", F.lit(True)).withColumn("_allowed", allowed).select("_doc_id", "_live", "_allowed")
-        rows = self._base().select("segment_id", "_doc_id", "vector").join(live, "_doc_id", "left")
-        q, budget = np.array(vector), p.recall.budget
-
-        def counts(pdf) -> SegmentCounts:
-            up = pdf["_live"].fillna(False).astype(bool)
-            return SegmentCounts(len(pdf), len(pdf), int(up.sum()), int((up & pdf["_allowed"].fillna(False).astype(bool)).sum()))
-
-        if kind == IVF:
-            lists = self.spark.read.parquet(f"{self.files.root}/index/v={self.version}/ivf")
-
-            def search_lists(pdf):
-                c, pdf = counts(pdf), pdf.sort_values("_doc_id")
-                up = pdf[pdf["_live"].fillna(False).astype(bool)]
-                table = dict(zip(pdf["list"], pdf["centroid"], strict=True))
-                centroids = np.stack([table.get(i, np.zeros(len(q))) for i in range(max(table, default=-1) + 1)]) if table else np.empty((0, len(q)))
-                index = ivf.IvfIndex(metric, centroids, up["list"].to_numpy())
-                x = np.stack(up["vector"].to_list()) if len(up) else np.empty((0, len(q)))
-                wanted = ann_candidates(k, c, budget)
-                probe = widened_probe(breadth, len(index.populated()), k, wanted, c, budget, c.indexed > c.visible)
-                hits = ivf.search(index, x, up["_doc_id"].to_numpy(), q, wanted, probe)
-                return up[["_doc_id"]].iloc[:0] if not hits else up[up["_doc_id"].isin([i for i, _ in hits])][["_doc_id"]]
-
-            found = rows.join(lists.drop("segment_id"), "_doc_id", "left").groupBy("segment_id").applyInPandas(search_lists, "_doc_id long")
+        live = self._live_base().select("_doc_id", F.lit(True).alias("_live"), F.coalesce(allowed, F.lit(False)).alias("_allowed"))
+        found = self._of_lists(p, vector, live) if p.recall.kind == IVF else self._of_graphs(p, vector, live)
+        return found.union(self._delta_frame().select("_doc_id")) if self.delta else found
+
+    def _of_lists(self, p: QueryPlan, vector: list[float], live: DataFrame) -> DataFrame:
+        """The rows of the lists that are probed. Centroids and counts decide which: vectors are read of probed rows only."""
+        metric, k, breadth, budget, q = self.schema.vector.metric, p.query.top_k, p.recall.params, p.recall.budget, np.array(vector, np.float64)
+        table = self.spark.read.parquet(f"{self.files.root}/index/v={self.version}/ivf")
+        rows, clean = table.select("segment_id", "list", "_doc_id"), not (self.gone or self.tombs or p.prefilter)
+        if clean:
+            counts = rows.withColumns({"_live": F.lit(True), "_allowed": F.lit(True)})
         else:
-            edges = self.spark.read.parquet(f"{self.files.root}/index/v={self.version}/hnsw")
-            params = state.hnsw
-
-            def search_graph(left, right):
-                c = counts(left)
-                left = left.sort_values("_doc_id")
-                ids = left["_doc_id"].to_numpy()
-                up = left["_live"].fillna(False).astype(bool).to_numpy()
-                if not up.any():
-                    return left[["_doc_id"]].iloc[:0]
-                g = hnsw.Graph(metric, np.stack(left["vector"].to_list()), ids, params)
-                at = {int(d): i for i, d in enumerate(ids)}
-                for level, a, b in zip(right["level"], right["a"], right["b"], strict=True):
-                    g.edges[level].setdefault(at[a], []).append(at[b])
-                g.check()
-                wanted = ann_candidates(k, c, budget)
-                hits = [i for i, _ in g.search(q, wanted, widened_ef(breadth, wanted), up)]  # deleted rows only lead on
-                return left[left["_doc_id"].isin(hits)][["_doc_id"]]
-
-            found = rows.groupBy("segment_id").cogroup(edges.groupBy("segment_id")).applyInPandas(search_graph, "_doc_id long")
-        if self.delta:
-            found = found.union(self._delta_frame().select("_doc_id"))
-        return found
+            counts = rows.join(live, "_doc_id", "left")
+        counts = counts.groupBy("segment_id", "list").agg(F.count("*").alias("n"), F.count_if("_live").alias("live"), F.count_if("_allowed").alias("allowed"))
+
+        def rank(pdf):
+            c = SegmentCounts(int(pdf["n"].sum()), int(pdf["n"].sum()), int(pdf["live"].sum()), int(pdf["allowed"].sum()))
+            pdf = pdf[pdf["live"] > 0].sort_values("list").reset_index(drop=True)
+            if not len(pdf):
+                return pdf[["segment_id", "list"]].assign(probed=False, bound=0.0)
+            wanted = ann_candidates(k, c, budget)
+            probe = widened_probe(breadth, len(pdf), k, wanted, c, budget, c.indexed > c.visible)
+            centroids = np.stack(pdf["centroid"].to_list())
+            first = np.lexsort((pdf["list"], -scores(metric, centroids, q)))[:probe]
+            probed = pdf.index.isin(first) | (metric != COSINE and wanted > k)  # all rows are wanted, and bounds rule none out
+            return pdf[["segment_id", "list"]].assign(probed=probed, bound=[ivf.bound(metric, x, r, q) for x, r in zip(centroids, pdf["residual"], strict=True)])
+
+        lists = table.where("centroid IS NOT NULL").select("segment_id", "list", "centroid", "residual").join(counts, ["segment_id", "list"])
+        lists = lists.groupBy("segment_id").applyInPandas(rank, "segment_id long, list int, probed boolean, bound double")
+        of = lambda some: rows.join(some.select("segment_id", "list"), ["segment_id", "list"], "left_semi").select("_doc_id")
+        probed = of(lists.where("probed"))
+        if metric == COSINE:
+            return probed
+        # lists go on as long as a bound allows a row among the k best of those probed
+        best = self._live_base().join(probed, "_doc_id", "left_semi").select(score(metric, F.col("vector"), literal(vector)).alias("s"))
+        best = best.orderBy(F.desc("s")).limit(k).agg(F.min("s").alias("least"), F.count("*").alias("n")).head()
+        if best["n"] < k:
+            return of(lists)
+        return of(lists.where(F.col("probed") | (F.col("bound") >= best["least"] - 1e-6 * (1 + abs(best["least"])))))
+
+    def _of_graphs(self, p: QueryPlan, vector: list[float], live: DataFrame) -> DataFrame:
+        """What a search of each segment's graph finds."""
+        metric, k, breadth, budget, q = self.schema.vector.metric, p.query.top_k, p.recall.params, p.recall.budget, np.array(vector)
+        rows = self._base().select("segment_id", "_doc_id", "vector").join(live, "_doc_id", "left")
+        edges = self.spark.read.parquet(f"{self.files.root}/index/v={self.version}/hnsw")
+        params = self.schema.vector.indexes.hnsw
+
+        def search_graph(left, right):
+            left = left.sort_values("_doc_id")
+            ids, up = left["_doc_id"].to_numpy(), left["_live"].fillna(False).astype(bool).to_numpy()
+            if not up.any():
+                return left[["_doc_id"]].iloc[:0]
+            c = SegmentCounts(len(left), len(left), int(up.sum()), int((up & left["_allowed"].fillna(False).astype(bool).to_numpy()).sum()))
+            g = hnsw.Graph(metric, np.stack(left["vector"].to_list()), ids, params)
+            at = {int(d): i for i, d in enumerate(ids)}
+            for level, a, b in zip(right["level"], right["a"], right["b"], strict=True):
+                g.edges[level].setdefault(at[a], []).append(at[b])
+            g.check()
+            wanted = ann_candidates(k, c, budget)
+            hits = [i for i, _ in g.search(q, wanted, widened_ef(breadth, wanted), up)]  # deleted rows only lead on
+            return left[left["_doc_id"].isin(hits)][["_doc_id"]]
+
+        return rows.groupBy("segment_id").cogroup(edges.groupBy("segment_id")).applyInPandas(search_graph, "_doc_id long")
 
     # --- writes ------------------------------------------------------------------------------------------------------
 

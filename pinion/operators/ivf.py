@@ -58,19 +58,27 @@ def train(metric: str, x: np.ndarray, params: IvfParams) -> IvfIndex:
     return IvfIndex(metric, centroids, lists)
 
 
+def bound(metric: str, c: np.ndarray, residual: float, q: np.ndarray) -> float:
+    """The best score of any row within `residual` of the centroid; none is known for the cosine."""
+    if metric == COSINE:
+        return np.inf
+    best = c @ q + np.sqrt(q @ q) * residual if metric == INNER_PRODUCT else -max(0.0, np.sqrt(((c - q) ** 2).sum()) - residual)
+    return best + SLACK * (1 + abs(best))
+
+
+def residuals(index: IvfIndex, x: np.ndarray) -> np.ndarray:
+    """Each list's largest distance of a row to the centroid; 0 for empty lists."""
+    out = np.zeros(len(index.centroids))
+    for i in index.populated():
+        out[i] = np.sqrt(((x[index.lists == i] - index.centroids[i]) ** 2).sum(1)).max()
+    return out
+
+
 def bounds(index: IvfIndex, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The best score that any row of each list can have."""
-    out = np.full(len(index.centroids), -np.inf)
+    out, far = np.full(len(index.centroids), -np.inf), residuals(index, x)
     for i in index.populated():
-        c = index.centroids[i]
-        residual = np.sqrt(((x[index.lists == i] - c) ** 2).sum(1)).max()
-        if index.metric == COSINE:
-            out[i] = np.inf
-        elif index.metric == INNER_PRODUCT:
-            out[i] = c @ q + np.sqrt(q @ q) * residual
-        else:
-            out[i] = -max(0.0, np.sqrt(((c - q) ** 2).sum()) - residual)
-        out[i] += SLACK * (1 + abs(out[i])) if np.isfinite(out[i]) else 0
+        out[i] = bound(index.metric, index.centroids[i], far[i], q)
     return out
 
 
@@ -95,14 +103,19 @@ def search(index: IvfIndex, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: in
 
 
 def build_lists(segments: DataFrame, metric: str, params: IvfParams) -> DataFrame:
-    """(segment_id, _doc_id, vector) -> (segment_id, list, centroid, _doc_id): one training task per segment."""
+    """(segment_id, _doc_id, vector) -> (segment_id, list, _doc_id, centroid, residual): one training task per segment. The last
+    two are in the first row of each list only."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_doc_id")
-        index = train(metric, np.stack(pdf["vector"].to_list()), params)
-        return pd.DataFrame({"segment_id": pdf["segment_id"].to_numpy(), "list": index.lists, "centroid": [index.centroids[i].tolist() for i in index.lists], "_doc_id": pdf["_doc_id"].to_numpy()})
-
-    return segments.select("segment_id", "_doc_id", "vector").groupBy("segment_id").applyInPandas(one, "segment_id long, list int, centroid array<double>, _doc_id long")
+        x = np.stack(pdf["vector"].to_list())
+        index = train(metric, x, params)
+        far, centroid, residual = residuals(index, x), [None] * len(x), [None] * len(x)
+        for i, at in zip(*np.unique(index.lists, return_index=True), strict=True):
+            centroid[at], residual[at] = index.centroids[i].tolist(), float(far[i])
+        return pd.DataFrame({"segment_id": pdf["segment_id"].to_numpy(), "list": index.lists, "_doc_id": pdf["_doc_id"].to_numpy(), "centroid": centroid, "residual": residual})
+
+    return segments.select("segment_id", "_doc_id", "vector").groupBy("segment_id").applyInPandas(one, "segment_id long, list int, _doc_id long, centroid array<double>, residual double")
 
 
 #: Centroids that one row may hold and every executor get.
