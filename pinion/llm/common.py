@@ -83,9 +83,15 @@ def join_hot(rows: DataFrame, values: DataFrame, on: str, copies: str, total: in
     hot = F.col(copies) > max(HOT_ROWS, int(total * HOT_SHARE))
     few = cut(values.where(hot))
     if few.isEmpty():
-        return rows.join(values, on)
+        return rows.join(unique(values), on)
     few = F.broadcast(few)
-    return rows.join(few, on).unionByName(rows.join(few.select(on), on, "left_anti").join(values.where(~hot), on))
+    return rows.join(few, on).unionByName(rows.join(few.select(on), on, "left_anti").join(unique(values.where(~hot)), on))
+
+
+def unique(values: DataFrame) -> DataFrame:
+    """Small rows, one for each key of a join: after the shuffle they are hashed, so that the other side needs no sort. Keys are
+    dealt evenly, so a task's table is its share of them."""
+    return values.hint("shuffle_hash")
 
 
 def parts_for(spark: SparkSession, items: int, per_part: int, least: int = 16) -> int:
@@ -96,11 +102,14 @@ def parts_for(spark: SparkSession, items: int, per_part: int, least: int = 16) -
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (xor-shift and multiply); a bijection."""
     x = x.astype(U64, copy=True)
-    x ^= x >> U64(30)
+    t = x >> U64(30)
+    x ^= t
     x *= _M1
-    x ^= x >> U64(27)
+    np.right_shift(x, U64(27), out=t)
+    x ^= t
     x *= _M2
-    x ^= x >> U64(31)
+    np.right_shift(x, U64(31), out=t)
+    x ^= t
     return x
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinion.llm.common import U64, cut, mix, small
+from pinion.llm.common import U64, cut, mix, small, unique
 from pinion.llm.components import components
 
 #: texts -> (per signature the place of its text; signatures; per text the 64-bit key of its set, or None where ids name the
@@ -73,7 +73,7 @@ def signature_blobs(docs: DataFrame, sign: Signer, parts: int, split: Callable |
                 if not len(sig):
                     continue
                 part = ((sig >> U64(32)) * U64(parts)) >> U64(32)
-                by = np.argsort(part, kind="stable")
+                by = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # short numbers are sorted by radix
                 part, of = part[by], (ids if key is None else key).astype(np.int64)
                 need = np.ones(len(sig), np.uint8) if need is None else need[by]
                 low = np.ascontiguousarray(sig[by].view(np.uint8).reshape(-1, 8)[:, :SENT])
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[list[str]], lis
         on = ["center", "salt"]
         pairs = pairs.join(many, "center", "left").select("center", "member", F.expr("CASE WHEN salts > 1 THEN pmod(xxhash64(member), salts) ELSE 0 END").cast("int").alias("salt"))
         two = two.join(many, "center", "left").select("center", "a", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)")).alias("salt"))
-    rows = pairs.join(one, "member").join(two, on).select("center", "member", "a", "b")
+    rows = one.join(pairs.hint("shuffle_hash"), "member").join(two, on).select("center", "member", "a", "b")
     return rows.mapInArrow(measure, "center long, member long, inter long, union long")
 
 
@@ -216,7 +216,7 @@ def linked_components(
     # a set that shares fewer signatures with all others together than it must with a linked one needs no text: its pairs drop out
     ids = stars.select(F.col("member").alias("id"), "own", "times").union(stars.select("center", "center_own", "times"))
     ids = cut(ids.groupBy("id").agg(F.sum("times").alias("times"), F.min("own").alias("own")).where("times >= own").select("id"))
-    texts = cut(fetch(ids).join(ids, "id", "left_semi"))
+    texts = cut(fetch(ids).join(unique(ids), "id", "left_semi"))
     is_link = f"100 * inter >= {percent} * union"
 
     def test(pairs: DataFrame) -> DataFrame:
@@ -232,18 +232,18 @@ def linked_components(
     every = stars.select("bucket", "center", F.col("member").alias("id")).union(stars.select("bucket", "center", F.col("center").alias("id")).distinct())
 
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        return rows.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        return rows.join(unique(labels), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
 
     mixed = labelled(every, labels).groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n"))
     mixed = mixed.where("a <> b AND n > 2").select("bucket")  # two members have been tested, or cannot be linked
-    open_ = every.join(mixed, "bucket")
+    open_ = every.join(unique(mixed), "bucket")
     # a second star around the member with the most links so far: the source of a group of copies links them all
     linked = first.where("linked")
     degree = linked.select(F.col("member").alias("id")).union(linked.select("center")).groupBy("id").agg(F.count("*").alias("degree"))
-    open_ = labelled(open_.join(degree, "id", "left"), labels)
+    open_ = labelled(open_.join(unique(degree), "id", "left"), labels)
     hub = open_.groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("id")).alias("less"), "label")).alias("m"))
     hub = hub.select("bucket", (-F.col("m.less")).alias("hub"), F.col("m.label").alias("hub_label"))
-    open_ = cut(open_.drop("degree").join(hub, "bucket"))
+    open_ = cut(open_.drop("degree").join(unique(hub), "bucket"))
     key = [F.least("id", "hub").alias("center"), F.greatest("id", "hub").alias("member")]
     second = test(cut(open_.where("label <> hub_label").select(*key).distinct().join(first.select("center", "member"), ["center", "member"], "left_anti")))
     labels = merged(labels, second)
@@ -251,11 +251,11 @@ def linked_components(
     at = cut(labelled(open_.where("id <> center AND id <> hub").select("bucket", "id", "hub"), labels))  # those two are tested with all
     mixed = at.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
     of_hub = labels.select(F.col("id").alias("hub"), F.col("component").alias("of_hub"))
-    at = at.join(mixed, "bucket").join(of_hub, "hub", "left")
+    at = at.join(unique(mixed), "bucket").join(unique(of_hub), "hub", "left")
     at = at.select(F.coalesce("of_hub", "hub").alias("key"), "id", (F.col("label") != F.coalesce("of_hub", "hub")).alias("outside")).distinct()
     sizes = at.groupBy("key").agg(F.count_if("outside").alias("out"), F.count("*").alias("all")).where("out > 0")
     sizes = sizes.select("key", F.ceil(F.col("out") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("cols"))
-    at = cut(at.join(sizes, "key").withColumn("h", F.xxhash64("id")))
+    at = cut(at.join(unique(sizes), "key").withColumn("h", F.xxhash64("id")))
     bins = max(1, -(-at.count() // BLOCK))  # small keys share a task's group; the blocks of a large one are groups of their own
     left = at.where("outside").select("key", "id", F.lit(True).alias("left"), F.expr("pmod(h, rows)").alias("row"), F.explode(F.expr("sequence(0L, cols - 1L)")).alias("col"))
     right = at.select("key", "id", F.lit(False).alias("left"), F.explode(F.expr("sequence(0L, rows - 1L)")).alias("row"), F.expr("pmod(h, cols)").alias("col"))

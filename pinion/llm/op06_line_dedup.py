@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from pinion.llm.bloom import thinning
-from pinion.llm.common import U64, char_shingle_set, cut, join_hot, mix, parts_for, small, table
+from pinion.llm.common import U64, char_shingle_set, cut, join_hot, mix, parts_for, small, table, unique
 from pinion.llm.linking import linked_components, signature_blobs, slices
 
 #: 25 bands of 6: a pair of similarity 0.8 is missed with probability 0.0005, one of 0.1 becomes a candidate with 0.00003.
@@ -26,6 +26,7 @@ WIDTH, PERCENT, BANDS, ROWS = 5, 80, 25, 6
 #: Per bin, the order in which it borrows from others; in one common order, the rows of a short line's band would all be one.
 PROBES = np.argsort(mix(np.arange((BANDS * ROWS) ** 2, dtype=U64)).reshape(BANDS * ROWS, -1), axis=1, kind="stable")
 PART_BYTES, SIGNATURE_BYTES = 16_000_000, 15
+NONE = np.uint32(0xFFFFFFFF)
 
 
 def normal(line: str) -> str:
@@ -53,27 +54,40 @@ def lines_of(ids: np.ndarray, texts: list) -> tuple[np.ndarray, list]:
 
 
 def minima(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS * ROWS) minima of the lines' shingles by one permutation."""
+    """(lines * BANDS * ROWS) minima of the lines' shingles by one permutation; NONE in bins that got no shingle."""
     bins, n = BANDS * ROWS, np.array([max(len(x), WIDTH) for x in lines], np.int64)
     c = np.frombuffer("".join([x.ljust(WIDTH) for x in lines]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
     b1, b2 = (U64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2))
-    h2 = c[:-1] * b1 + c[1:]
-    h4 = h2[:-2] * b2 + h2[2:]
-    h = mix(h4[:-1] * b1 + c[4:])
+    h2 = c[:-1] * b1
+    h2 += c[1:]
+    h4 = h2[:-2] * b2
+    h4 += h2[2:]
+    h = h4[:-1] * b1
+    h += c[4:]
+    h = mix(h)
+    bin_ = h >> U64(32)
+    bin_ *= U64(bins)
+    bin_ >>= U64(32)
     at = np.repeat(np.arange(len(lines)) * bins, n)[: len(h)]
-    at += (((h >> U64(32)) * U64(bins)) >> U64(32)).astype(np.int64)
+    at += bin_.view(np.int64)
     low = h.astype(np.uint32)
     ends = np.cumsum(n)[:-1]
-    low[(ends[:, None] - np.arange(1, WIDTH)).ravel()] = 0xFFFFFFFF  # what would reach over a line's end
-    out = np.full(len(lines) * bins, 0xFFFFFFFF, np.uint32)
+    low[(ends[:, None] - np.arange(1, WIDTH)).ravel()] = NONE  # what would reach over a line's end
+    out = np.full(len(lines) * bins, NONE, np.uint32)
     np.minimum.at(out, at, low)
-    empty, full, k = np.flatnonzero(out == 0xFFFFFFFF), out.copy(), 0
+    return out
+
+
+def borrowed(out: np.ndarray) -> np.ndarray:
+    """Minima with each empty bin's borrowed from the first full one in the bin's own order."""
+    bins = BANDS * ROWS
+    empty, full, k = np.flatnonzero(out == NONE), out.copy(), 0
     while len(empty) and k < bins:
         b = empty % bins
         found = full[empty - b + PROBES[b, k]]
         out[empty] = found
-        empty, k = empty[found == 0xFFFFFFFF], k + 1
-    return out.reshape(-1, bins)
+        empty, k = empty[found == NONE], k + 1
+    return out
 
 
 def line_sets(lines: list[str]) -> list[np.ndarray]:
@@ -104,7 +118,7 @@ def sign(lines: list[str]) -> tuple[np.ndarray, np.ndarray, None, None]:
     if not lines:
         return np.empty(0, np.int64), np.empty(0, U64), None, None
     parts = slices(lines, 150_000)  # small arrays stay in the processor's cache
-    m = np.concatenate([minima(lines[p]) for p in parts]).reshape(-1, BANDS, ROWS).astype(U64)
+    m = borrowed(np.concatenate([minima(lines[p]) for p in parts])).reshape(-1, BANDS, ROWS).astype(U64)
     sig = np.arange(BANDS, dtype=U64) + U64(1)
     for r in range(ROWS):
         sig = mix(sig * U64(0x9E3779B97F4A7C15) + m[:, :, r])
@@ -159,10 +173,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = seen.count()
     labels = line_components(rows.select("id", "text"), total)
     lines = seen.groupBy("line").agg(F.min(F.struct("id", "row", "pos")).alias("first"), F.count("*").alias("n"))
-    lines = lines.join(labels.withColumnRenamed("id", "line"), "line", "left").where("n > 1 OR component IS NOT NULL")
+    lines = lines.join(unique(labels.withColumnRenamed("id", "line")), "line", "left").where("n > 1 OR component IS NOT NULL")
     lines = cut(lines.select("line", F.coalesce("component", "line").alias("component"), "first", "n"))
     keep = lines.groupBy("component").agg(F.min("first").alias("keep"))
-    of = cut(lines.join(keep, "component").select("line", "n", "keep"))
+    of = cut(lines.join(unique(keep), "component").select("line", "n", "keep"))
     gone = join_hot(seen, of, "line", "n", total).where("row <> keep.row OR pos <> keep.pos")
     return gone.groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
@@ -178,7 +192,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rest = [c for c in docs.columns if c != "n_dropped"]
     drops = dropped_lines(docs.select(id_col, text_col), id_col, text_col).select(F.col("row").alias("__row"), F.col("drop").alias("__drop"))
     row = F.expr(ROW.format(id=f"`{id_col}`", text=f"`{text_col}`"))
-    rows = docs.select(*rest).withColumn("__key", row).join(drops, F.col("__key") == F.col("__row"), "left").drop("__row", "__key")
+    rows = docs.select(*rest).withColumn("__key", row).join(unique(drops), F.col("__key") == F.col("__row"), "left").drop("__row", "__key")
     at = rest.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
