@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-from contextlib import suppress
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from dataclasses import replace
 
 import numpy as np
@@ -20,6 +20,7 @@ from pinion.operators.ivf import assign, centroid_means
 from pinion.plans.filters import check, compile_filter, parse
 from pinion.plans.planner import HnswSearch, IvfSearch, SegmentCounts, VectorQuery, widened_probe
 from pinion.schema import BOOL, COSINE, HNSW, INNER_PRODUCT, INT64, IVF, L2, STRING, Doc, HnswParams, IvfParams, Options, ScalarField, Schema, VectorField
+from pinion.sources.files import Files
 
 QUERY_ID, K = 7, 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -350,6 +351,17 @@ def loaded(spark: SparkSession, d: str, metric: str = COSINE) -> tuple[Database,
     return db, c
 
 
+@contextmanager
+def scratch(spark: SparkSession, d: str, metric: str = COSINE) -> Iterator[Collection]:
+    """loaded(), and deleted when it has been used: for queries whose result reads no file of it."""
+    db, c = loaded(spark, d, metric)
+    try:
+        with c:
+            yield c
+    finally:
+        Files(spark, db.root).delete("")
+
+
 def live_rows(c: Collection) -> DataFrame:
     return c.live().select(F.col("id").cast("long").alias("vec_id"), F.col("f_lang").alias("lang"), F.col("f_n_chars").alias("n_chars"))
 
@@ -407,8 +419,7 @@ BAD_ROWS = {"id": "''", "f_pk": "'other'", "f_lang": "CAST(NULL AS STRING)", "f_
 @query("collection_bulk_checks", "SELECT * FROM (VALUES ('as is', true), " + ", ".join(f"('{k}', false)" for k in BAD_ROWS) + ") t(changed, accepted)")
 def collection_bulk_checks(spark: SparkSession, d: str) -> DataFrame:
     """Bulk upserts in which one row breaks a rule fail as a whole, and leave the collection as it is."""
-    _, c = loaded(spark, d)
-    with c:
+    with scratch(spark, d) as c:
         rows, before, out = doc_rows(spark, d), c.version, []
         for name, value in {"as is": "id", **BAD_ROWS}.items():
             column = "id" if name == "as is" else name.removesuffix("_nan")
@@ -423,8 +434,7 @@ def collection_bulk_checks(spark: SparkSession, d: str) -> DataFrame:
 @query("ivf_collection", knn_sql(DOCS_SQL, L2, "lang <> 'de' AND n_chars >= 100").replace("ORDER BY score DESC, vec_id", "ORDER BY score DESC, vec_id::varchar"))
 def ivf_collection(spark: SparkSession, d: str) -> DataFrame:
     """Trained lists per segment, probed with bounds, rows deleted since, and a filter: exact for L2."""
-    _, c = loaded(spark, d, L2)
-    with c:
+    with scratch(spark, d, L2) as c:
         c.create_index("embedding", IVF, IvfParams(8, 2, 3))
         c.delete_by_filter("lang = 'de'")
         return hits_of(spark, c, d, filter="n_chars >= 100", search=IvfSearch(2))
@@ -433,8 +443,7 @@ def ivf_collection(spark: SparkSession, d: str) -> DataFrame:
 @query("hnsw_collection", knn_sql(DOCS_SQL, INNER_PRODUCT, "lang <> 'de'").replace("ORDER BY score DESC, vec_id", "ORDER BY score DESC, vec_id::varchar"))
 def hnsw_collection(spark: SparkSession, d: str) -> DataFrame:
     """Stored graphs per segment, searched with a breadth of a segment's size; deleted rows lead on but are not found."""
-    _, c = loaded(spark, d, INNER_PRODUCT)
-    with c:
+    with scratch(spark, d, INNER_PRODUCT) as c:
         c.create_index("embedding", HNSW, HnswParams(ef_construction=32))
         c.delete_by_filter("lang = 'de'")
         return hits_of(spark, c, d, search=HnswSearch(128))
@@ -443,8 +452,7 @@ def hnsw_collection(spark: SparkSession, d: str) -> DataFrame:
 @query("collection_lifecycle", f"SELECT vec_id, {DUCK[COSINE]} AS score FROM {DOCS_SQL} WHERE lang <> 'de' AND n_chars >= 100 ORDER BY score DESC, vec_id::varchar LIMIT {K}")
 def collection_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """Through the collection API: bulk load, delete by filter, column added and renamed, compaction, filtered query."""
-    _, c = loaded(spark, d)
-    with c:
+    with scratch(spark, d) as c:
         c.delete_by_filter("lang = 'de'")
         c.add_column(ScalarField("seen", BOOL, default=False))
         c.rename_column("n_chars", "length")
