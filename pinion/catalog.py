@@ -16,7 +16,7 @@ from pinion.collection import Collection, Database, recut, segment_meta
 from pinion.functions.metrics import cosine, dot, l2_norm, score, squared_l2
 from pinion.operators.flat import exact_top_k, merge_top_k, top_k_per
 from pinion.operators.hnsw import Graph
-from pinion.operators.ivf import assign, centroid_means
+from pinion.operators.ivf import assign, build_lists, centroid_means
 from pinion.plans.filters import check, compile_filter, parse
 from pinion.plans.planner import HnswSearch, IvfSearch, SegmentCounts, VectorQuery, widened_probe
 from pinion.schema import BOOL, COSINE, HNSW, INNER_PRODUCT, INT64, IVF, L2, STRING, Doc, HnswParams, IvfParams, Options, ScalarField, Schema, VectorField
@@ -265,14 +265,14 @@ def ivf_probe(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ivf_residual_bound", f"SELECT list, round(max(list_distance(embedding::double[], centroid)), 6) AS bound FROM embeddings JOIN {CENTROIDS_SQL} ON label = list GROUP BY list")
 def ivf_residual_bound(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").join(F.broadcast(centroids(spark, d)), F.col("label") == F.col("list"))
+    rows = table(spark, d, "embeddings").join(centroids(spark, d), F.col("label") == F.col("list"))
     return rows.groupBy("list").agg(F.round(F.max(F.sqrt(squared_l2(F.col("embedding"), F.col("centroid")))), 6).alias("bound"))
 
 
 def bounded_ivf(spark: SparkSession, d: str, metric: str, probes: int = 2) -> DataFrame:
     """Two passes: the k-th score of the probed lists, then every list whose bound reaches it. Exact for L2 and inner product."""
     rows, q = with_query(table(spark, d, "embeddings"), spark, d), F.col("qv")
-    stats = rows.join(F.broadcast(centroids(spark, d)), F.col("label") == F.col("list"))
+    stats = rows.join(centroids(spark, d), F.col("label") == F.col("list"))
     residual = F.max(F.sqrt(squared_l2(F.col("embedding"), F.col("centroid"))))
     lists = stats.groupBy("list").agg(F.first("centroid").alias("centroid"), residual.alias("residual"))
     lists = with_query(lists, spark, d)
@@ -286,13 +286,40 @@ def bounded_ivf(spark: SparkSession, d: str, metric: str, probes: int = 2) -> Da
     first = scored.join(F.broadcast(lists.where(F.col("rank") <= probes)), F.col("label") == F.col("list"), "left_semi")
     cut = first.orderBy(F.desc("score")).limit(K).agg(F.min("score").alias("cut"), F.count("*").alias("n"))
     wanted = lists.crossJoin(F.broadcast(cut)).where(f"rank <= {probes} OR n < {K} OR bound >= cut")
-    hits = scored.join(F.broadcast(wanted.select(F.col("list").alias("label"))), "label", "left_semi")
+    hits = scored.join(wanted.select(F.col("list").alias("label")), "label", "left_semi")
     return hits.orderBy(F.desc("score"), "vec_id").limit(K).select("vec_id", "score")
 
 
 for _name, _metric in (("ivf_exact_l2", L2), ("ivf_exact_ip", INNER_PRODUCT)):
     query(_name, knn_sql("embeddings", _metric))(lambda s, d, m=_metric: bounded_ivf(s, d, m))
 
+def mean_sql(rows: str, by: str) -> str:
+    """(by..., m): means of the vectors e of rows."""
+    return f"SELECT {by}, list(a ORDER BY pos) AS m FROM (SELECT {by}, pos, avg(x) AS a FROM (SELECT {by}, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM {rows}) GROUP BY {by}, pos) GROUP BY {by}"
+
+
+def assigned_sql(centroids: str) -> str:
+    return f"SELECT segment_id, vec_id, e, list FROM v JOIN {centroids} USING (segment_id) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(e, m), list) = 1"
+
+
+@query(
+    "ivf_train",
+    f"""WITH v AS MATERIALIZED (SELECT segment_id, vec_id, embedding::double[] AS e FROM {SEGMENTS_SQL}), mean AS ({mean_sql("v", "segment_id")}),
+    s0 AS MATERIALIZED (SELECT segment_id, vec_id, e AS m FROM v JOIN mean USING (segment_id) QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY list_distance(v.e, mean.m) DESC, vec_id) = 1),
+    b0 AS MATERIALIZED (SELECT v.*, list_distance(v.e, s0.m) AS far FROM v JOIN s0 USING (segment_id)),
+    s1 AS MATERIALIZED (SELECT segment_id, vec_id, e AS m FROM b0 WHERE vec_id NOT IN (SELECT vec_id FROM s0) QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY far DESC, vec_id) = 1),
+    b1 AS MATERIALIZED (SELECT b0.* REPLACE (least(far, list_distance(b0.e, s1.m)) AS far) FROM b0 JOIN s1 USING (segment_id)),
+    s2 AS MATERIALIZED (SELECT segment_id, vec_id, e AS m FROM b1 WHERE vec_id NOT IN (SELECT vec_id FROM s0 UNION SELECT vec_id FROM s1) QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY far DESC, vec_id) = 1),
+    c0 AS MATERIALIZED (SELECT segment_id, 0 AS list, m FROM s0 UNION ALL SELECT segment_id, 1, m FROM s1 UNION ALL SELECT segment_id, 2, m FROM s2),
+    a0 AS MATERIALIZED ({assigned_sql("c0")}), c1 AS MATERIALIZED ({mean_sql("a0", "segment_id, list")}), a1 AS ({assigned_sql("c1")})
+    SELECT segment_id, vec_id, list FROM a1""",
+)
+def ivf_train(spark: SparkSession, d: str) -> DataFrame:
+    """Seeding by the farthest row and two rounds of Lloyd's algorithm, in every segment: each row's list."""
+    rows = segments(spark, d).select("segment_id", F.col("vec_id").alias("_doc_id"), F.col("embedding").alias("vector"))
+    return build_lists(rows, L2, IvfParams(3, 1, 2)).select("segment_id", F.col("_doc_id").alias("vec_id"), "list")
+
+
 BUDGETS = [(8, 64, 10, 10, 100, 100, 100, 100, False), (8, 64, 10, 80, 100, 100, 80, 40, True), (2, 8, 10, 10, 100, 100, 100, 100, True), (2, 8, 10, 4, 100, 100, 100, 0, True), (2, 8, 1, 4, 10, 10, 10, 5, True), (2, 8, 2, 3, 10, 10, 10, 10, True)]
 
 
