@@ -408,10 +408,10 @@ class Collection:
 
         def search_graph(left, right):
             left = left.sort_values("_doc_id")
-            ids, up = left["_doc_id"].to_numpy(), left["_live"].fillna(False).astype(bool).to_numpy()
+            ids, up = left["_doc_id"].to_numpy(), left["_live"].eq(True).to_numpy()
             if not up.any():
                 return left[["_doc_id"]].iloc[:0]
-            c = SegmentCounts(len(left), len(left), int(up.sum()), int((up & left["_allowed"].fillna(False).astype(bool).to_numpy()).sum()))
+            c = SegmentCounts(len(left), len(left), int(up.sum()), int((up & left["_allowed"].eq(True).to_numpy()).sum()))
             g = hnsw.Graph(metric, np.stack(left["vector"].to_list()), ids, params)
             at = {int(d): i for i, d in enumerate(ids)}
             for level, a, b in zip(right["level"], right["a"], right["b"], strict=True):
