@@ -39,18 +39,20 @@ def normals(text: str | None) -> list[str]:
     return [" ".join(x.split()) for x in text.lower().split("\n")] if text else []
 
 
-def line_id(norm: str) -> int:
-    return xxhash.xxh3_64_intdigest(norm.encode("utf-8", "surrogatepass")) - (1 << 63)
+def line_ids(lines: list[str]) -> np.ndarray:
+    """64 bits, as signed numbers, that name lines."""
+    try:
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), U64, len(lines))
+    except UnicodeEncodeError:  # lone surrogates
+        h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), U64, len(lines))
+    return (h ^ U64(1 << 63)).view(np.int64)
 
 
 def lines_of(ids: np.ndarray, texts: list) -> tuple[np.ndarray, list]:
     """The distinct lines of some texts, with their ids."""
-    found = {}
-    for t in texts:
-        for n in normals(t):
-            if n:
-                found[line_id(n)] = n
-    return np.fromiter(found.keys(), np.int64, len(found)), list(found.values())
+    lines = list(dict.fromkeys(n for t in texts for n in normals(t)))
+    lines = [n for n in lines if n]
+    return line_ids(lines), lines
 
 
 def minima(lines: list[str]) -> np.ndarray:
@@ -134,15 +136,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            of, pos, line = [], [], []
-            for i, t in enumerate(batch.column(2).to_pylist()):
-                for p, n in enumerate(normals(t)):
-                    if n:
-                        of.append(i)
-                        pos.append(p)
-                        line.append(line_id(n))
-            at = pa.array(of, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(line, pa.int64())], names=["id", "row", "pos", "line"])
+            texts = [normals(t) for t in batch.column(2).to_pylist()]
+            size, lines = np.array([len(t) for t in texts], np.int64), [n for t in texts for n in t]
+            full = np.fromiter(map(bool, lines), bool, len(lines))
+            of = np.repeat(np.arange(len(texts)), size)
+            pos = np.arange(len(lines)) - np.repeat(np.cumsum(size) - size, size)
+            at = pa.array(of[full])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos[full].astype(np.int32)), pa.array(line_ids(lines)[full])], names=["id", "row", "pos", "line"])
 
     return docs.mapInArrow(run, "id long, row long, pos int, line long")
 
