@@ -7,8 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pinion.llm import common, linking
 from pinion.llm.bloom import Bloom, fill
-from pinion.llm.common import char_shingle_set, shingle_set, words
+from pinion.llm.common import char_shingle_set, join_hot, shingle_set, words
 from pinion.llm.components import components
 from pinion.llm.linking import UPPER, block_links, each, signature_blobs
 from pinion.llm.op02_ngram_jaccard import Bands, ngram_jaccard_join, signatures
@@ -156,6 +157,24 @@ def test_components(spark, finish):
     assert components(spark.createDataFrame([], "src long, dst long"), finish).count() == 0
 
 
+def test_hot_keys_are_joined_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(300)] + [(99, 1000)], "k long, v long")
+    values = rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 99").withColumn("w", F.col("k") * 10)
+    got = sorted(tuple(r) for r in join_hot(rows, values, "k", "n", 301).select("k", "v", "w").collect())
+    assert got == sorted((k, i, 10 * k) for k, i in ((i % 7 if i % 3 else 0, i) for i in range(300)))
+
+
+def test_verification_deals_a_large_centre_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(linking, "VERIFIED", 3)
+    texts = [f"a b c d e f w{i}" for i in range(12)]
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 12)] + [(1, 2)], "center long, member long").coalesce(1)
+    found = linking.verified(pairs, spark.createDataFrame(list(enumerate(texts)), "id long, text string"), each(shingle_set))
+    got = {(r["center"], r["member"]): (r["inter"], r["union"]) for r in found.collect()}
+    one = [shingle_set(t) for t in texts]
+    assert got == {(a, b): (len(np.intersect1d(one[a], one[b])), len(np.union1d(one[a], one[b]))) for a, b in [(0, i) for i in range(1, 12)] + [(1, 2)]}
+
+
 def test_bloom(spark):
     rng = np.random.default_rng(0)
     inside, outside = rng.integers(0, 2**63, (2, 3000), dtype=np.uint64)
