@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 from collections.abc import Iterator
@@ -64,11 +65,22 @@ def local_copy(name: str) -> str:
     return os.path.join(SparkFiles.getRootDirectory(), name)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives memory that is free in this process back to the machine: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Batches in pieces of so many rows, so that few texts are Python objects at a time."""
     for batch in batches:
         for at in range(0, max(1, len(batch)), rows):
             yield batch.slice(at, rows)
+    release()
 
 
 #: Rows of one key from which a join treats it as hot, and the share of all rows from which it does.

@@ -35,7 +35,7 @@ class TextIds:
     def __init__(self, vocabulary: str):
         v = self.vocabulary = Vocabulary(vocabulary)
         tokenize = v.library.model.tokenize
-        self.known = Known(lambda chunk: array("I", [t.id for w in v.split(chunk) for t in tokenize(v.level(w))]).tobytes(), 400_000)
+        self.known = Known(lambda chunk: array("I", [t.id for w in v.split(chunk) for t in tokenize(v.level(w))]).tobytes(), 150_000)
 
     def encode(self, text: str | None) -> bytes:
         """All ids as little-endian unsigned 32-bit integers; null is empty."""
