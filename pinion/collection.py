@@ -28,8 +28,8 @@ from pinion.functions.metrics import literal, score, scores
 from pinion.operators import hnsw, ivf
 from pinion.operators.flat import exact_top_k
 from pinion.plans.filters import check, compile_filter, conjunction, parse
-from pinion.plans.planner import REQUESTED, QueryPlan, SegmentCounts, VectorQuery, ann_candidates, plan, widened_ef, widened_probe
-from pinion.schema import COLLECTION_NAME, COSINE, FLAT, FLOAT64, HNSW, INT64, IVF, MISSING, READ_ONLY, SPARK_TYPES, STRING, Doc, Options, ScalarField, Schema, check_doc, check_field, check_vector, with_defaults
+from pinion.plans.planner import QueryPlan, SegmentCounts, VectorQuery, ann_candidates, plan, widened_ef, widened_probe
+from pinion.schema import COLLECTION_NAME, COSINE, FLAT, FLOAT64, HNSW, IVF, MISSING, READ_ONLY, SPARK_TYPES, STRING, Doc, Options, ScalarField, Schema, check_doc, check_field, with_defaults
 from pinion.sources.files import Files
 
 _open: set[str] = set()
