@@ -25,8 +25,15 @@ from pinion.llm.linking import linked_components, signature_blobs, slices
 WIDTH, PERCENT, BANDS, ROWS = 5, 80, 25, 6
 #: Per bin, the order in which it borrows from others; in one common order, the rows of a short line's band would all be one.
 PROBES = np.argsort(mix(np.arange((BANDS * ROWS) ** 2, dtype=U64)).reshape(BANDS * ROWS, -1), axis=1, kind="stable")
+#: Per bin, its place in the order of each other bin.
+PLACES = np.ascontiguousarray(np.argsort(PROBES, axis=1).T.astype(np.min_scalar_type(BANDS * ROWS)))
+#: Lines with so many full bins at most borrow in one pass over these; others find a full bin after a few probes.
+FEW = 32
 PART_BYTES, SIGNATURE_BYTES = 16_000_000, 15
 NONE = np.uint32(0xFFFFFFFF)
+#: White space other than the blank and \n: of ASCII, and all of it.
+ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+ODD_ASCII = [c for c in ODD if c.isascii()]
 
 
 def normal(line: str) -> str:
@@ -35,8 +42,16 @@ def normal(line: str) -> str:
 
 
 def normals(text: str | None) -> list[str]:
-    """normal() of each line of a text."""
-    return [" ".join(x.split()) for x in text.lower().split("\n")] if text else []
+    """normal() of each line of a text. Lines are split into words only where there is other than single blanks between these."""
+    if not text:
+        return []
+    text = text.lower()
+    lines = text.split("\n")
+    if "  " in text or any(map(text.__contains__, ODD_ASCII if text.isascii() else ODD)):
+        return [" ".join(x.split()) for x in lines]
+    if text[0] == " " or text[-1] == " " or " \n" in text or "\n " in text:
+        return [x.strip(" ") for x in lines]
+    return lines
 
 
 def line_ids(lines: list[str]) -> np.ndarray:
@@ -83,6 +98,7 @@ def minima(lines: list[str]) -> np.ndarray:
 def borrowed(out: np.ndarray) -> np.ndarray:
     """Minima with each empty bin's borrowed from the first full one in the bin's own order."""
     bins = BANDS * ROWS
+    borrow_from_few(out.reshape(-1, bins))
     empty, full, k = np.flatnonzero(out == NONE), out.copy(), 0
     while len(empty) and k < bins:
         b = empty % bins
@@ -92,6 +108,25 @@ def borrowed(out: np.ndarray) -> np.ndarray:
     return out
 
 
+def borrow_from_few(rows: np.ndarray) -> None:
+    """Fills the empty bins of rows with FEW full bins at most, in place: of these, the one that comes first in a bin's order."""
+    bins, full = rows.shape[1], rows != NONE
+    n = np.count_nonzero(full, axis=1)
+    few = np.flatnonzero((n > 0) & (n <= FEW))
+    if not len(few):
+        return
+    few = few[np.argsort(-n[few], kind="stable")]
+    n, own = n[few], full[few]
+    at, start = np.nonzero(own)[1], np.cumsum(n) - n
+    best = PLACES[at[start]]
+    for j in range(1, n[0]):
+        k = np.searchsorted(-n, -j)  # rows with more than j
+        np.minimum(best[:k], PLACES[at[start[:k] + j]], out=best[:k])
+    bin_ = np.arange(bins)
+    source = np.where(own, bin_, PROBES[bin_, best])
+    rows[few] = rows[few[:, None], source]
+
+
 def line_sets(lines: list[str]) -> list[np.ndarray]:
     """Sorted distinct hashes of each line's shingles; a line shorter than those is one, of its own kind."""
     return [s for p in slices(lines, 150_000) for s in short_line_sets(lines[p])]
@@ -120,7 +155,7 @@ def sign(lines: list[str]) -> tuple[np.ndarray, np.ndarray, None, None]:
     if not lines:
         return np.empty(0, np.int64), np.empty(0, U64), None, None
     parts = slices(lines, 150_000)  # small arrays stay in the processor's cache
-    m = borrowed(np.concatenate([minima(lines[p]) for p in parts])).reshape(-1, BANDS, ROWS).astype(U64)
+    m = np.concatenate([borrowed(minima(lines[p])) for p in parts]).reshape(-1, BANDS, ROWS).astype(U64)
     sig = np.arange(BANDS, dtype=U64) + U64(1)
     for r in range(ROWS):
         sig = mix(sig * U64(0x9E3779B97F4A7C15) + m[:, :, r])
