@@ -20,6 +20,8 @@ _PLAIN = {*range(0x1C), *range(0x20, 0x0250), *range(0x2010, 0x2028), 0x20AC}
 _PLAIN = sorted(c for c in _PLAIN if {*map(ord, chr(c).lower())} <= _PLAIN)
 _SPACE = set(map(chr, (*range(9, 14), 32, 0x85, 0xA0)))
 MAGIC = b"LEXA"
+#: Leading bytes of a word that are looked up at once.
+HEAD = 4
 
 
 def _classes() -> tuple[str, str, str]:
@@ -54,8 +56,7 @@ class Vocabulary:
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("unk_token"):
             raise ValueError("only byte-level BPE models without unknown token are supported")
         self.vocab: dict[str, int] = model["vocab"]
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {p: i for i, p in enumerate(pairs)}
+        self.pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
@@ -72,23 +73,50 @@ class Vocabulary:
 
         return Tokenizer.from_file(self.path)
 
+    @cached_property
+    def symbols(self) -> tuple[dict[str, int], list[int], list[int], list[int | None], list[dict[int, int]]]:
+        """Numbers of the parts of words; those of each byte within a word and at its end; per part its id, if any, and its merges
+        with what may follow: rank << 32 | the whole's number. Characters that are no part have the number after the last."""
+        ends = [c + self.end for c in self.bytes]
+        names = list(dict.fromkeys([*self.bytes, *ends, *self.vocab, *(x for a, b in self.pairs for x in (a, b, a + b))]))
+        number, none = {x: i for i, x in enumerate(names)}, {}
+        after: list[dict[int, int]] = [none] * (len(names) + 1)
+        for rank, (a, b) in enumerate(self.pairs):
+            left = number[a]
+            if after[left] is none:
+                after[left] = {}
+            after[left][number[b]] = rank << 32 | number[a + b]
+        return number, [number[c] for c in self.bytes], [number[c] for c in ends], [*map(self.vocab.get, names), None], after
+
     def merge(self, word: str) -> list[int]:
         """Ids of one byte-level word: always the pair of least rank, leftmost first."""
-        parts = list(word)
-        if not parts:
+        if not word:
+            return []
+        number, other = self.symbols[0].get, len(self.symbols[0])
+        return self._merged([*[number(c, other) for c in word[:-1]], number(word[-1] + self.end, other)])
+
+    def merge_bytes(self, word: bytes) -> list[int]:
+        """merge() of the word that stands for these bytes."""
+        if not word:
             return []
-        parts[-1] += self.end
-        rank, none = self.ranks.get, 1 << 60
-        ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        _, inner, last, _, _ = self.symbols
+        parts = [inner[b] for b in word]
+        parts[-1] = last[word[-1]]
+        return self._merged(parts)
+
+    def _merged(self, parts: list[int]) -> list[int]:
+        _, _, _, ids, after = self.symbols
+        none = 1 << 62
+        ranks = [after[a].get(b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks and (best := min(ranks)) < none:
             at = ranks.index(best)
-            parts[at] += parts.pop(at + 1)
-            del ranks[at]
+            parts[at] = whole = best & 0xFFFFFFFF
+            del parts[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = rank((parts[at - 1], parts[at]), none)
+                ranks[at - 1] = after[parts[at - 1]].get(whole, none)
             if at < len(ranks):
-                ranks[at] = rank((parts[at], parts[at + 1]), none)
-        return [self.vocab[p] for p in parts if p in self.vocab]
+                ranks[at] = after[whole].get(parts[at + 1], none)
+        return [i for p in parts if (i := ids[p]) is not None]
 
     def level(self, word: str) -> str:
         return "".join([self.bytes[b] for b in word.encode("utf-8")])
@@ -132,6 +160,7 @@ class Lexicon:
         at += 4 * ids
         self.final = view[at : at + states]
         self.labels_at, self.data = at + states, data
+        self.heads: dict[bytes, tuple[int, int]] = {}  # where HEAD bytes lead; only those with which some word begins
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
@@ -140,15 +169,18 @@ class Lexicon:
 
     def find(self, word: bytes) -> bytes | None:
         """The ids as little-endian unsigned 32-bit integers."""
-        state = number = 0
         first, target, skip, base, find = self.first, self.target, self.skip, self.labels_at, self.data.find
-        for i in range(len(word)):
+        known = self.heads.get(head := word[:HEAD])
+        state, number = known or (0, 0)
+        for i in range(HEAD if known else 0, len(word)):
             arc = find(word[i : i + 1], base + first[state], base + first[state + 1])
             if arc < 0:
                 return None
             arc -= base
             number += skip[arc]
             state = target[arc]
+            if i == HEAD - 1:
+                self.heads[head] = state, number
         if not self.final[state]:
             return None
         return bytes(self.ids[4 * self.offset[number] : 4 * self.offset[number + 1]])
@@ -250,12 +282,13 @@ class Encoder:
         v = self.vocabulary
         raw = word.encode("utf-8", "surrogateescape")
         ids = self.lexicon.find(raw) if self.lexicon else None
-        if ids is None:
-            ids = array("I", v.merge("".join([v.bytes[b] for b in raw]))).tobytes()
-        return ids, " ".join([v.tokens[i] for i in array("I", ids)])
+        ids = array("I", v.merge_bytes(raw) if ids is None else ids)
+        return ids.tobytes(), " ".join([v.tokens[i] for i in ids])
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
         """The same for what stands between white space: its pieces depend on nothing around it."""
+        if chunk.isalpha():  # one piece
+            return self.words[chunk]
         found = [self.words[w] for w in self.vocabulary.split(chunk)]
         if len(found) == 1:
             return found[0]
@@ -270,8 +303,7 @@ class Encoder:
             if special is not None:
                 found.append((struct.pack("<I", special), part))
             elif self.vocabulary.plain(part):
-                known = self.known
-                found += [known[c] for c in part.lower().split()]
+                found += map(self.known.__getitem__, part.lower().split())
             else:
                 found += [self.word(w) for w in self.vocabulary.words(part)]
         return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])

@@ -51,8 +51,8 @@ def word_counts(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Dat
 
         def flush() -> pa.RecordBatch:
             for chunk, n in chunks.items():
-                for w in v.split(chunk):
-                    seen[w] += n
+                for w in (chunk,) if chunk.isalpha() else v.split(chunk):
+                    seen[w] = seen.get(w, 0) + n
             keys = [w.encode("utf-8", "surrogateescape") for w in seen]
             out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
             chunks.clear()
@@ -92,7 +92,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, text_col: str = "text", mos
 def build_lexicon(spark: SparkSession, words: list[bytes], vocabulary: str) -> str:
     """Compiles and ships the automaton; returns its name."""
     v = Vocabulary(vocabulary)
-    return publish(spark, compile_lexicon({w: v.merge("".join([v.bytes[b] for b in w])) for w in words}), "lexicon")
+    return publish(spark, compile_lexicon({w: v.merge_bytes(w) for w in words}), "lexicon")
 
 
 def encode_column(docs: DataFrame, vocabulary: str, lexicon: str | None, text_col: str = "text") -> DataFrame:

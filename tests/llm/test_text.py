@@ -170,6 +170,40 @@ def test_encoder_equals_the_library(library):
     assert [list(array("I", raw.encode(t))) for t in [None, *texts]] == [[], *(library.encode(t, add_special_tokens=False).ids for t in texts)]
 
 
+def test_rare_words_are_merged_on_numbers():
+    """As pair by pair on strings, and in three quarters of that time at most."""
+    v = Vocabulary(default_vocabulary())
+    ranks = {p: i for i, p in enumerate(v.pairs)}
+
+    def merged(word):
+        parts, rank, none = list(word), ranks.get, 1 << 60
+        parts[-1] += v.end
+        found = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while found and (best := min(found)) < none:
+            at = found.index(best)
+            parts[at] += parts.pop(at + 1)
+            del found[at]
+            if at:
+                found[at - 1] = rank((parts[at - 1], parts[at]), none)
+            if at < len(found):
+                found[at] = rank((parts[at], parts[at + 1]), none)
+        return [v.vocab[p] for p in parts if p in v.vocab]
+
+    rng = random.Random(5)
+    bits = ["the", "ou", "aa", "a", "ing", "ciones", "un", "ß", "é", "9", "!", "中", "'", "keit", "ll"]
+    words = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 8))).encode() for _ in range(30_000)] + [bytes([b]) for b in range(256)]
+    levels = ["".join([v.bytes[b] for b in w]) for w in words]
+    v.merge_bytes(b"a")
+    took = {}
+    for name, f, given in (("strings", merged, levels), ("numbers", v.merge_bytes, words)) * 2:
+        start = time.process_time()
+        out = [f(w) for w in given]
+        took[name] = min(time.process_time() - start, took.get(name, (9e9,))[0]), out
+    assert took["numbers"][1] == took["strings"][1] == [v.merge(w) for w in levels]
+    assert v.merge("") == v.merge_bytes(b"") == [] and v.merge("\n") == merged("\n") == []
+    assert took["numbers"][0] < 0.75 * took["strings"][0], [x[0] for x in took.values()]
+
+
 def test_lexicon_is_minimal_and_exact():
     words = {w.encode(): [i, i + 1][: 1 + i % 2] for i, w in enumerate(["tap", "taps", "top", "tops", "stop", "", "stops"])}
     data = compile_lexicon(words)
