@@ -5,7 +5,7 @@ its parts; the parts are split into blocks of BLOCK_DIMS. If every block differe
 the whole would differ by more than t: so linked vectors lie within the share of some block. Each block is range-joined:
 its first GRID_DIMS coordinates make grid cells, a vector is at home in one cell and visits all that its radius touches (on
 evenly spread vectors, more dimensions prune little and send each vector to more cells).
-Within a cell candidates are found by the block's distance and verified exactly; a link found in several blocks counts in
+Within a cell, boxes around ever fewer homes rule out visitors; what is left is tested by the block's distance and verified exactly; a link found in several blocks counts in
 the first. Cells emit sums and a spanning forest of their links, never all pairs. Large cells are split into chunks of
 homes and of visitors, and equal vectors are one.
 """
@@ -26,7 +26,9 @@ from pinion.llm.vectors import all_vectors, matrix, unit
 COSINE, BLOCK_DIMS, GRID_DIMS, CELL = 0.95, 16, 1, 3.2
 #: Homes and visitors of one task, at most about.
 HOMES, VISITORS = 32_768, 65_536
-TILE = 2048
+TILE = 8192
+#: Homes that are tested side by side, and what single precision may add to a squared distance.
+LEAF, SLACK = 128, 1e-5
 
 
 def rotation(d: int) -> np.ndarray:
@@ -88,6 +90,30 @@ def spread(distinct: DataFrame, cosine: float, with_vectors: bool) -> DataFrame:
     return distinct.select("id", "n", "vec").mapInArrow(run, "d int, k int, cell long, " + ("home boolean, id long, n long, vec " + distinct.schema["vec"].dataType.simpleString() if with_vectors else "homes long, visitors long"))
 
 
+def near(part: np.ndarray, homes: np.ndarray, visitors: np.ndarray, most: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Few homes at a time with the visitors that may lie within the squared distance `most` of one of them.
+
+    Homes are split at the median of the dimension in which they spread most; a visitor that is further from the box around
+    homes than that is near none of them, and is not looked at below.
+    """
+    todo = [(homes, visitors)] if len(homes) else []
+    while todo:
+        hs, vs = todo.pop()
+        own = part[hs]
+        low, high = own.min(0), own.max(0)
+        x = part[vs]
+        x -= np.clip(x, low, high)
+        vs = vs[np.einsum("ij,ij->i", x, x) <= most]
+        if not len(vs):
+            continue
+        if len(hs) <= LEAF:
+            yield hs, vs
+            continue
+        half = len(hs) // 2
+        by = np.argpartition(own[:, np.argmax(own.var(0))], half)
+        todo += [(hs[by[:half]], vs), (hs[by[half:]], vs)]
+
+
 def cell_links(t: pa.Table, cosine: float) -> pa.Table:
     """Of one chunk of a cell: (a, b, edge) with the copies linked to each home, and the edges of a spanning forest."""
     d, k = t.column("d")[0].as_py(), t.column("k")[0].as_py()
@@ -97,7 +123,7 @@ def cell_links(t: pa.Table, cosine: float) -> pa.Table:
     y = np.einsum("ij,jk->ik", x, b.rotation)
     lo, hi = b.spans[k]
     h, v = np.flatnonzero(as_home), np.flatnonzero(as_visitor)
-    total = np.zeros(len(h), np.int64)
+    total, place = np.zeros(len(h), np.int64), np.cumsum(as_home) - 1
     root = np.arange(len(t))  # a union-find over the rows of this chunk
     edges: list[tuple[int, int]] = []
 
@@ -108,16 +134,12 @@ def cell_links(t: pa.Table, cosine: float) -> pa.Table:
         return i
 
     part = y[:, lo:hi].astype(np.float32)
-    size = np.einsum("ij,ij->i", part, part)
-    for s in range(0, len(h), TILE):
-        hs = h[s : s + TILE]
-        for w in range(0, len(v), 4 * TILE):
-            vs = v[w : w + 4 * TILE]
-            near = part[hs] @ part[vs].T
-            near *= -2
-            near += size[hs][:, None]
-            near += size[vs]
-            i, j = np.divmod(np.flatnonzero(near.ravel() <= b.budget[k] + 2e-6), len(vs))
+    size, one = np.einsum("ij,ij->i", part, part)[:, None], np.ones((len(part), 1), np.float32)
+    left, right = np.hstack([-2 * part, size, one]), np.hstack([part, one, size])  # a row of each gives the squared distance
+    for hs, near_by in near(part, h, v, b.budget[k] + SLACK):
+        for w in range(0, len(near_by), TILE):
+            vs = near_by[w : w + TILE]
+            i, j = np.divmod(np.flatnonzero((left[hs] @ right[vs].T).ravel() <= b.budget[k] + SLACK), len(vs))
             for z in range(0, len(i), 200_000):
                 p, q = hs[i[z : z + 200_000]], vs[j[z : z + 200_000]]
                 ok = (np.einsum("ij,ij->i", x[p], x[q]) >= cosine) & (ids[p] != ids[q])
@@ -128,7 +150,7 @@ def cell_links(t: pa.Table, cosine: float) -> pa.Table:
                     first, last = b.spans[e]
                     mine &= diff[:, first:last].sum(1) > b.budget[e]
                 p, q, own = p[mine], q[mine], own[mine]
-                total[s : s + TILE] += np.bincount(own, n[q], len(hs)).astype(np.int64)
+                total[place[hs]] += np.bincount(own, n[q], len(hs)).astype(np.int64)
                 for u, o in zip(p.tolist(), q.tolist(), strict=True):
                     if root[u] != root[o] and (ru := find(u)) != (ro := find(o)):
                         root[ru] = ro

@@ -15,7 +15,7 @@ from pinion.llm.components import components
 from pinion.llm.linking import UPPER, block_links, each, signature_blobs
 from pinion.llm.op02_ngram_jaccard import Bands, ngram_jaccard_join, signatures
 from pinion.llm.op02_ngram_jaccard import sign as sign_documents
-from pinion.llm.op03_embedding_dedup import Blocks, embedding_dedup
+from pinion.llm.op03_embedding_dedup import LEAF, Blocks, embedding_dedup, near
 from pinion.llm.op04_ann_forest import Forest, ann_search
 from pinion.llm.op06_line_dedup import NONE, ODD, PROBES, WIDTH, borrowed, line_dedup, line_sets, minima, normal, normals, sign
 
@@ -373,6 +373,22 @@ def odd_vectors(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, kept string")
 
 
+def test_boxes_rule_out_most_pairs_of_a_block_and_no_near_one():
+    b = Blocks(64, 0.95)
+    y = b.rotated(np.random.default_rng(3).normal(size=(8192, 64)))[:, : b.spans[0][1]].astype(np.float32)
+    y[1::4] = y[::4] + np.float32(0.02)  # pairs that are near
+    homes, visitors, most = np.arange(0, 8192, 2), np.arange(8192), b.budget[0]
+    tested, found = 0, set()
+    for hs, vs in near(y, homes, visitors, most):
+        assert len(hs) <= LEAF
+        tested += len(hs) * len(vs)
+        found |= {(int(h), int(v)) for h in hs for v in vs[((y[vs] - y[h]) ** 2).sum(1) <= most]}
+    assert tested < 0.5 * len(homes) * len(visitors)
+    assert found == {(int(h), int(v)) for h in homes for v in np.flatnonzero(((y - y[h]) ** 2).sum(1) <= most)}
+    assert len(found) > 3 * len(homes) // 2 - 1
+    assert not list(near(y, homes[:0], visitors, most)) and not list(near(y, homes, visitors[:0], most))
+
+
 def test_embedding_dedup_odd_inputs(spark):
     got = {r["vec_id"]: tuple(r)[1:] for r in embedding_dedup(odd_vectors(spark)).collect()}
     alone = {i: (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)}
