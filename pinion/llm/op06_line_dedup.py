@@ -70,28 +70,35 @@ def lines_of(ids: np.ndarray, texts: list) -> tuple[np.ndarray, list]:
     return line_ids(lines), lines
 
 
-def minima(lines: list[str]) -> np.ndarray:
-    """(lines * BANDS * ROWS) minima of the lines' shingles by one permutation; NONE in bins that got no shingle."""
-    bins, n = BANDS * ROWS, np.array([max(len(x), WIDTH) for x in lines], np.int64)
-    c = np.frombuffer("".join([x.ljust(WIDTH) for x in lines]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
-    b1, b2 = (U64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2))
+def hashes32(text: str) -> np.ndarray:
+    """32 bits for each shingle of a text: the leading ones select a bin, and all of them the order within it."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    b1, b2 = (np.uint32(pow(0x9E3779B1, k, 1 << 32)) for k in (1, 2))
     h2 = c[:-1] * b1
     h2 += c[1:]
     h4 = h2[:-2] * b2
     h4 += h2[2:]
     h = h4[:-1] * b1
     h += c[4:]
-    h = mix(h)
-    bin_ = h >> U64(32)
-    bin_ *= U64(bins)
-    bin_ >>= U64(32)
+    t = h >> np.uint32(16)
+    for by, factor in ((15, 0x21F0AAAD), (15, 0x735A2D97)):
+        h ^= t
+        h *= np.uint32(factor)
+        np.right_shift(h, np.uint32(by), out=t)
+    h ^= t
+    return h
+
+
+def minima(lines: list[str]) -> np.ndarray:
+    """(lines * BANDS * ROWS) minima of the lines' shingles by one permutation; NONE in bins that got no shingle."""
+    bins, n = BANDS * ROWS, np.array([max(len(x), WIDTH) for x in lines], np.int64)
+    h = hashes32("".join([x.ljust(WIDTH) for x in lines]))
     at = np.repeat(np.arange(len(lines)) * bins, n)[: len(h)]
-    at += bin_.view(np.int64)
-    low = h.astype(np.uint32)
+    at += ((h >> np.uint32(16)) * np.uint32(bins)) >> np.uint32(16)
     ends = np.cumsum(n)[:-1]
-    low[(ends[:, None] - np.arange(1, WIDTH)).ravel()] = NONE  # what would reach over a line's end
+    h[(ends[:, None] - np.arange(1, WIDTH)).ravel()] = NONE  # what would reach over a line's end
     out = np.full(len(lines) * bins, NONE, np.uint32)
-    np.minimum.at(out, at, low)
+    np.minimum.at(out, at, h)
     return out
 
 
@@ -167,19 +174,17 @@ ROW = "CASE WHEN {id} IS NULL OR {text} IS NULL THEN NULL ELSE xxhash64(CAST({id
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(id, row, text) -> (id, row, pos, line) of every line that is compared."""
+    """(id, row, text) -> (id, row, lines): the names of a row's lines in order, null for those that are not compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             texts = [normals(t) for t in batch.column(2).to_pylist()]
-            size, lines = np.array([len(t) for t in texts], np.int64), [n for t in texts for n in t]
-            full = np.fromiter(map(bool, lines), bool, len(lines))
-            of = np.repeat(np.arange(len(texts)), size)
-            pos = np.arange(len(lines)) - np.repeat(np.cumsum(size) - size, size)
-            at = pa.array(of[full])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos[full].astype(np.int32)), pa.array(line_ids(lines)[full])], names=["id", "row", "pos", "line"])
+            ends, lines = np.cumsum([0, *map(len, texts)], dtype=np.int32), [n for t in texts for n in t]
+            blank = ~np.fromiter(map(bool, lines), bool, len(lines))
+            names = pa.ListArray.from_arrays(pa.array(ends), pa.array(line_ids(lines), mask=blank))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names], names=["id", "row", "lines"])
 
-    return docs.mapInArrow(run, "id long, row long, pos int, line long")
+    return docs.mapInArrow(run, "id long, row long, lines array<long>")
 
 
 def candidate_lines(docs: DataFrame, may_be) -> DataFrame:
@@ -204,8 +209,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(row, drop): per row the positions of its lines that go, for rows that lose any."""
     row = F.expr(ROW.format(id=f"`{id_col}`", text=f"`{text_col}`"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).cast("string").alias("text")).where("row IS NOT NULL")
-    seen = cut(occurrences(rows))
-    total = seen.count()
+    packed = cut(occurrences(rows))  # a row for each document: one for each line would be many small ones to write and read
+    total = packed.agg(F.coalesce(F.sum(F.size(F.filter("lines", F.isnotnull))), F.lit(0))).head()[0]
+    seen = packed.select("id", "row", F.posexplode("lines").alias("pos", "line")).where("line IS NOT NULL")
     labels = line_components(rows.select("id", "text"), total)
     lines = seen.groupBy("line").agg(F.min(F.struct("id", "row", "pos")).alias("first"), F.count("*").alias("n"))
     lines = lines.join(unique(labels.withColumnRenamed("id", "line")), "line", "left").where("n > 1 OR component IS NOT NULL")

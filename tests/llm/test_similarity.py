@@ -17,7 +17,7 @@ from pinion.llm.op02_ngram_jaccard import Bands, ngram_jaccard_join, signatures
 from pinion.llm.op02_ngram_jaccard import sign as sign_documents
 from pinion.llm.op03_embedding_dedup import LEAF, Blocks, embedding_dedup, near
 from pinion.llm.op04_ann_forest import Forest, ann_search
-from pinion.llm.op06_line_dedup import NONE, ODD, PROBES, WIDTH, borrowed, line_dedup, line_sets, minima, normal, normals, sign
+from pinion.llm.op06_line_dedup import NONE, ODD, PROBES, WIDTH, borrowed, hashes32, line_dedup, line_ids, line_sets, minima, normal, normals, occurrences, sign
 
 DOC = "doc_id long, text string"
 
@@ -288,6 +288,24 @@ def test_empty_bins_borrow_without_a_probe_each():
     assert took[borrowed][0] < took[probed][0] / 2
 
 
+def test_hashes_of_shingles_are_32_bits_and_fill_bins_evenly():
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz \u00e9\u4e2d\U0001f600", k=60_000))
+    h = hashes32(text)
+    assert h.dtype == np.uint32 and len(h) == len(text) - WIDTH + 1
+    assert hashes32("x" + text)[1:].tolist() == h.tolist()  # a shingle's hash depends on nothing around it
+    assert len(np.unique(h)) >= len({text[i : i + WIDTH] for i in range(len(h))}) - 5
+    n = np.bincount(((h >> np.uint32(16)) * np.uint32(150)) >> np.uint32(16), minlength=150)
+    assert len(n) == 150 and n.min() > 300 and n.max() < 500  # 400 each
+
+
+def test_lines_of_a_document_are_one_row(spark):
+    rows = [(1, 10, "A b\n\n c\na B"), (2, 20, ""), (3, 30, " \n"), (4, 40, "x")]
+    got = {r["id"]: (r["row"], r["lines"]) for r in occurrences(spark.createDataFrame(rows, "id long, row long, text string")).collect()}
+    ab, c, x = line_ids(["a b", "c", "x"]).tolist()
+    assert got == {1: (10, [ab, None, c, ab]), 2: (20, []), 3: (30, [None, None]), 4: (40, [x])}
+
+
 def test_line_sets_of_a_batch_are_those_of_each_line():
     rng = random.Random(12)
     lines = ["".join(rng.choice("ab cd") for _ in range(rng.choice([1, 3, 4, 5, 6, 40, 400]))) for _ in range(200)] + ["long words " * 30_000, "x"]
