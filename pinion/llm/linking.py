@@ -25,7 +25,7 @@ from pinion.llm.components import components
 Signer = Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]]
 UPPER = 128
 BLOB = "r int, keys binary, sigs binary, needs binary"
-STAR = "bucket long, center long, member long, times long, proper long, need int, own int, center_own int"
+STAR = "bucket long, center long, member long, times long, proper long, size long, need int, own int, center_own int"
 #: Bytes of a signature that are sent; those before them are implied by its part.
 SENT = 6
 #: Texts of one side of a block.
@@ -86,8 +86,8 @@ def signature_blobs(docs: DataFrame, sign: Signer, parts: int, split: Callable |
 
 def stars_of(t: pa.Table) -> pa.Table:
     """The buckets of one part: a row for each member beside the centre, which has the least key. Each list of members comes
-    once, with the number of its buckets (times), how many of them say that the pair may be linked (proper), how many it must
-    share to be linked (need), and how many the member and the centre must share with any partner."""
+    once, with the number of its buckets (times), how many of them say that the pair may be linked (proper), its members with the
+    centre (size), how many it must share to be linked (need), and how many the member and the centre must share with any partner."""
     keys, sigs, needs = (np.frombuffer(b"".join(t.column(c).to_pylist()), w) for c, w in (("keys", np.int64), ("sigs", np.uint8), ("needs", np.uint8)))
     wide = np.zeros((len(keys), 8), np.uint8)
     wide[:, :SENT] = sigs.reshape(-1, SENT)
@@ -121,7 +121,7 @@ def stars_of(t: pa.Table) -> pa.Table:
     x, c, times = needs[at[member]], needs[at[spread(start)]], spread(times[of])
     proper = (x < UPPER) | (c < UPPER)
     need = np.maximum(x % UPPER, c % UPPER).astype(np.int32)
-    rows = (spread(name).astype(np.int64), spread(k[start]), k[member], times, times * proper, need, (x % UPPER).astype(np.int32), (c % UPPER).astype(np.int32))
+    rows = (spread(name).astype(np.int64), spread(k[start]), k[member], times, times * proper, spread(size), need, (x % UPPER).astype(np.int32), (c % UPPER).astype(np.int32))
     return pa.table({c.split()[0]: pa.array(v) for c, v in zip(STAR.split(", "), rows, strict=True)})
 
 
@@ -210,7 +210,7 @@ def linked_components(
     fetch(ids) returns (id, text) of at least these keys, one row each. sets, if given, makes the sets of many texts at once.
     """
     stars = blobs.groupBy("r").applyInArrow(stars_of, STAR).groupBy("bucket", "member")
-    stars = cut(stars.agg(F.first("center").alias("center"), F.sum("times").alias("times"), F.sum("proper").alias("proper"), *(F.first(n).alias(n) for n in ("need", "own", "center_own"))))
+    stars = cut(stars.agg(F.first("center").alias("center"), F.sum("times").alias("times"), F.sum("proper").alias("proper"), *(F.first(n).alias(n) for n in ("size", "need", "own", "center_own"))))
     pairs = stars.where("proper > 0").groupBy("center", "member").agg(F.sum("proper").alias("times"), F.min("need").alias("need"))
     pairs = cut(pairs.where("times >= need").select("center", "member"))
     # a set that shares fewer signatures with all others together than it must with a linked one needs no text: its pairs drop out
@@ -229,13 +229,14 @@ def linked_components(
     first = test(pairs)
     labels = components(first.where("linked").select(F.col("member").alias("src"), F.col("center").alias("dst")))
     # members of the buckets that hold more than one component, with their distances to the centre
-    every = stars.select("bucket", "center", F.col("member").alias("id")).union(stars.select("bucket", "center", F.col("center").alias("id")).distinct())
+    large = stars.where("size > 2").select("bucket", "center", "member")  # two members have been tested, or cannot be linked
+    every = large.withColumnRenamed("member", "id").union(large.select("bucket", "center", F.col("center").alias("id")).distinct())
 
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
         return rows.join(unique(labels), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
 
-    mixed = labelled(every, labels).groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n"))
-    mixed = mixed.where("a <> b AND n > 2").select("bucket")  # two members have been tested, or cannot be linked
+    mixed = labelled(every, labels).groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    mixed = mixed.where("a <> b").select("bucket")
     open_ = every.join(unique(mixed), "bucket")
     # a second star around the member with the most links so far: the source of a group of copies links them all
     linked = first.where("linked")

@@ -27,6 +27,8 @@ WIDTH, PERCENT, BANDS, ROWS = 5, 80, 25, 6
 PROBES = np.argsort(mix(np.arange((BANDS * ROWS) ** 2, dtype=U64)).reshape(BANDS * ROWS, -1), axis=1, kind="stable")
 #: Per bin, its place in the order of each other bin.
 PLACES = np.ascontiguousarray(np.argsort(PROBES, axis=1).T.astype(np.min_scalar_type(BANDS * ROWS)))
+#: Odd factors for the minima of a band, and what each band begins with.
+FACTORS = mix(np.arange(1, ROWS + BANDS + 1, dtype=U64)) | U64(1)
 #: Lines with so many full bins at most borrow in one pass over these; others find a full bin after a few probes.
 FEW = 32
 PART_BYTES, SIGNATURE_BYTES = 16_000_000, 15
@@ -162,11 +164,17 @@ def sign(lines: list[str]) -> tuple[np.ndarray, np.ndarray, None, None]:
     if not lines:
         return np.empty(0, np.int64), np.empty(0, U64), None, None
     parts = slices(lines, 150_000)  # small arrays stay in the processor's cache
-    m = np.concatenate([borrowed(minima(lines[p])) for p in parts]).reshape(-1, BANDS, ROWS).astype(U64)
-    sig = np.arange(BANDS, dtype=U64) + U64(1)
+    sig = np.concatenate([band_hashes(borrowed(minima(lines[p]))) for p in parts])
+    return np.repeat(np.arange(len(lines)), BANDS), sig, None, None
+
+
+def band_hashes(m: np.ndarray) -> np.ndarray:
+    """64 bits for the minima of each band: multilinear in these, then mixed."""
+    m = m.reshape(-1, BANDS, ROWS)
+    sig = np.zeros(m.shape[:2], U64) + FACTORS[ROWS:]
     for r in range(ROWS):
-        sig = mix(sig * U64(0x9E3779B97F4A7C15) + m[:, :, r])
-    return np.repeat(np.arange(len(lines)), BANDS), sig.ravel(), None, None
+        sig += np.multiply(m[:, :, r], FACTORS[r], dtype=U64)
+    return mix(sig.ravel())
 
 
 #: What names a row: its id and its text. Rows that agree in both are one document, written down several times.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pinion.llm import common, linking
 from pinion.llm.bloom import Bloom, fill
-from pinion.llm.common import char_shingle_set, join_hot, shingle_set, words
+from pinion.llm.common import CLEANUP, char_shingle_set, cut, join_hot, shingle_set, words
 from pinion.llm.components import components
 from pinion.llm.linking import UPPER, block_links, each, signature_blobs
 from pinion.llm.op02_ngram_jaccard import Bands, ngram_jaccard_join, signatures
@@ -476,3 +476,18 @@ def test_forest_reaches_every_row():
     f = Forest(x, 1, trees=3, leaf=40)
     assert len(f.candidates((x[:1] @ f.planes.T - f.bounds)[0], 700)) == 700
     assert len(Forest(np.ones((500, 4)), 1, trees=2, leaf=10).leaves) == 2
+
+
+def test_cut_leaves_no_shuffle_behind(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {b.toString() for b in map(blocks.getAllBlocks().apply, range(blocks.getAllBlocks().size()))}
+    shuffles = lambda: {n for n in names() if n.startswith("shuffle_")}
+    before, setting = shuffles(), spark.conf.get(CLEANUP, None)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    kept = cut(counts)  # counts is still referred to, so that no collected garbage explains it
+    until = time.time() + 20
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert kept.join(counts, ["k", "count"]).count() == kept.count() == 7
+    assert spark.conf.get(CLEANUP, None) == setting
