@@ -271,6 +271,31 @@ class Known(dict):
         return out
 
 
+class Recurring(dict):
+    """Known for streams in which most keys come once: a new key waits, and is stored when it comes again.
+
+    Two generations of `half` entries each and one of `waiting` that is emptied when full.
+    """
+
+    def __init__(self, make, half: int, waiting: int):
+        super().__init__()
+        self.make, self.half, self.most_waiting, self.old, self.waiting = make, half, waiting, {}, {}
+
+    def __missing__(self, key: str):
+        out = self.waiting.pop(key, None)
+        if out is None and (out := self.old.get(key)) is None:
+            out = self.make(key)
+            if len(self.waiting) >= self.most_waiting:
+                self.waiting.clear()
+            self.waiting[key] = out
+            return out
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
 class Encoder:
     """Encodes and decodes as the tokenizers library does with add_special_tokens=False."""
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pinion.llm.bpe import Known, Vocabulary
+from pinion.llm.bpe import Recurring, Vocabulary
 from pinion.llm.common import cut, small, table
 from pinion.llm.op09_bpe import default_vocabulary
 from pinion.llm.packing import pack
@@ -34,8 +34,16 @@ class TextIds:
 
     def __init__(self, vocabulary: str):
         v = self.vocabulary = Vocabulary(vocabulary)
-        tokenize = v.library.model.tokenize
-        self.known = Known(lambda chunk: array("I", [t.id for w in v.split(chunk) for t in tokenize(v.level(w))]).tobytes(), 150_000)
+        self.tokenize = v.library.model.tokenize
+        self.known = Recurring(self.chunk, 120_000, 60_000)
+
+    def chunk(self, chunk: str) -> bytes:
+        v, tokenize = self.vocabulary, self.tokenize
+        if chunk.isascii() and chunk.isprintable():  # its own byte level
+            words = (chunk,) if chunk.isalpha() else v.split(chunk)
+        else:
+            words = map(v.level, v.split(chunk))
+        return array("I", [t.id for w in words for t in tokenize(w)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """All ids as little-endian unsigned 32-bit integers; null is empty."""
@@ -43,8 +51,7 @@ class TextIds:
             return b""
         if "<|" in text or not self.vocabulary.plain(text):  # special tokens and rare characters: the library's own steps
             return array("I", self.vocabulary.library.encode(text, add_special_tokens=False).ids).tobytes()
-        known = self.known
-        return b"".join([known[c] for c in text.lower().split()])
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
 
 
 _ids: dict[str, TextIds] = {}
