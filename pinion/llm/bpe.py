@@ -301,7 +301,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.known, self.words = Known(self.chunk, 200_000), Known(self.word, 150_000)
+        self.known = Known(self.chunk, 350_000)  # of words too, so that those that also stand alone are held once
 
     def word(self, word: str) -> tuple[bytes, str]:
         v = self.vocabulary
@@ -313,10 +313,11 @@ class Encoder:
     def chunk(self, chunk: str) -> tuple[bytes, str]:
         """The same for what stands between white space: its pieces depend on nothing around it."""
         if chunk.isalpha():  # one piece
-            return self.words[chunk]
-        found = [self.words[w] for w in self.vocabulary.split(chunk)]
-        if len(found) == 1:
-            return found[0]
+            return self.word(chunk)
+        pieces = self.vocabulary.split(chunk)
+        if len(pieces) == 1:
+            return self.word(chunk)
+        found = [self.known[w] for w in pieces]
         return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
@@ -331,4 +332,7 @@ class Encoder:
                 found += map(self.known.__getitem__, part.lower().split())
             else:
                 found += [self.word(w) for w in self.vocabulary.words(part)]
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
+        if not found:
+            return b"", ""
+        ids, tokens = zip(*found, strict=True)
+        return b"".join(ids), " ".join(tokens if all(ids) else [x for i, x in found if i])

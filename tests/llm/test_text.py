@@ -204,6 +204,20 @@ def test_rare_words_are_merged_on_numbers():
     assert took["numbers"][0] < 0.75 * took["strings"][0], [x[0] for x in took.values()]
 
 
+def test_words_are_remembered_once(monkeypatch):
+    """A word that stands alone takes no second place of the bounded memory, and is known beside punctuation."""
+    made = Counter()
+    monkeypatch.setattr(Encoder, "word", lambda _, w: made.update([w]) or (b"1234", w))
+    e = Encoder(Vocabulary(default_vocabulary()))
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(26**4 - 10_000)]
+    for at in range(0, len(words), 1000):
+        e.encode(" ".join(words[at : at + 1000]))
+    e.encode(" ".join(words[:5000]))
+    assert e.encode(f"({words[0]}) {words[1]},")[1] == f"( {words[0]} ) {words[1]} ,"
+    assert max(made.values()) == 1
+    assert len(e.known) + len(e.known.old) <= 700_000
+
+
 def test_lexicon_is_minimal_and_exact():
     words = {w.encode(): [i, i + 1][: 1 + i % 2] for i, w in enumerate(["tap", "taps", "top", "tops", "stop", "", "stops"])}
     data = compile_lexicon(words)
