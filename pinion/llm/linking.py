@@ -169,17 +169,19 @@ def block_links(t: pa.Table, sets_of: Callable[[list[str]], list[np.ndarray]], p
     key, ids, left = t.column("key").to_numpy(), t.column("id").to_numpy(), t.column("left").to_numpy()
     texts = t.column("text").to_pylist()
     kept: list[tuple[int, int]] = []
+    own, at = np.unique(ids, return_index=True)
+    of = dict(zip(own.tolist(), sets_of([texts[i] for i in at]), strict=True))
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
     for a, b in zip(start, np.append(start[1:], len(key)), strict=True):
         right = np.flatnonzero(~left[a:b]) + a
-        own, at = np.unique(ids[a:b], return_index=True)
-        of = dict(zip(own.tolist(), sets_of([texts[a + i] for i in at]), strict=True))
         sets = [of[i] for i in ids[right].tolist()]
         size = np.array([len(x) for x in sets], np.int64)
         flat = np.concatenate(sets) if sets else np.empty(0, U64)
         owner = np.repeat(np.arange(len(sets)), size)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, np.int64)
+        posted, ends = flat[first], np.append(first[1:], len(flat))
         root: dict[int, int] = {}
 
         def find(v: int) -> int:
@@ -190,8 +192,11 @@ def block_links(t: pa.Table, sets_of: Callable[[list[str]], list[np.ndarray]], p
         for i in np.flatnonzero(left[a:b]) + a:
             me = int(ids[i])
             x = of[me]
-            lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
-            n = hi - lo
+            k = np.searchsorted(posted, x)
+            k = k[: np.searchsorted(k, len(posted))]  # sorted, as x is
+            k = k[posted[k] == x[: len(k)]]
+            lo = first[k]
+            n = ends[k] - lo
             at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
             inter = np.bincount(owner[at], minlength=len(sets))
             for j in np.flatnonzero(100 * inter >= percent * (len(x) + size - inter)):
@@ -235,13 +240,13 @@ def linked_components(
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
         return rows.join(unique(labels), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
 
-    mixed = labelled(every, labels).groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    every = cut(labelled(every, labels))
+    mixed = every.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"))
     mixed = mixed.where("a <> b").select("bucket")
-    open_ = every.join(unique(mixed), "bucket")
     # a second star around the member with the most links so far: the source of a group of copies links them all
     linked = first.where("linked")
     degree = linked.select(F.col("member").alias("id")).union(linked.select("center")).groupBy("id").agg(F.count("*").alias("degree"))
-    open_ = labelled(open_.join(unique(degree), "id", "left"), labels)
+    open_ = cut(every.join(unique(mixed), "bucket").join(unique(degree), "id", "left"))
     hub = open_.groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("id")).alias("less"), "label")).alias("m"))
     hub = hub.select("bucket", (-F.col("m.less")).alias("hub"), F.col("m.label").alias("hub_label"))
     open_ = cut(open_.drop("degree").join(unique(hub), "bucket"))
