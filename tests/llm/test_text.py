@@ -59,6 +59,19 @@ def test_urls_equal_the_rules(spark):
     assert url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_verdicts_are_the_contracts(spark, tmp_path):
+    """The contract's list is written out here: RULES and the SQL may not vouch for themselves."""
+    contract = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+    urls = [f"http://{sub}{host}{path}{more}" for host, path, _ in contract for sub in ("", "a.b.") for more in ("", "1?x")]
+    want = [(f"{host}{path}", action) for host, path, action in contract for _ in range(4)]
+    urls += ["http://example.net/de/7", "http://example.net/de/81", "http://example.com/en/8", "http://net/de", "http://xnet.de/de/", None]
+    want += [("net/de/", "allow"), ("example.net/de/8", "block"), ("com/en/", "block"), (None, "allow"), (None, "allow"), (None, "allow")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    for got in (registry.QUERIES["op1_url_filter"](spark, str(tmp_path)), url_filter(pages)):
+        assert [(r["rule"], r["verdict"]) for r in sorted(got.collect(), key=lambda r: r["page_id"])] == want
+
+
 def test_urls_with_clashing_columns_and_odd_rows(spark):
     long = "http://a.example.com/en/" + "x" * 200_000
     rows = [("http://a.com/en/1", "clash", "h"), (None, "http://a.com/en/1", None), (long, "", "h"), (long, "", "h"), ("no scheme", None, None)]
